@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -53,6 +54,9 @@ def materialize(df: DataFrame) -> DataFrame:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out._filescope_path = path
+    # The finished plan's shuffle files go when the driver's garbage does; a small driver may not collect it for long.
+    gc.collect()
+    jvm.System.gc()
     return out
 
 

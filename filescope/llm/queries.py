@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filescope.llm import media, mixing, packing
+from filescope.llm import media, mixing, packing, suffixes
 from filescope.llm.common import table
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(suffixes.removed_spans(table(spark, sf_dir, "documents")))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -21,5 +25,5 @@ def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.thumbnail_columns(stored))
 
 
-QUERIES = {f.__name__: f for f in (op5_mixing, op6_packing, op10_jpeg)}
+QUERIES = {f.__name__: f for f in (op4_suffixes, op5_mixing, op6_packing, op10_jpeg)}
 ORACLE: dict[str, str] = {}
