@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filescope.llm import media, mixing, packing, simhash, suffixes
+from filescope.llm import media, mixing, packing, pitman_yor, simhash, suffixes
 from filescope.llm.common import table
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -29,5 +33,5 @@ def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.thumbnail_columns(stored))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op4_suffixes, op5_mixing, op6_packing, op10_jpeg)}
+QUERIES = {f.__name__: f for f in (op2_pitman_yor, op3_simhash, op4_suffixes, op5_mixing, op6_packing, op10_jpeg)}
 ORACLE: dict[str, str] = {}
