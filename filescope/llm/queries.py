@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filescope.llm import media, mixing, packing, pitman_yor, simhash, suffixes
+from filescope.llm import langid, media, mixing, packing, pitman_yor, simhash, suffixes
 from filescope.llm.common import table
 
 
@@ -28,10 +28,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.encode_columns(table(spark, sf_dir, "documents"))
     return media.digests(media.thumbnail_columns(stored))
 
 
-QUERIES = {f.__name__: f for f in (op2_pitman_yor, op3_simhash, op4_suffixes, op5_mixing, op6_packing, op10_jpeg)}
+QUERIES = {f.__name__: f for f in (op2_pitman_yor, op3_simhash, op4_suffixes, op5_mixing, op6_packing, op7_bigru, op10_jpeg)}
 ORACLE: dict[str, str] = {}
