@@ -25,7 +25,7 @@ HIDDEN = 8
 PER_LANG, SEGMENTS_PER_DOC, LANGS = 256, 3, 256
 EPOCHS, BATCH, RATE, SEED = 14, 128, 0.02, 11
 #: Segments that run through the network side by side.
-WIDE = 2048
+WIDE = 1024
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -40,8 +40,13 @@ def segments(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _squash(x: np.ndarray) -> np.ndarray:
+    """Softsign: like the hyperbolic tangent between -1 and 1, at a fifth of its cost. Its slope is (1 - |result|)^2."""
+    return x / (1 + np.abs(x))
+
+
+def _gate(x: np.ndarray) -> np.ndarray:
+    return 0.5 * _squash(x) + 0.5
 
 
 class BiGRU:
@@ -64,10 +69,10 @@ class BiGRU:
         out, tape = np.empty((*x.shape, h3), np.float32), []
         for t in range(len(x)) if d == "0" else reversed(range(len(x))):
             a, b = e[x[t]], h @ u
-            gates = _sigmoid(a[:, : 2 * h3] + b[:, : 2 * h3])
+            gates = _gate(a[:, : 2 * h3] + b[:, : 2 * h3])
             z, r = gates[:, :h3], gates[:, h3:]
             cand = b[:, 2 * h3 :] + c
-            n = np.tanh(a[:, 2 * h3 :] + r * cand)
+            n = _squash(a[:, 2 * h3 :] + r * cand)
             new = n + z * (h - n)
             if d == "1":  # the padding comes first
                 new *= live[t]
@@ -84,16 +89,51 @@ class BiGRU:
         h = np.concatenate([r[0] for r in runs], axis=2)
         return h @ self.params["out"] + self.params["bias"], x, live, h, runs
 
+    def _read(self, x: np.ndarray, d: str, live: np.ndarray, out: np.ndarray) -> None:
+        """As _states, but without a tape, in place, and with a column for each segment: most time is spent here."""
+        n, p = self.hidden, self.params
+        e, u, c = (np.ascontiguousarray(p[k + d].T) for k in "euc")
+        h = np.zeros((n, x.shape[1]), np.float32)
+        a, b, size = (np.empty((3 * n, x.shape[1]), np.float32) for _ in "abs")
+        gates, z, r, cand, new = a[: 2 * n], a[:n], a[n : 2 * n], b[2 * n :], a[2 * n :]
+        for t in range(len(x)) if d == "0" else reversed(range(len(x))):
+            np.take(e, x[t], axis=1, out=a, mode="clip")
+            np.matmul(u, h, out=b)
+            gates += b[: 2 * n]
+            np.abs(gates, out=size[: 2 * n])
+            size[: 2 * n] += 1
+            gates /= size[: 2 * n]
+            gates *= 0.5
+            gates += 0.5
+            cand += c[:, None]
+            cand *= r
+            new += cand
+            np.abs(new, out=cand)
+            cand += 1
+            new /= cand
+            h -= new
+            h *= z
+            h += new
+            if d == "1":
+                h *= live[t]
+            out[t] = h
+
     def pooled(self, x: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The sum over a segment's positions of the probabilities there, for each segment."""
         out = np.zeros((len(x), len(self.langs)))
         for i in range(0, len(x), WIDE):
             own = size[i : i + WIDE]
-            score, _, live, _, _ = self.label(x[i : i + WIDE, : own.max()], own)
-            score -= score.max(axis=2, keepdims=True)
-            p = np.exp(score, out=score)
-            p *= live / p.sum(axis=2, keepdims=True)
-            out[i : i + WIDE] = p.sum(axis=0)
+            part = np.ascontiguousarray(x[i : i + WIDE, : own.max()].T).astype(np.intp)
+            live = (np.arange(len(part))[:, None] < own).astype(np.float32)
+            states, score = np.empty((len(part), self.hidden, len(own)), np.float32), self.params["bias"][:, None]
+            for d in "01":
+                self._read(part, d, live, states)
+                k = self.hidden * int(d)
+                score = score + self.params["out"][k : k + self.hidden].T @ states
+            score -= score.max(axis=1, keepdims=True)
+            np.exp(score, out=score)
+            score *= (live / score.sum(axis=1))[:, None]
+            out[i : i + WIDE] = score.sum(axis=0).T
         return out
 
     def gradient(self, x: np.ndarray, size: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
@@ -117,8 +157,9 @@ class BiGRU:
                 dh = dh + back[t, :, k * n : (k + 1) * n]
                 if d == "1":
                     dh = dh * live[t]
-                dn = dh * (1 - z) * (1 - cand_out * cand_out)
-                da = np.concatenate([dh * (before - cand_out) * z * (1 - z), dn * cand * r * (1 - r), dn], axis=1)
+                dn = dh * (1 - z) * (1 - np.abs(cand_out)) ** 2
+                slope = lambda gate: 0.5 * (1 - np.abs(2 * gate - 1)) ** 2
+                da = np.concatenate([dh * (before - cand_out) * slope(z), dn * cand * slope(r), dn], axis=1)
                 db = da.copy()
                 db[:, 2 * n :] *= r
                 np.add.at(ge, x[t], da)

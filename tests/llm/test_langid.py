@@ -65,3 +65,12 @@ def test_odd_rows(spark):
     assert all((by[i]["lang_pred"], by[i]["score"]) == ("und", 0.0) for i in (100, 101, 102))
     assert by[None]["lang_pred"] == "en" and by[103]["lang_pred"] == "de"
     assert langid.identify(df.limit(0)).count() == 0
+
+
+def test_prediction_runs_the_network_that_was_trained():
+    rng = np.random.default_rng(5)
+    net = langid.BiGRU(["a", "b", "c"])
+    x, size = rng.integers(0, 256, (9, 20)).astype(np.uint8), rng.integers(1, 21, 9)
+    score, _, live, _, _ = net.label(x, size)
+    p = np.exp(score) / np.exp(score).sum(axis=2, keepdims=True) * live
+    assert np.allclose(net.pooled(x, size), p.sum(axis=0)[:, :], atol=1e-4)
