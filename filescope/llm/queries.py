@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filescope.llm import langid, media, mixing, packing, pitman_yor, simhash, suffixes
+from filescope.llm import density, langid, lines, media, mixing, packing, pitman_yor, simhash, suffixes
 from filescope.llm.common import table
 
 
+def op1_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score_documents(table(spark, sf_dir, "documents"))
 
@@ -32,10 +36,14 @@ def op7_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(lines.deduplicate(table(spark, sf_dir, "documents")))
+
+
 def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.encode_columns(table(spark, sf_dir, "documents"))
     return media.digests(media.thumbnail_columns(stored))
 
 
-QUERIES = {f.__name__: f for f in (op2_pitman_yor, op3_simhash, op4_suffixes, op5_mixing, op6_packing, op7_bigru, op10_jpeg)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_density, op2_pitman_yor, op3_simhash, op4_suffixes, op5_mixing, op6_packing, op7_bigru, op8_lines, op10_jpeg)}
+ORACLE: dict[str, str] = {"op8_lines": lines.ORACLE}
