@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filescope.llm import density, langid, lines, media, mixing, packing, pitman_yor, simhash, suffixes
+from filescope.llm import density, forest, langid, lines, media, mixing, packing, pitman_yor, simhash, suffixes
 from filescope.llm.common import table
 
 
@@ -40,10 +40,14 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(lines.deduplicate(table(spark, sf_dir, "documents")))
 
 
+def op9_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.search(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
 def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.encode_columns(table(spark, sf_dir, "documents"))
     return media.digests(media.thumbnail_columns(stored))
 
 
-QUERIES = {f.__name__: f for f in (op1_density, op2_pitman_yor, op3_simhash, op4_suffixes, op5_mixing, op6_packing, op7_bigru, op8_lines, op10_jpeg)}
+QUERIES = {f.__name__: f for f in (op1_density, op2_pitman_yor, op3_simhash, op4_suffixes, op5_mixing, op6_packing, op7_bigru, op8_lines, op9_forest, op10_jpeg)}
 ORACLE: dict[str, str] = {"op8_lines": lines.ORACLE}
