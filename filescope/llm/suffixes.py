@@ -268,7 +268,7 @@ def _sort_snippets(length: int):
                 continue
             held.append(batch)
             size += batch.nbytes
-            if size > 8 << 20:
+            if size > 2 << 20:
                 t = pa.Table.from_batches(held)
                 key = np.stack([t.column("h").to_numpy(), t.column("salt").to_numpy()])
                 edge = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0))
