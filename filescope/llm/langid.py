@@ -23,7 +23,8 @@ SEGMENT = 128
 HIDDEN = 8
 #: Bounds of the training sample: documents of a language, segments of a document, languages.
 PER_LANG, SEGMENTS_PER_DOC, LANGS = 256, 3, 256
-EPOCHS, BATCH, RATE, SEED = 14, 128, 0.02, 11
+#: Steps of training, whatever the sample's size.
+STEPS, BATCH, RATE, SEED = 320, 128, 0.02, 11
 #: Segments that run through the network side by side.
 WIDE = 1024
 UNKNOWN = "und"
@@ -136,6 +137,22 @@ class BiGRU:
             out[i : i + WIDE] = score.sum(axis=0).T
         return out
 
+    def languages(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Each text's language and its mean probability over the text's bytes."""
+        langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        some = [i for i, t in enumerate(texts) if self.langs and t and _LETTER.search(t)]
+        if some:
+            parts = [segments(utf8(texts[i])) for i in some]
+            x, size = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            doc = np.repeat(np.arange(len(some)), [len(p[0]) for p in parts])
+            order = np.argsort(-size, kind="stable")  # short ones run with short ones
+            sums = np.zeros((len(some), len(self.langs)))
+            np.add.at(sums, doc[order], self.pooled(x[order], size[order]))
+            mean = sums / np.bincount(doc, size, len(some))[:, None]
+            for i, best, p in zip(some, mean.argmax(axis=1).tolist(), mean.max(axis=1).tolist(), strict=True):
+                langs[i], scores[i] = self.langs[best], min(1.0, p)
+        return langs, scores
+
     def gradient(self, x: np.ndarray, size: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean cross entropy over all positions, and its gradient by backpropagation through time."""
         score, x, live, h, runs = self.label(x, size, keep=True)
@@ -170,7 +187,7 @@ class BiGRU:
         return loss, g
 
 
-def fit(texts: list[tuple[str, str]], epochs: int = EPOCHS) -> BiGRU:
+def fit(texts: list[tuple[str, str]], steps: int = STEPS) -> BiGRU:
     """A network from (text, lang). The same texts in any order give the same network."""
     langs = sorted({lang for _, lang in texts})
     rng = np.random.default_rng(SEED)
@@ -187,10 +204,9 @@ def fit(texts: list[tuple[str, str]], epochs: int = EPOCHS) -> BiGRU:
         return net
     m, v = ({k: np.zeros_like(p) for k, p in net.params.items()} for _ in "mv")
     step = 0
-    steps = epochs * -(-len(x) // BATCH)
-    for _ in range(epochs):
+    while step < steps:
         order = rng.permutation(len(x))
-        for i in range(0, len(x), BATCH):
+        for i in range(0, min(len(x), (steps - step) * BATCH), BATCH):
             pick = order[i : i + BATCH]
             _, g = net.gradient(x[pick, : size[pick].max()], size[pick], y[pick])
             norm = float(np.sqrt(sum((a * a).sum() for a in g.values())))
@@ -248,24 +264,29 @@ def predict(docs: DataFrame, net: BiGRU, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = BiGRU(*state)
         for batch in batches:
-            texts = column(batch, "text").to_pylist()
-            langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            some = [i for i, t in enumerate(texts) if own.langs and t and _LETTER.search(t)]
-            parts = [segments(utf8(texts[i])) for i in some]
-            if some:
-                x, size = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                doc = np.repeat(np.arange(len(some)), [len(p[0]) for p in parts])
-                order = np.argsort(-size, kind="stable")  # short ones run with short ones
-                sums = np.zeros((len(some), len(own.langs)))
-                np.add.at(sums, doc[order], own.pooled(x[order], size[order]))
-                mean = sums / np.bincount(doc, size, len(some))[:, None]
-                for i, best, p in zip(some, mean.argmax(axis=1).tolist(), mean.max(axis=1).tolist(), strict=True):
-                    langs[i], scores[i] = own.langs[best], min(1.0, p)
+            langs, scores = own.languages(column(batch, "text").to_pylist())
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=schema)
 
     return text_and_id(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, net: BiGRU, text_col: str = "text", least: float = 0.0, langs: list[str] | None = None) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose text has a language: not `und`, with a score of `least` or more.
+
+    Only `langs`, if given. By default a text of any language that was learned stays, however mixed it is.
+    """
+    tune(docs.sparkSession)
+    state = (net.langs, net.params, net.hidden)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = BiGRU(*state)
+        for batch in batches:
+            found = zip(*own.languages(column(batch, text_col).to_pylist()), strict=True)
+            yield batch.filter(pa.array([a != UNKNOWN and b >= least and (langs is None or a in langs) for a, b in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id="doc_id"):
     """crc32 of the id as text is 2 modulo 4; a null id counts as empty text, and isn't held out."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 4 == 2

@@ -1,9 +1,9 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
-Every source gets a target number of words. Whole passes over the source take what the target holds of them; for the
-remaining budget, documents are counted by exact length, a share of each length is taken, and a bounded knapsack over
-the lengths' remaining counts fills what is left as closely as it can. Which documents of a length are taken follows a
-seeded hash. Only counts by length reach the task that plans a source, never its documents.
+Every source gets a target number of words. Its documents are counted by exact length, each counting as often as it may
+be taken; the target's share of each length is taken, and a bounded knapsack over the lengths' remaining counts fills
+what is left of the target as closely as it can. Which documents of a length are taken once more than the others follows
+a seeded hash. Only counts by length reach the task that plans a source, never its documents.
 """
 
 from __future__ import annotations
@@ -19,14 +19,15 @@ MOST = 3
 #: Budgets above this are first brought down greedily; the knapsack's table has so many columns at most.
 KNAPSACK = 1 << 17
 #: Documents of one source and length are ranked in groups of about so many.
-RANKED = 4096
+RANKED = 256
 SEED = 42
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size: words by ASCII white space; null text: 0."""
+    """doc_id, tag, source, size: words by ASCII white space; null text: 0. tag has 31 bits of the text's hash."""
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
+        F.coalesce(F.xxhash64(F.col(text_col).cast("string")).bitwiseAND(0x7FFFFFFF), F.lit(0)).cast("int").alias("tag"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
@@ -52,6 +53,26 @@ def targets(by_source: list[tuple[str | None, int]], weights: tuple = WEIGHTS, m
     return out
 
 
+def _knapsack(free: dict[int, int], left: int) -> dict[int, int]:
+    """How many of each length make the most words up to `left`: bit b of `reach` says that b words can be made."""
+    reach, mask, steps, took = 1, (1 << (left + 1)) - 1, [], {}
+    for n in sorted(free, reverse=True):
+        c, k = min(free[n], left // n), 1
+        while c > 0 and not reach >> left & 1:
+            k = min(k, c)
+            new = (reach | reach << (n * k)) & mask
+            if new != reach:
+                steps.append((n, k, reach))
+                reach = new
+            c, k = c - k, k * 2
+    at = reach.bit_length() - 1
+    for n, k, before in reversed(steps):
+        if not before >> at & 1:
+            took[n] = took.get(n, 0) + k
+            at -= n * k
+    return took
+
+
 def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
     """How many of each length to take so that the sum is at most `budget` and as near it as found."""
     total = sum(n * c for n, c in counts.items())
@@ -68,36 +89,30 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
             took[n] += more
             free[n] -= more
             left -= more * n
-    # Bounded knapsack: bit b of `reach` says that b words can be made; each item is a power of two of one length.
-    top = min(left, 2 * KNAPSACK)
-    reach, mask, steps = 1, (1 << (top + 1)) - 1, []
-    for n in sorted(free, reverse=True):
-        c, k = min(free[n], top // n), 1
-        while c > 0 and not reach >> top & 1:
-            k = min(k, c)
-            new = (reach | reach << (n * k)) & mask
-            if new != reach:
-                steps.append((n, k, reach))
-                reach = new
-            c, k = c - k, k * 2
-    at = reach.bit_length() - 1
-    for n, k, before in reversed(steps):
-        if not before >> at & 1:
-            took[n] += k
-            at -= n * k
+    for n, k in _knapsack(free, min(left, KNAPSACK)).items():
+        took[n] += k
+        left -= n * k
+    if left and budget <= KNAPSACK:
+        # A small source: the best of all subsets, if it is nearer than one that has its share of each length.
+        best = _knapsack({n: c for n, c in counts.items() if n > 0}, budget)
+        if budget - sum(n * k for n, k in best.items()) < left:
+            return {n: best.get(n, 0) for n in counts}
     return took
 
 
-def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
-    passes, budget = int(pdf["passes"].iloc[0]), int(pdf["budget"].iloc[0])
-    counts = dict(zip(pdf["size"].tolist(), pdf["n"].tolist(), strict=True))
-    took = fit(counts, budget)
-    pdf["passes"], pdf["extra"] = passes, [took[n] for n in pdf["size"].tolist()]
-    return pdf[["source", "size", "n", "passes", "extra", "target", "source_size"]]
+def _plan(most: int):
+    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
+        each = dict(zip(pdf["size"].tolist(), pdf["n"].tolist(), strict=True))
+        took = fit({size: n * most for size, n in each.items()}, int(pdf["budget"].iloc[0]))
+        times = [divmod(took[size], n) for size, n in each.items()]
+        pdf["passes"], pdf["extra"] = [p for p, _ in times], [x for _, x in times]
+        return pdf[["source", "size", "n", "passes", "extra", "target", "source_size"]]
+
+    return plan
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken per document; taken is a multiple of size, from 0 to `most` times.
+    """doc_id, tag, size, source_size, target, times, taken per document; taken is size times times, at most `most`.
 
     Null texts have size 0 and are taken with 0 words; null sources are one source, the last. Repeated rows count each;
     rows that agree in everything are taken in any order. A source whose sizes are all 0 has target 0. Extra columns
@@ -110,16 +125,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     by_source = [(r["source"], r["words"]) for r in hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()]
     goal = targets(by_source, weights, most)
     own = dict(by_source)
-    # The passes leave a budget under one pass; the nearest whole number of words is what is fitted.
-    lines = [(s, t, w, min(most, int(t // w)) if w else 0) for s, t in goal.items() for w in [own[s]]]
-    table = spark.createDataFrame([(s, t, w, p, max(0, round(t - p * w))) for s, t, w, p in lines], "source string, target double, source_size long, passes long, budget long")
+    # The nearest whole number of words is what is fitted.
+    table = spark.createDataFrame([(s, t, own[s], round(t)) for s, t in goal.items()], "source string, target double, source_size long, budget long")
     same = lambda a, b, *cols: [a[c].eqNullSafe(b[c]) for c in cols]
-    planned = hist.join(table, same(hist, table, "source"), "inner").select(hist["source"], "size", "n", "target", "source_size", "passes", "budget")
-    plan = materialize(planned.groupBy("source").applyInPandas(_plan, "source string, size long, n long, passes long, extra long, target double, source_size long"))
+    planned = hist.join(table, same(hist, table, "source"), "inner").select(hist["source"], "size", "n", "target", "source_size", "budget")
+    plan = materialize(planned.groupBy("source").applyInPandas(_plan(most), "source string, size long, n long, passes long, extra long, target double, source_size long"))
 
     key = F.xxhash64("doc_id", F.lit(seed))
     a, b = sized.alias("a"), plan.alias("b")
-    dealt = a.join(b, same(sized, plan, "source", "size"), "inner").select("a.doc_id", "a.source", "a.size", "b.passes", "b.extra", "b.target", "b.source_size", F.pmod(key, F.ceil(F.col("b.n") / RANKED)).alias("bucket"))
+    dealt = a.join(b, same(sized, plan, "source", "size"), "inner").select("a.doc_id", "a.tag", "a.source", "a.size", "b.passes", "b.extra", "b.target", "b.source_size", F.pmod(key, F.ceil(F.col("b.n") / RANKED)).alias("bucket"))
     # Lengths that are taken whole or not at all need no ranks.
     ranked = (F.col("extra") > 0) & (F.col("extra") < F.col("n"))
     sub = sized.join(plan.filter(ranked), same(sized, plan, "source", "size"), "left_semi")
@@ -130,4 +144,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     out = dealt.join(before, [F.col("source").eqNullSafe(F.col("s3")), F.col("size") == F.col("z3"), F.col("bucket") == F.col("b3")], "left")
     rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy(key, "doc_id"))
     extra = (F.coalesce("before", F.lit(0)) + rank <= F.col("extra")).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", ((F.col("passes") + extra) * F.col("size")).alias("taken"))
+    times = F.col("passes") + extra
+    return out.select("doc_id", "tag", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
+
+
+def apply(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, each as often as the mix takes it. Rows that repeat are taken as often as all of them are."""
+    tag = F.coalesce(F.xxhash64(F.col(text_col).cast("string")).bitwiseAND(0x7FFFFFFF), F.lit(0)).cast("int")
+    once = docs.withColumns({"_id": F.col(id_col).cast("long"), "_tag": tag}).dropDuplicates(["_id", "_tag"])
+    times = mixed.groupBy("doc_id", "tag").agg(F.sum("times").cast("int").alias("_times")).filter("_times > 0").withColumnsRenamed({"doc_id": "_doc", "tag": "_of"})
+    both = once.join(times, once["_id"].eqNullSafe(times["_doc"]) & (once["_tag"] == times["_of"]))
+    return both.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)

@@ -122,3 +122,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(ids, "root").select("fp", "component_id")
     return found.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs`, all columns, of one document of each component: that whose id is the component's.
+
+    Of rows that repeat with the same id and text one stays. A component without any id keeps one of its rows by text.
+    """
+    kept = near_duplicates(docs, id_col, text_col, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    own = docs.withColumns({"_id": F.col(id_col).cast("long"), "_h": F.xxhash64(F.col(text_col).cast("string"))})
+    return own.join(kept, own["_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["_id", "_h"]).select(docs.columns)

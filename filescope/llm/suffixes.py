@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filescope.llm.common import column, discard, materialize, rows, text_and_id, tune, utf8
+from filescope.llm.common import column, discard, materialize, rows, tune, utf8
 
 LENGTH = 200
 GRAM = 64
@@ -282,10 +282,11 @@ def _sort_snippets(length: int):
     return run
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, *others) -> DataFrame:
     """Documents by id and, as ids may repeat, 31 bits of the text's hash."""
-    d = text_and_id(docs, id_col, text_col)
-    return d.select("doc_id", F.coalesce(F.xxhash64("text").bitwiseAND(0x7FFFFFFF), F.lit(0)).cast("int").alias("tag"), "text")
+    text = F.col(text_col).cast("string")
+    tag = F.coalesce(F.xxhash64(text).bitwiseAND(0x7FFFFFFF), F.lit(0)).cast("int")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), tag.alias("tag"), text.alias("text"), *others)
 
 
 def _same(a: DataFrame, b: DataFrame):
@@ -305,18 +306,19 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("h", pa.int64()), ("u", pa.int64())])
     found = materialize(keyed.mapInArrow(lambda it: rows(it, schema, find), _RANGES + ", h long, u long"))
-    common = found.groupBy("h").count().filter("count > 1").select("h")
+    # Written, so that the join's sides are two exchanges: Spark can then split the tasks of a very common gram.
+    common = materialize(found.groupBy("h").count().filter("count > 1").select("h"))
     shared = materialize(found.join(common, "h"))
-    discard(found)
+    discard(found, common)
     unions = shared.groupBy("h", "u").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "tag", "first")).alias("rep"))
     by_gram = unions.groupBy("h").agg(F.count(F.lit(1)).alias("classes"), F.max((F.col("n") == 1).cast("int")).alias("mixed"))
-    unions = unions.join(by_gram, "h")
+    unions = materialize(unions.join(by_gram, "h"))
     # 0: repeated as a whole; 1: open; 2: repeated as a whole, and the one of its kind that open ones are compared with.
     rep = F.col("rep").eqNullSafe(F.struct("doc_id", "tag", "first")) & (F.col("mixed") == 1)
     kind = F.when(F.col("n") == 1, 1).when(rep, 2).otherwise(0)
     judged = shared.join(unions, ["h", "u"]).select("doc_id", "tag", F.struct("first", "last", kind.alias("kind"), F.when(kind > 0, F.col("h")).alias("h"), F.when(kind > 0, F.ceil(F.col("classes") / per_group).cast("int")).alias("salts")).alias("range"))
     per_doc = materialize(judged.groupBy("doc_id", "tag").agg(F.collect_list("range").alias("ranges")))
-    discard(shared)
+    discard(shared, unions)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = [("doc_id", pa.int64()), ("tag", pa.int32()), ("h", pa.int64()), ("salts", pa.int32()), ("kind", pa.int32()), ("first", pa.int64()), ("place", pa.int64()), ("snippet", pa.binary())]
@@ -345,6 +347,30 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return per_doc, inside.unionByName(across)
 
 
+def _with_ranges(docs: DataFrame, id_col: str, text_col: str, length: int, options: dict, *others) -> DataFrame:
+    """doc_id, text, sure, edges and `others` of each row."""
+    sure, edges = repeated_ranges(docs, id_col, text_col, length, **options)
+    keyed = _keyed(docs, id_col, text_col, *others)
+    rest = keyed.columns[3:]
+    sure = sure.select("doc_id", "tag", F.filter("ranges", lambda r: r["kind"] != 1).alias("sure"))
+    edges = edges.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "last")).alias("edges"))
+    joined = keyed.join(sure, _same(keyed, sure), "left").select(keyed["doc_id"], keyed["tag"], "text", "sure", *rest)
+    return joined.join(edges, _same(joined, edges), "left").select(joined["doc_id"], "text", "sure", "edges", *rest)
+
+
+def _spans(batch: pa.RecordBatch, length: int) -> list[list[dict]]:
+    spans = []
+    for a, b in zip(column(batch, "sure").to_pylist(), column(batch, "edges").to_pylist(), strict=True):
+        out: list[dict] = []
+        for first, last in sorted((r["first"], r["last"]) for r in [*(a or []), *(b or [])]):
+            if out and first <= out[-1]["end"]:
+                out[-1]["end"] = max(out[-1]["end"], last + length)
+            else:
+                out.append({"start": first, "end": last + length})
+        spans.append(out)
+    return spans
+
+
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **options) -> DataFrame:
     """doc_id, text, spans: maximal runs of bytes [start, end) of the text's UTF-8 that repeated strings cover.
 
@@ -352,29 +378,33 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     their own, so texts of `length` bytes or more vanish from both. Texts may be of any length. Extra columns are not
     read. An empty table: no rows.
     """
-    sure, edges = repeated_ranges(docs, id_col, text_col, length, **options)
-    keyed = _keyed(docs, id_col, text_col)
-    sure = sure.select("doc_id", "tag", F.filter("ranges", lambda r: r["kind"] != 1).alias("sure"))
-    edges = edges.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "last")).alias("edges"))
-    joined = keyed.join(sure, _same(keyed, sure), "left").select(keyed["doc_id"], keyed["tag"], "text", "sure")
-    joined = joined.join(edges, _same(joined, edges), "left").select(joined["doc_id"], "text", "sure", "edges")
+    joined = _with_ranges(docs, id_col, text_col, length, options)
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
     def each(batch: pa.RecordBatch) -> dict:
-        spans = []
-        for a, b in zip(column(batch, "sure").to_pylist(), column(batch, "edges").to_pylist(), strict=True):
-            out: list[dict] = []
-            for first, last in sorted((r["first"], r["last"]) for r in [*(a or []), *(b or [])]):
-                if out and first <= out[-1]["end"]:
-                    out[-1]["end"] = max(out[-1]["end"], last + length)
-                else:
-                    out.append({"start": first, "end": last + length})
-            spans.append(out)
-        return {"doc_id": column(batch, "doc_id"), "text": column(batch, "text"), "spans": spans}
+        return {"doc_id": column(batch, "doc_id"), "text": column(batch, "text"), "spans": _spans(batch, length)}
 
     return joined.mapInArrow(lambda it: rows(it, schema, each), "doc_id long, text string, spans array<struct<start:long,end:long>>")
 
 
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **options) -> DataFrame:
+    """The rows of `docs` with their text cut as removed_spans tells, and all other columns as they were.
+
+    A character of which only some bytes go, goes. Null texts stay null.
+    """
+    others = [c for c in docs.columns if c != text_col]
+    joined = _with_ranges(docs, id_col, text_col, length, options, F.struct(*others).alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = column(batch, "text").to_pylist()
+            left = [None if t is None else kept(utf8(t), s).decode("utf-8", "ignore") if s else t for t, s in zip(texts, _spans(batch, length), strict=True)]
+            yield pa.RecordBatch.from_arrays([column(batch, "row"), pa.array(left, pa.string())], names=["row", "left"])
+
+    out = joined.select("text", "sure", "edges", "row").mapInArrow(run, f"row {joined.schema['row'].dataType.simpleString()}, left string")
+    return out.select(*(F.col("left").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
 def kept(data: bytes, spans: list[dict]) -> bytes:
     at, out = 0, []
     for s in spans:

@@ -24,8 +24,7 @@ def test_fit_against_brute_force():
         reach = {0}
         for n, c in counts.items():
             reach = {r + n * k for r in reach for k in range(c + 1)}
-        # The share by length is taken first, so the best of all subsets may be missed by a little.
-        assert max(r for r in reach if r <= budget) - made <= 2 * min(n for n in counts if n)
+        assert max(r for r in reach if r <= budget) == made
 
 
 def test_fit_of_large_budgets():
