@@ -1,65 +1,85 @@
 """Line or paragraph deduplication: units by digest, the earliest kept, the rest removed with their offsets.
 
-All of it is DataFrame functions: units explode where their text lies, and only digests and offsets are shuffled. The
+Units are normalised and hashed by DataFrame functions where their text lies; only digests and places are shuffled. The
 earliest occurrence of each digest is a minimum, which partial aggregation brings to a row for each task; the join back
-is on digests that occur at least twice, and adaptive execution splits the tasks of very common ones.
+is on digests that occur at least twice, and adaptive execution splits the tasks of very common ones. Texts are shuffled
+once, to meet the places of their removed units.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+from filescope.llm.common import column, materialize, rows, tune
+
 #: Shorter units, once normalised, are never removed: they coincide by chance.
 LEAST = 24
 BLANKS = r"[\t\r\x0B\x0C ]+"
 
 
+def _normalised(unit):
+    """In lower case, with blanks made one space. Most units have no two blanks together, nor any but spaces."""
+    low = F.lower(unit)
+    odd = low.contains("  ")
+    for c in "\t\r\x0b\x0c":
+        odd = odd | low.contains(c)
+    return F.trim(F.when(odd, F.regexp_replace(low, BLANKS, " ")).otherwise(low))
+
+
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n", least: int = LEAST) -> DataFrame:
-    """doc_id, pos, start, length, digest: a row per unit; start and length in code points of the original text.
+    """doc_id, pos, digest: a row per unit that may be removed, by its place in the text; texts stay where they are."""
 
-    The digest is null for a unit that is never removed. Null texts have no units; an empty text has one.
-    """
-    parts = F.split(F.col(text_col).cast("string"), separator, -1)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(parts).alias("pos", "unit"), F.transform(parts, F.length).alias("sizes"))
-    start = F.aggregate(F.slice("sizes", 1, F.col("pos")), F.lit(0), lambda a, x: a + x) + F.col("pos") * len(separator)
-    plain = F.trim(F.regexp_replace(F.translate("unit", UPPER, LOWER), BLANKS, " "))
-    digest = F.when(F.length(plain) >= least, F.unhex(F.md5(plain)))
-    return rows.select("doc_id", "pos", start.cast("long").alias("start"), F.length("unit").cast("long").alias("length"), digest.alias("digest"))
+    def digest(unit):
+        plain = _normalised(unit)
+        return F.when(F.length(plain) >= least, F.unhex(F.md5(plain)))
+
+    found = F.transform(F.split(F.col(text_col).cast("string"), separator, -1), digest)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(found).alias("pos", "digest"))
+    return rows.filter("digest is not null")
 
 
 def removed(found: DataFrame) -> DataFrame:
-    """doc_id, pos, start, length of the units that an earlier one, by doc_id and place, repeats."""
-    first = found.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
-    first = first.filter("n > 1").select("digest", "first")
-    return found.join(first, "digest").filter(~F.struct("doc_id", "pos").eqNullSafe(F.col("first"))).select("doc_id", "pos", "start", "length")
+    """doc_id, pos of the units that an earlier one, by doc_id and place, repeats. `found` is read twice."""
+    first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
+    # Written, so that the join's sides are two exchanges: Spark can then split the tasks of a very common unit.
+    first = materialize(first.filter("n > 1").select("digest", "first"))
+    return found.join(first, "digest").filter(~F.struct("doc_id", "pos").eqNullSafe(F.col("first"))).select("doc_id", "pos")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n", least: int = LEAST) -> DataFrame:
     """doc_id, n_units, n_removed, removed_chars, spans, kept_text of each row.
 
     spans has (start, length) of each removed unit in code points of the original text, in order; kept_text is the kept
-    units, joined again. Units are compared with A-Z lower-cased and blanks made one; those under `least` characters
-    always stay. Rank is by doc_id (nulls first), then place in the text. Null text: no units, null kept_text. Repeated
-    rows, ids included, are one document: all of them keep or lose the same units. Extra columns are not read.
+    units, joined again. Units are compared in lower case with blanks made one; those under `least` characters always
+    stay. Rank is by doc_id (nulls first), then place in the text. Null text: no units, null kept_text. Repeated rows,
+    ids included, are one document: all of them keep or lose the same units. Extra columns are not read. An empty table:
+    no rows.
     """
+    tune(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    gone = removed(units(own, separator=separator, least=least))
-    gone = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "length", "pos"))).alias("gone")).withColumnRenamed("doc_id", "_id")
-    both = own.join(gone, own["doc_id"].eqNullSafe(gone["_id"]), "left")
-    parts = F.split("text", separator, -1)
-    lost = F.coalesce(F.transform("gone", lambda g: g["pos"]), F.array().cast("array<int>"))
-    kept = F.filter(F.transform(parts, lambda u, i: F.struct(u.alias("u"), i.alias("i"))), lambda x: ~F.array_contains(lost, x["i"]))
-    spans = F.coalesce(F.transform("gone", lambda g: F.struct(g["start"].alias("start"), g["length"].alias("length"))), F.array().cast("array<struct<start:bigint,length:bigint>>"))
-    return both.select(
-        "doc_id",
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_units"),
-        F.size(lost).cast("long").alias("n_removed"),
-        F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["length"]).alias("removed_chars"),
-        spans.alias("spans"),
-        F.when(F.col("text").isNotNull(), F.array_join(F.transform(kept, lambda x: x["u"]), separator)).alias("kept_text"),
-    )
+    gone = removed(materialize(units(own, separator=separator, least=least)))
+    gone = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("gone")).withColumnRenamed("doc_id", "_id")
+    both = own.join(gone, own["doc_id"].eqNullSafe(gone["_id"]), "left").select("doc_id", "text", "gone")
+    span = pa.struct([("start", pa.int64()), ("length", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("removed_chars", pa.int64()), ("spans", pa.list_(span)), ("kept_text", pa.string())])
+
+    def cut(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {f.name: [] for f in schema}
+        for doc, text, lost in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "text", "gone")), strict=True):
+            parts = [] if text is None else text.split(separator)
+            ends = list(accumulate(len(u) + len(separator) for u in parts)) if lost else []
+            spans = [{"start": ends[p] - len(separator) - len(parts[p]), "length": len(parts[p])} for p in lost or []]
+            gone_here = set(lost or [])
+            kept = separator.join(u for i, u in enumerate(parts) if i not in gone_here) if lost else text
+            for name, value in zip(out, (doc, len(parts), len(spans), sum(s["length"] for s in spans), spans, kept), strict=True):
+                out[name].append(value)
+        return out
+
+    return both.mapInArrow(lambda it: rows(it, schema, cut), "doc_id long, n_units long, n_removed long, removed_chars long, spans array<struct<start:long,length:long>>, kept_text string")
 
 
 def digests(deduplicated: DataFrame) -> DataFrame:
@@ -76,7 +96,7 @@ with parts as (
 ), placed as (
   select doc_id, pos, unit, length(unit) as len,
     sum(length(unit) + 1) over (partition by doc_id order by pos rows between unbounded preceding and current row) - length(unit) - 1 as start,
-    trim(regexp_replace(translate(unit, '{UPPER}', '{LOWER}'), '{BLANKS}', ' ', 'g'), ' ') as plain
+    trim(regexp_replace(lower(unit), '{BLANKS}', ' ', 'g'), ' ') as plain
   from flat
 ), ranked as (
   select *, case when length(plain) >= {LEAST} then row_number() over (partition by plain order by doc_id, pos) else 1 end as rank from placed

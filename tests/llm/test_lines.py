@@ -12,7 +12,7 @@ def brute(rows):
     for doc, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
         kept, spans, at = [], [], 0
         for unit in text.split("\n") if text is not None else []:
-            plain = re.sub(r"[\t\r\x0b\x0c ]+", " ", "".join(c.lower() if c.isascii() else c for c in unit)).strip(" ")
+            plain = re.sub(r"[\t\r\x0b\x0c ]+", " ", unit.lower()).strip(" ")
             if len(plain) >= lines.LEAST and plain in seen:
                 spans.append((at, len(unit)))
             else:
