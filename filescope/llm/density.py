@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filescope.llm.common import column, tune
+from filescope.llm.common import column, tidy, tune
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -46,7 +46,7 @@ _CLOSES = {
 #: Elements and words of a class, id or role whose text is never the article's.
 _NOISE = frozenset("aside audio button canvas datalist dialog embed footer form head iframe map menu nav noembed noframes noscript object script search select style svg template textarea title video".split())
 _NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disqus dialog footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification outbrain pager pagination popup promo promoted promotion related recommended replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe taboola tags toolbar widget".split()
+    "ad adbox ads adsbygoogle adsense adslot adunit advert adverts advertisement advertising advertorial alert alerts announcement banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disqus dialog footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination popup promo promoted promotion related recommended replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe taboola tags teaser teasers toast toolbar trending widget".split()
 )
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -76,7 +76,7 @@ def _is_noise(name: str, attrs: str) -> int:
             for token in value.split():
                 # A layout that has or lacks a sidebar isn't one.
                 words = [w.lower() for w in _WORD.findall(token)]
-                if words and words[0] not in ("has", "no", "with", "without") and not _NAMES.isdisjoint(words):
+                if words and words[0] not in ("has", "no", "with", "without") and not _NAMES.isdisjoint([*words, "".join(words)]):
                     found = 1
     return found
 
@@ -282,4 +282,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([column(batch, "page_id"), column(batch, "url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=schema)
 
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return own.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return own.mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")

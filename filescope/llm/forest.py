@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filescope.llm.common import column, materialize, tune
+from filescope.llm.common import column, materialize, tidy, tune
 
 TREES = 16
 BITS = 24
 #: Candidates wanted from all trees together: this share of the vectors, and at least so many. Vectors without any
 #: structure need so large a share for a recall of 0.9; see the README.
-SHARE, AT_LEAST = 0.9, 4096
+SHARE, AT_LEAST = 1.0, 4096
 #: Entries of a tree in a block.
 BLOCK = 8192
 SEED = 3
@@ -74,7 +74,7 @@ def _hashed(rows: DataFrame, dim: int, longest: float, trees: int, bits: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(h[:, t]), *batch.columns], names=["tree", "hash", *names])
 
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"tree int, hash long, {types}")
+    return rows.mapInArrow(tidy(run), f"tree int, hash long, {types}")
 
 
 def search(table: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = TREES, bits: int = BITS, share: float = SHARE, at_least: int = AT_LEAST, block: int = BLOCK) -> DataFrame:
@@ -171,7 +171,7 @@ def search(table: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec_c
         return blank.unionByName(asks.select(blank.columns)).repartition("tree", "p").sortWithinPartitions("tree", "p", "kind")
 
     ask = questions.select("tree", prefix(cut).alias("p"), F.lit(1).alias("kind"), "hash", F.lit(None).cast("array<double>").alias("v"), "vec_id", F.lit(0).alias("depth"))
-    deep = together([], ask).select("tree", "p", "kind", "hash", "vec_id").mapInArrow(count, "vec_id long, depth int, n long")
+    deep = together([], ask).select("tree", "p", "kind", "hash", "vec_id").mapInArrow(tidy(count), "vec_id long, depth int, n long")
     totals = shallow.unionByName(deep).groupBy("vec_id", "depth").agg(F.sum("n").alias("n"))
     depths = totals.groupBy("vec_id").agg(F.coalesce(F.max(F.when(F.col("n") >= want, F.col("depth"))), F.lit(0)).alias("depth"))
     # A query whose depth is above the blocks' goes to all blocks under its prefix.
@@ -179,7 +179,7 @@ def search(table: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec_c
     first = F.expr(f"shiftleft(shiftrightunsigned(hash, {bits} - least(depth, {cut})), {cut} - least(depth, {cut}))")
     blocks = F.sequence(first, first + F.expr(f"shiftleft(1L, {cut} - least(depth, {cut})) - 1"))
     sent = sent.select("tree", F.explode(blocks).alias("p"), F.lit(1).alias("kind"), "hash", "v", "vec_id", "depth")
-    found = together(["v", "ids"], sent).mapInArrow(nearest, "query_id long, vec_id long, score double")
+    found = together(["v", "ids"], sent).mapInArrow(tidy(nearest), "query_id long, vec_id long, score double")
     one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return one.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
