@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import struct
-import zlib
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -484,18 +481,70 @@ def page_summaries(spark, sf_dir):
     return prompts.with_summary(a.select("blob_id", prompt.alias("prompt"))).select("blob_id", "summary.oneLiner", "summary.detailed", "summary.securityExplanation")
 
 
-@query("select 'f' || doc_id as name, cast(strlen(text) as bigint) as uncompressed_size, 0 as method, false as encrypted from documents")
-def zip_entries(spark, sf_dir):
-    """Each document as the only entry of a stored ZIP file, listed by the table function."""
+# --- containers and formats -----------------------------------------
+
+_EXTRA = X.pick_sql(X.ZIP_EXTRAS, "doc_id")
 
-    def pack(name: str, text: str) -> bytes:
-        body, n = text.encode(), name.encode()
-        local = b"PK\x03\x04" + struct.pack("<HHHHHIIIHH", 20, 0, 0, 0, 0, zlib.crc32(body), len(body), len(body), len(n), 0) + n + body
-        central = b"PK\x01\x02" + struct.pack("<HHHHHHIIIHHHHHII", 20, 20, 0, 0, 0, 0, zlib.crc32(body), len(body), len(body), len(n), 0, 0, 0, 0, 0, 0) + n
-        return local + central + b"PK\x05\x06" + struct.pack("<HHHHIIH", 0, 0, 1, 1, len(central), len(local), 0)
 
-    packed = F.pandas_udf(lambda n, t: pd.Series([pack(a, b) for a, b in zip(n, t, strict=True)]), "binary")
-    d = X.table(spark, sf_dir, "documents").select(packed(F.concat(F.lit("f"), "doc_id"), "text").alias("content"))
+@query(f"""select doc_id as blob_id, 'f' || doc_id as name, cast(strlen(text) as bigint) as uncompressed_size, 0 as method, doc_id % 7 = 0 as encrypted from documents
+    union all select doc_id, {_EXTRA}, 0, 0, false from documents where {_EXTRA} <> ''""")
+def zip_entries(spark, sf_dir):
     extract.register(spark)
-    d.createOrReplaceTempView("_zip_files")
-    return spark.sql("select e.name, e.uncompressed_size, e.method, e.encrypted from _zip_files, lateral zip_entries(content) e")
+    X.zips(spark, sf_dir).createOrReplaceTempView("_zip_files")
+    return spark.sql("select blob_id, e.name, e.uncompressed_size, e.method, e.encrypted from _zip_files, lateral zip_entries(content) e")
+
+
+@query(f"""select doc_id as blob_id, case when doc_id % 7 = 0 then 20 else 0 end + ([0, 40, 15, 45, 35, 45])[doc_id % 6 + 1] + case when doc_id % 6 = 4 and doc_id % 7 >= 0 then 18 else 0 end as risk_score,
+    doc_id % 7 <> 0 as scan_complete, case when doc_id % 6 = 4 then 'docx' else 'zip' end as type from documents""")
+def zip_rules(spark, sf_dir):
+    return analyze.assess(X.zips(spark, sf_dir)).select("blob_id", "risk_score", "scan_complete", "detection.type")
+
+
+@query(f"""select doc_id as blob_id, 'f' || doc_id as name, cast(strlen(text) as bigint) as size, case when doc_id % 7 = 0 then 'encrypted' when strlen(text) > 65536 then 'not inspected' else 'text or unrecognised' end as detected,
+      case when doc_id % 7 = 0 then 'cannot inspect' when strlen(text) > 65536 then 'not scanned' else 'no signature-level threat' end as risk, null as note from documents where doc_id % 6 <> 4
+    union all select doc_id, {_EXTRA}, 0, 'text or unrecognised', 'no signature-level threat', case when doc_id % 6 = 1 then 'high-risk extension' end from documents where {_EXTRA} <> '' and doc_id % 6 <> 4""")
+def archive_children(spark, sf_dir):
+    d = extract.with_extraction(detect.with_detection(X.zips(spark, sf_dir))).filter("detection.type = 'zip'")
+    return d.select("blob_id", F.explode("extraction.children").alias("c")).select("blob_id", "c.*")
+
+
+@query("select doc_id as blob_id, 'T' || doc_id as title, 'id ' || doc_id || chr(10) || 'two parts' as text, '1' as pages from documents")
+def pdf_text(spark, sf_dir):
+    d = X.table(spark, sf_dir, "documents")
+    key = F.col("doc_id").cast("string")
+    body = F.concat(F.lit("%PDF-1.4\n<< /Type /Page /Title (T"), key, F.lit(") >>\nBT (id "), key, F.lit(") Tj [(two) ( parts)] TJ ET\n"))
+    e = extract.with_extraction(detect.with_detection(X.source.from_table(d, "doc_id", F.lit("a.pdf"), body)))
+    return e.select("blob_id", e["extraction.metadata"]["Title"].alias("title"), "extraction.text", e["extraction.stats"]["Pages"].alias("pages"))
+
+
+@query("select doc_id as blob_id, (['png', 'gif'])[doc_id % 2 + 1] as type, doc_id + 1 as width, doc_id + 7 as height from documents where doc_id < 65000")
+def image_dims(spark, sf_dir):
+    d = X.table(spark, sf_dir, "documents").filter("doc_id < 65000")
+    w, h = F.col("doc_id") + 1, F.col("doc_id") + 7
+    png = F.concat(F.lit(b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR"), X.be(w, 4), X.be(h, 4), F.lit(b"\x08\x02\0\0\0"))
+    gif = F.concat(F.lit(b"GIF89a"), X.le(w, 2), X.le(h, 2), F.lit(b"\0\0\0"))
+    e = extract.with_extraction(detect.with_detection(X.source.from_table(d, "doc_id", F.lit("a"), F.when(F.col("doc_id") % 2 == 0, png).otherwise(gif))))
+    m = e["extraction.metadata"]
+    return e.select("blob_id", "detection.type", m["Width"].cast("long").alias("width"), m["Height"].cast("long").alias("height"))
+
+
+@query("select doc_id as blob_id, (8000 + doc_id) || ' Hz' as sample_rate, '16' as depth, '2.0 s' as duration from documents")
+def wav_info(spark, sf_dir):
+    d = X.table(spark, sf_dir, "documents")
+    fmt = F.concat(F.lit(b"\1\0\2\0"), X.le(F.col("doc_id") + 8000, 4), X.le(F.lit(100), 4), F.lit(b"\4\0\x10\0"))
+    data = F.concat(F.lit(b"RIFF\0\0\0\0WAVEfmt \x10\0\0\0"), fmt, F.lit(b"data\0\0\0\0" + bytes(200)))
+    e = extract.with_extraction(detect.with_detection(X.source.from_table(d, "doc_id", F.lit("a.wav"), data)))
+    m = e["extraction.metadata"]
+    return e.select("blob_id", m["Sample rate"].alias("sample_rate"), m["Bit depth"].alias("depth"), m["Approx. duration"].alias("duration"))
+
+
+@query("select doc_id as blob_id, (['x86-64', 'ARM64', 'ARM'])[doc_id % 3 + 1] as architecture, 's' || doc_id % 100 as section, cast(doc_id as varchar) as raw_size, 'execute/read' as permissions from documents")
+def pe_sections(spark, sf_dir):
+    d = X.table(spark, sf_dir, "documents")
+    machine = F.unhex(X.pick(["6486", "64AA", "C001"], F.col("doc_id")))
+    name = F.unhex(F.rpad(F.hex(F.encode(F.concat(F.lit("s"), (F.col("doc_id") % 100).cast("string")), "UTF-8")), 16, "0"))
+    section = F.concat(name, X.le(F.lit(4096), 4), F.lit(bytes(4)), X.le(F.col("doc_id"), 4), F.lit(bytes(16)), F.lit(b"\x20\0\0\x60"))
+    data = F.concat(F.lit(b"MZ" + bytes(58) + b"\x40\0\0\0PE\0\0"), machine, F.lit(b"\1\0" + bytes(16)), section, F.lit(b"tail"))
+    e = extract.with_extraction(detect.with_detection(X.source.from_table(d, "doc_id", F.lit("a.exe"), data)))
+    row = e["extraction.tables"][0]["rows"][0]
+    return e.select("blob_id", e["extraction.metadata"]["Architecture"].alias("architecture"), row[0].alias("section"), row[2].alias("raw_size"), row[3].alias("permissions"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,3 +124,40 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.filter(F.array(*(apply_rule(r, F.col("t"), 120) for r in SCRIPT_RULES)), lambda x: x.isNotNull())
     return d.select(F.col("doc_id").cast("string").alias("file_id"), F.posexplode(found).alias("position", "x")).select("file_id", "position", "x.category", "x.severity", "x.description", "x.evidence", "x.recommendation", "x.points")
 
+
+
+def le(value: Column, size: int) -> Column:
+    """A number's little-endian bytes."""
+    text = F.lpad(F.hex(value.cast("long")), 2 * size, "0")
+    return F.unhex(F.concat(*(F.substring(text, 2 * i + 1, 2) for i in reversed(range(size)))))
+
+
+def be(value: Column, size: int) -> Column:
+    return F.unhex(F.lpad(F.hex(value.cast("long")), 2 * size, "0"))
+
+
+def stored_zip(name: str, text: str, extra: str, locked: bool) -> bytes:
+    """A ZIP file with a stored entry, and perhaps an empty second one; the first may be marked as encrypted."""
+    local, central, n = b"", b"", 0
+    for own, body in ((name, text.encode()), (extra, b"")):
+        if not own:
+            continue
+        raw, crc = own.encode(), zlib.crc32(body)
+        flags = int(locked and not n)
+        fields = struct.pack("<HHHHIIIHH", flags, 0, 0, 0, crc, len(body), len(body), len(raw), 0)
+        central += b"PK\x01\x02" + struct.pack("<HH", 20, 20) + fields + struct.pack("<HHHII", 0, 0, 0, 0, len(local)) + raw
+        local += b"PK\x03\x04" + struct.pack("<H", 20) + fields + raw + body
+        n += 1
+    return local + central + b"PK\x05\x06" + struct.pack("<HHHHIIH", 0, 0, n, n, len(central), len(local), 0)
+
+
+ZIP_EXTRAS = ["", "x.exe", "b.zip", "../up.txt", "word/vbaProject.bin", "/abs.txt"]
+
+
+def zips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as an entry of a stored ZIP file, beside a second one that a rule may look for."""
+    packed = F.pandas_udf(lambda n, t, x, k: pd.Series([stored_zip(*r) for r in zip(n, t, x, k, strict=True)]), "binary")
+    d = table(spark, sf_dir, "documents")
+    key = F.col("doc_id")
+    data = packed(F.concat(F.lit("f"), key), F.col("text"), pick(ZIP_EXTRAS, key), key % 7 == 0)
+    return source.from_table(d, "doc_id", F.concat(F.lit("doc_"), key, F.lit(".zip")), data)
