@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filescope.llm.common import column, text_and_id, tune, utf8
+from filescope.llm.common import column, text_and_id, tidy, tune, utf8
 
 SEGMENT = 128
 HIDDEN = 8
@@ -267,7 +267,7 @@ def predict(docs: DataFrame, net: BiGRU, id_col: str = "doc_id", text_col: str =
             langs, scores = own.languages(column(batch, "text").to_pylist())
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=schema)
 
-    return text_and_id(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return text_and_id(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, net: BiGRU, text_col: str = "text", least: float = 0.0, langs: list[str] | None = None) -> DataFrame:
@@ -284,7 +284,7 @@ def accepted(docs: DataFrame, net: BiGRU, text_col: str = "text", least: float =
             found = zip(*own.languages(column(batch, text_col).to_pylist()), strict=True)
             yield batch.filter(pa.array([a != UNKNOWN and b >= least and (langs is None or a in langs) for a, b in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def held_out(doc_id="doc_id"):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filescope.llm.common import column, materialize, rows, text_and_id, tune
+from filescope.llm.common import column, materialize, rows, text_and_id, tidy, tune
 
 CAPACITY = 1024
 END = 2
@@ -176,7 +176,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, pieces_per_task: int = PIEC
         parts = max(1, -(-n // pieces_per_task))
         dealt = rest.withColumn("_part", (F.shiftrightunsigned(F.xxhash64(key, F.lit(r)), 1) % parts).cast("long"))
         dealt = dealt.repartition(parts, "_part").sortWithinPartitions("_part", F.desc("length"), key, "doc_id", "piece")
-        packed = materialize(dealt.mapInArrow(_pack_partition(capacity, r, "_part", last), dealt.schema).drop("_part"))
+        packed = materialize(dealt.mapInArrow(tidy(_pack_partition(capacity, r, "_part", last)), dealt.schema).drop("_part"))
         done.append(packed.filter(F.col("sequence_id").isNotNull()))
         rest = packed.filter(F.col("sequence_id").isNull())
         n = 0 if last else rest.count()

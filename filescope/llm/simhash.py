@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filescope.llm.common import column, lower_words, materialize, rows, text_and_id, tune, utf8
+from filescope.llm.common import column, lower_words, materialize, rows, text_and_id, tidy, tune, utf8
 from filescope.llm.components import components
 
 SHINGLE = 4
@@ -105,7 +105,7 @@ def links(distinct: DataFrame, n: int, distance: int = DISTANCE, bucket: int = B
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
-    return lists.select("fps").mapInArrow(verify, "a long, b long")
+    return lists.select("fps").mapInArrow(tidy(verify), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filescope.llm.common import column, discard, materialize, rows, tune, utf8
+from filescope.llm.common import column, discard, materialize, rows, tidy, tune, utf8
 
 LENGTH = 200
 GRAM = 64
@@ -336,9 +336,9 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     open_ = per_doc.select("doc_id", "tag", F.filter("ranges", lambda r: r["kind"] > 0).alias("open")).filter(F.size("open") > 0)
     joined = keyed.join(open_, _same(keyed, open_)).select(keyed["doc_id"], keyed["tag"], "text", "open")
-    snippets = joined.mapInArrow(cut, "doc_id long, tag int, h long, salts int, kind int, first long, place long, snippet binary")
+    snippets = joined.mapInArrow(tidy(cut), "doc_id long, tag int, h long, salts int, kind int, first long, place long, snippet binary")
     snippets = snippets.withColumn("salt", F.pmod(F.xxhash64("doc_id", "first"), F.col("salts")).cast("int"))
-    local = snippets.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_sort_snippets(length), _RANGES + ", h long, digest long")
+    local = snippets.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(tidy(_sort_snippets(length)), _RANGES + ", h long, digest long")
     local = materialize(local)
     inside = local.filter("digest is null").select("doc_id", "tag", "first", "last")
     open_digests = local.filter("digest is not null")
@@ -401,7 +401,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
             left = [None if t is None else kept(utf8(t), s).decode("utf-8", "ignore") if s else t for t, s in zip(texts, _spans(batch, length), strict=True)]
             yield pa.RecordBatch.from_arrays([column(batch, "row"), pa.array(left, pa.string())], names=["row", "left"])
 
-    out = joined.select("text", "sure", "edges", "row").mapInArrow(run, f"row {joined.schema['row'].dataType.simpleString()}, left string")
+    out = joined.select("text", "sure", "edges", "row").mapInArrow(tidy(run), f"row {joined.schema['row'].dataType.simpleString()}, left string")
     return out.select(*(F.col("left").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
