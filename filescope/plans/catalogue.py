@@ -315,10 +315,10 @@ def duplicates(spark, sf_dir):
     return catalog.duplicates(X.catalogue(spark, sf_dir)).select("id", "user_id", "duplicate_of")
 
 
-@query(f"with {X.CATALOGUE_SQL} select distinct a.id, a.user_id, a.sha256 from f a join f b on a.user_id = b.user_id and a.sha256 = b.sha256 where cast(a.id as bigint) % 10 = 0 and cast(b.id as bigint) % 10 <> 0")
+@query(f"with {X.CATALOGUE_SQL} select distinct a.id, a.user_id, a.sha256 from f a join f b on a.user_id = b.user_id and a.sha256 = b.sha256 where cast(a.id as bigint) % 2 = 0 and cast(b.id as bigint) % 2 <> 0")
 def duplicate_lookup(spark, sf_dir):
     f = X.catalogue(spark, sf_dir)
-    new = F.col("id").cast("long") % 10 == 0
+    new = F.col("id").cast("long") % 2 == 0
     return catalog.is_duplicate(f.filter(new), f.filter(~new)).select("id", "user_id", "sha256")
 
 
