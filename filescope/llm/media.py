@@ -288,6 +288,17 @@ def thumbnail_hash(thumb: np.ndarray) -> int:
     return int.from_bytes(np.packbits(cells > cells.mean()).tobytes(), "big")
 
 
+def hash_of_frames(thumbs: list[np.ndarray]) -> str:
+    """16 digits: the thumbnail hash of one frame; of several, the start of the SHA-256 of all frames' shapes and samples."""
+    if len(thumbs) == 1:
+        return f"{thumbnail_hash(thumbs[0]):016x}"
+    whole = hashlib.sha256()
+    for t in thumbs:
+        whole.update(repr(t.shape).encode())
+        whole.update(np.ascontiguousarray(t))
+    return whole.hexdigest()[:16]
+
+
 def pad(data: bytes) -> bytes:
     """`data` with bytes 0 up to a positive multiple of 64."""
     return data + bytes(-len(data) % WIDTH or (0 if data else WIDTH))
@@ -312,8 +323,8 @@ def encode_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def thumbnail_columns(media: DataFrame, media_col: str = "media") -> DataFrame:
     """All columns of `media`, with width, height and n_frames of the JPEG, its thumbnail's bytes and thumbnail hash.
 
-    Several frames one after the other: the first frame's width, the sum of heights, and the thumbnails joined. Null or
-    broken media: nulls. The names width, height, n_frames, thumbnail, thumbnail_hash are overwritten.
+    Several frames one after the other: the first frame's width, the sum of heights, the thumbnails joined, and one hash of
+    all of them (see hash_of_frames). Null or broken media: nulls. The names width, height, n_frames, thumbnail, thumbnail_hash are overwritten.
     """
     tune(media.sparkSession)
     new = [("width", pa.int64()), ("height", pa.int64()), ("n_frames", pa.int32()), ("thumbnail", pa.binary()), ("thumbnail_hash", pa.string())]
@@ -331,7 +342,7 @@ def thumbnail_columns(media: DataFrame, media_col: str = "media") -> DataFrame:
                 cols["height"].append(x and sum(f[1] for f in x))
                 cols["n_frames"].append(x and len(x))
                 cols["thumbnail"].append(x and b"".join(f[2].tobytes() for f in x))
-                cols["thumbnail_hash"].append(x and "".join(f"{thumbnail_hash(f[2]):016x}" for f in x[:1]))
+                cols["thumbnail_hash"].append(x and hash_of_frames([f[2] for f in x]))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(cols[n], t) for n, t in new)], names=[*batch.schema.names, *cols])
 
     types = "width long, height long, n_frames int, thumbnail binary, thumbnail_hash string"

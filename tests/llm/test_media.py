@@ -83,3 +83,11 @@ def test_digests(spark):
             assert r["payload_sha256"] == hashlib.sha256(p).hexdigest() and r["n_bytes"] == len((text or "").encode())
             assert r["media_sha256"] == hashlib.sha256(media.encode(p)).hexdigest() and r["payload_bytes"] == len(p)
     assert media.digests(media.thumbnail_columns(media.encode_columns(df.limit(0)))).count() == 0
+
+
+def test_every_frame_enters_the_feature(spark):
+    # Over 524,224 bytes: two frames, the first the same in all.
+    first = "a" * 8191 * 64
+    df = spark.createDataFrame([(1, first + "b" * 64), (2, first + "c" * 64), (3, first + "b" * 63 + "c"), (4, first + "b" * 64)], "doc_id long, text string")
+    got = {r["doc_id"]: r["feature"] for r in media.digests(media.thumbnail_columns(media.encode_columns(df))).collect()}
+    assert got[1] == got[4] and len({got[1], got[2], got[3]}) == 3
