@@ -11,9 +11,18 @@ from filescope.llm import langid, mixing, packing, simhash, suffixes
 from filescope.llm.common import materialize, table
 
 
+#: Least mean probability of a text's language. On sf0.1's held-out labelled documents, all 2,493 that are named rightly
+#: score 0.522 or more.
+LEAST_SCORE = 0.5
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; those without a letter, or like none that was learned, go."""
-    return langid.accepted(docs, langid.train(docs))
+    """Documents whose text has a language: those without a letter go, and those where no language has half of the score.
+
+    What is in no learned language stays where the network takes it for one (repeated digits or symbols with a letter
+    among them may score 0.9).
+    """
+    return langid.accepted(docs, langid.train(docs), least=LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -96,3 +96,14 @@ def test_empty_table(spark):
     for _, f in corpus_pipeline.STAGES:
         docs = spark.createDataFrame(f(spark, docs, SF).collect(), docs.schema) if f is not corpus_pipeline.pack else f(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_texts_that_no_language_has_half_of_go(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    longest = {}
+    for r in sorted(docs.filter("n_chars between 600 and 3000").collect(), key=lambda r: r["doc_id"]):
+        longest.setdefault(r["lang"], []).append(r["text"][:600])
+    mixed = [" ".join(texts) for texts in zip(*(v for k, v in sorted(longest.items()) if k), strict=False)][:5]
+    odd = spark.createDataFrame([(90_100 + i, t, None, "s", len(t)) for i, t in enumerate(mixed)], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs.unionByName(odd), SF).collect()}
+    assert len(mixed) == 5 and kept == {r["doc_id"] for r in docs.collect()}
