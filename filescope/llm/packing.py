@@ -59,6 +59,21 @@ def encode(text: str | None) -> np.ndarray:
     return np.array([*out, END], np.uint32)
 
 
+#: The added token of byte_bpe_50k.json, which that file finds in texts, and its id.
+MARK, MARK_ID = "<|endoftext|>", 50256
+
+
+def token_ids(text: str | None) -> np.ndarray:
+    """Token ids of a text as byte_bpe_50k.json has them, MARK being one token, and the end token."""
+    first, *others = (text or "").split(MARK)
+    if not others:
+        return encode(first)
+    out = [encode(first)[:-1]]
+    for part in others:
+        out += [np.array([MARK_ID], np.uint32), encode(part)[:-1]]
+    return np.concatenate([*out, np.array([END], np.uint32)])
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens: all of `capacity` tokens, but the first, which has the rest."""
     first = n % capacity or min(n, capacity)
@@ -73,7 +88,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     def each(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {f.name: [] for f in schema}
         for doc, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist(), strict=True):
-            ids = encode(text)
+            ids = token_ids(text)
             for k, (start, length) in enumerate(cut(len(ids), capacity)):
                 for name, value in zip(out, (doc, k, start, length, zlib.crc32(ids[start : start + length].astype("<u4").tobytes())), strict=True):
                     out[name].append(value)

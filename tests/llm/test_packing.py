@@ -96,3 +96,14 @@ def test_exchange_between_partitions(spark):
     assert len(out) == 3000
     total = sum(r["length"] for r in out)
     assert _check(out, 100) <= total / 100 * 1.03 + 2
+
+
+def test_the_added_token_is_one_token(spark):
+    import public_tokenizers
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "x  <|endoftext|>\n\n y", "<|endoftext", "plain text", "word " * 20_000 + "<|endoftext|>" + " word" * 20_000]
+    for text in texts:
+        assert packing.token_ids(text).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+    (r,) = packing.pieces(spark.createDataFrame([(1, texts[0])], "doc_id long, text string")).collect()
+    assert r["length"] == 5 and r["ids_crc32"] == zlib.crc32(np.array([64, 220, 50256, 275, 2], "<u4").tobytes())
