@@ -59,9 +59,11 @@ class Node:
 
 
 def _is_noise(name: str, attrs: str) -> int:
-    """2: by element, or hidden; 1: by a word of its names; 0: no noise."""
-    if name in _NOISE:
+    """3: a form that isn't hidden; 2: by element, or hidden; 1: by a word of its names; 0: no noise."""
+    if name in _NOISE and name != "form":
         return 2
+    if name == "form":
+        return 2 if _is_noise("div", attrs) == 2 else 3
     if not attrs or name in ("html", "body", "article", "main"):
         return 0
     found = 0
@@ -146,23 +148,30 @@ def _in_article(node: Node) -> bool:
 
 
 def _prune(root: Node) -> None:
-    """Drop noise from the tree; of an article's own header the headings stay.
+    """Drop noise from the tree; of an article's own header the headings stay, and no heading goes by its names.
+
+    A form that holds the page's article, or more text than is outside of forms, is the page's layout, and stays.
 
     What is noise by its names alone, but has over half of the page's text, in an article's structure, is the page's
     layout, and stays.
     """
+    outside = _chars(root)
+    for x in list(_walk(root)):
+        if x.noise == 3 and (any(k.name in ("article", "main") for k in _walk(x)) or _chars(x) > outside):
+            x.noise = 0
     stack, half = [root], _chars(root) / 2
     while stack:
         node = stack.pop()
         kept = []
         for k in node.kids:
             if type(k) is Node:
-                if k.noise == 2 or (k.noise == 1 and not (_chars(k) > half and _is_layout(k))):
+                own = k.name in _HEADINGS or (k.name == "header" and _in_article(k))
+                if k.noise >= 2 or (k.noise == 1 and not own and not (_chars(k) > half and _is_layout(k))):
                     continue
                 if k.name == "header":
                     if not _in_article(k):
                         continue
-                    k.kids = [h for h in _walk(k) if h.name in _HEADINGS]
+                    k.kids = [h for h in _walk(k) if h.name in _HEADINGS and h.noise < 2]
                 stack.append(k)
             kept.append(k)
         node.kids = kept

@@ -53,3 +53,15 @@ def test_whole_table(spark):
             parts = (" ".join(html.unescape(re.sub("<b>|<br>", " ", x)).split()) for x in re.split("</?(?:p|h1)>", inner))
             assert r["text"] == "\n".join(x for x in parts if x)
     assert density.extract(pages.limit(0)).count() == 0
+
+
+def test_titles_with_names_of_noise_and_forms_around_the_page():
+    dense = "with enough words to be dense"
+    body = f"<p>{P}</p><p>Short.</p>"
+    for head in ('<header class="entry-header"><h1>Title</h1><p>by me</p></header>', '<h1 class="post-header">Title</h1>'):
+        text = density.main_text(page(f"<nav>Home</nav><article>{head}{body}</article>"))
+        assert text.split("\n")[0] == "Title" and "by me" not in text and dense in text
+    for inner in (f"<article>{body}</article>", f"<div>{body}</div>"):
+        assert dense in density.main_text(page(f"<form action='/x'><input>{inner}</form>"))
+    assert density.main_text(page(f"<form hidden><article>{body}</article></form>")) == ""
+    assert "Write" not in density.main_text(page(f"<article>{body}</article><form><p>Write</p></form>"))
