@@ -1,13 +1,18 @@
-"""Line or paragraph deduplication: units by digest, the earliest kept, the rest removed with their offsets.
+"""Line deduplication: units by digest, the earliest kept, runs of repeated ones removed with their offsets.
 
-Units are normalised and hashed by DataFrame functions where their text lies; only digests and places are shuffled. The
-earliest occurrence of each digest is a minimum, which partial aggregation brings to a row for each task; the join back
-is on digests that occur at least twice, and adaptive execution splits the tasks of very common ones. Texts are shuffled
-once, to meet the places of their removed units.
+A unit is a line or, in a line of several sentences, a sentence: it ends after a newline, or after a full stop, question
+or exclamation mark and a space. Units are normalised and hashed by DataFrame functions where their text lies; only
+digests and places are shuffled. The earliest occurrence of each digest is a minimum, which partial aggregation brings to
+a row for each task; the join back is on digests that occur at least twice, and adaptive execution splits the tasks of
+very common ones. Texts are shuffled once, to meet the places of their repeated units.
+
+Short units coincide by chance, and so do longer ones in a large corpus: units of fewer than WORDS words are not compared,
+and repeated ones are removed where a run of them, with short ones between, comes to RUN words.
 """
 
 from __future__ import annotations
 
+import re
 from itertools import accumulate
 
 import pyarrow as pa
@@ -16,66 +21,87 @@ from pyspark.sql import functions as F
 
 from filescope.llm.common import column, materialize, rows, tune
 
-#: Shorter units, once normalised, are never removed: they coincide by chance.
-LEAST = 24
-BLANKS = r"[\t\r\x0B\x0C ]+"
+#: Words of the shortest unit that is compared, and of the shortest run of repeated units that is removed.
+WORDS, RUN = 4, 20
+UNIT = r"[^\n]*?(?:[.!?] |\n)|[^\n]+"
+BLANKS = r"[\t\n\r\x0B\x0C ]+"
+_UNIT, _BLANKS = re.compile(UNIT), re.compile(BLANKS)
 
 
-def _normalised(unit):
+def normalised(unit):
     """In lower case, with blanks made one space. Most units have no two blanks together, nor any but spaces."""
     low = F.lower(unit)
     odd = low.contains("  ")
-    for c in "\t\r\x0b\x0c":
+    for c in "\t\n\r\x0b\x0c":
         odd = odd | low.contains(c)
     return F.trim(F.when(odd, F.regexp_replace(low, BLANKS, " ")).otherwise(low))
 
 
-def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n", least: int = LEAST) -> DataFrame:
-    """doc_id, pos, digest: a row per unit that may be removed, by its place in the text; texts stay where they are."""
+def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """doc_id, pos, digest: a row per unit of at least `words` words, by its place in the text; texts stay where they are."""
 
     def digest(unit):
-        plain = _normalised(unit)
-        return F.when(F.length(plain) >= least, F.unhex(F.md5(plain)))
+        plain = normalised(unit)
+        return F.when((plain != "") & (F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) >= words - 1), F.unhex(F.md5(plain)))
 
-    found = F.transform(F.split(F.col(text_col).cast("string"), separator, -1), digest)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(found).alias("pos", "digest"))
-    return rows.filter("digest is not null")
+    found = F.transform(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(UNIT), F.lit(0)), digest)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(found).alias("pos", "digest")).filter("digest is not null")
 
 
-def removed(found: DataFrame) -> DataFrame:
-    """doc_id, pos of the units that an earlier one, by doc_id and place, repeats. `found` is read twice."""
+def repeated(found: DataFrame) -> DataFrame:
+    """doc_id, pos of the units that an earlier one, by doc_id and place, has said. `found` is read twice."""
     first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
     # Written, so that the join's sides are two exchanges: Spark can then split the tasks of a very common unit.
     first = materialize(first.filter("n > 1").select("digest", "first"))
     return found.join(first, "digest").filter(~F.struct("doc_id", "pos").eqNullSafe(F.col("first"))).select("doc_id", "pos")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n", least: int = LEAST) -> DataFrame:
+def removed_runs(parts: list[str], again: set[int], words: int, run: int) -> list[tuple[int, int]]:
+    """Runs (first unit, one after the last) of repeated units, `again`, that come to `run` words; short ones are passed over."""
+    out: list[tuple[int, int]] = []
+    first, after, total = 0, 0, 0
+    for i, part in enumerate([*parts, None]):
+        size = len(_BLANKS.sub(" ", part).strip(" ").split(" ")) if part is not None else 0
+        if i in again:
+            first, after, total = (i if not total else first), i + 1, total + size
+        elif part is None or (size >= words and part.strip("\t\n\r\x0b\x0c ")):
+            if total >= run:
+                out.append((first, after))
+            total = 0
+    return out
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, run: int = RUN) -> DataFrame:
     """doc_id, n_units, n_removed, removed_chars, spans, kept_text of each row.
 
-    spans has (start, length) of each removed unit in code points of the original text, in order; kept_text is the kept
-    units, joined again. Units are compared in lower case with blanks made one; those under `least` characters always
-    stay. Rank is by doc_id (nulls first), then place in the text. Null text: no units, null kept_text. Repeated rows,
-    ids included, are one document: all of them keep or lose the same units. Extra columns are not read. An empty table:
-    no rows.
+    spans has (start, length) of each run of removed units in code points of the original text, in order; kept_text is what
+    is left. Units are compared in lower case with blanks made one; the earliest of equal ones stays, by doc_id (nulls
+    first), then place in the text. A later one goes only in a run of such units of at least `run` words in all, where
+    units of fewer than `words` words, which are not compared, may stand between. Null text: no units, null kept_text.
+    Repeated rows, ids included, are one document: all of them keep or lose the same units. Extra columns are not read. An
+    empty table: no rows.
     """
     tune(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    gone = removed(materialize(units(own, separator=separator, least=least)))
-    gone = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("gone")).withColumnRenamed("doc_id", "_id")
-    both = own.join(gone, own["doc_id"].eqNullSafe(gone["_id"]), "left").select("doc_id", "text", "gone")
+    again = repeated(materialize(units(own, words=words)))
+    again = again.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("again")).withColumnRenamed("doc_id", "_id")
+    both = own.join(again, own["doc_id"].eqNullSafe(again["_id"]), "left").select("doc_id", "text", "again")
     span = pa.struct([("start", pa.int64()), ("length", pa.int64())])
     schema = pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("removed_chars", pa.int64()), ("spans", pa.list_(span)), ("kept_text", pa.string())])
 
     def cut(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {f.name: [] for f in schema}
-        for doc, text, lost in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "text", "gone")), strict=True):
-            parts = [] if text is None else text.split(separator)
-            ends = list(accumulate(len(u) + len(separator) for u in parts)) if lost else []
-            spans = [{"start": ends[p] - len(separator) - len(parts[p]), "length": len(parts[p])} for p in lost or []]
-            gone_here = set(lost or [])
-            kept = separator.join(u for i, u in enumerate(parts) if i not in gone_here) if lost else text
-            for name, value in zip(out, (doc, len(parts), len(spans), sum(s["length"] for s in spans), spans, kept), strict=True):
+        for doc, text, seen in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "text", "again")), strict=True):
+            parts = _UNIT.findall(text or "")
+            runs = removed_runs(parts, set(seen), words, run) if seen else []
+            ends = [0, *accumulate(map(len, parts))] if runs else []
+            spans = [{"start": ends[a], "length": ends[b] - ends[a]} for a, b in runs]
+            kept, at = [], 0
+            for s in spans:
+                kept.append(text[at : s["start"]])
+                at = s["start"] + s["length"]
+            left = "".join([*kept, text[at:]]) if runs else text
+            for name, value in zip(out, (doc, len(parts), sum(b - a for a, b in runs), sum(s["length"] for s in spans), spans, left), strict=True):
                 out[name].append(value)
         return out
 
@@ -90,23 +116,31 @@ def digests(deduplicated: DataFrame) -> DataFrame:
 
 ORACLE = rf"""
 with parts as (
-  select doc_id, text, string_split(text, chr(10)) as units from documents where text is not null
+  select doc_id, regexp_extract_all(text, '{UNIT}') as units from documents where text is not null
 ), flat as (
-  select doc_id, unnest(units) as unit, unnest(range(len(units))) as pos, units from parts
-), placed as (
-  select doc_id, pos, unit, length(unit) as len,
-    sum(length(unit) + 1) over (partition by doc_id order by pos rows between unbounded preceding and current row) - length(unit) - 1 as start,
-    trim(regexp_replace(lower(unit), '{BLANKS}', ' ', 'g'), ' ') as plain
+  select doc_id, unnest(units) as unit, unnest(range(len(units))) as pos from parts
+), plain as (
+  select *, trim(regexp_replace(lower(unit), '{BLANKS}', ' ', 'g'), ' ') as plain, length(unit) as len,
+    sum(length(unit)) over (partition by doc_id order by pos rows between unbounded preceding and current row) - length(unit) as start
   from flat
-), ranked as (
-  select *, case when length(plain) >= {LEAST} then row_number() over (partition by plain order by doc_id, pos) else 1 end as rank from placed
-), agg as (
-  select doc_id, count(*) as n_units, count(*) filter (rank > 1) as n_removed, coalesce(sum(len) filter (rank > 1), 0) as removed_chars,
-    coalesce(string_agg(cast(start as bigint) || '+' || len, ',' order by pos) filter (rank > 1), '') as spans,
-    coalesce(string_agg(unit, chr(10) order by pos) filter (rank = 1), '') as kept
-  from ranked group by doc_id
+), sized as (
+  select *, case when plain = '' then 0 else length(plain) - length(replace(plain, ' ', '')) + 1 end as words from plain
+), judged as (
+  select *, words >= {WORDS} as compared, words >= {WORDS} and row_number() over (partition by plain order by doc_id, pos) > 1 as again from sized
+), compared as (
+  select *, sum(case when again then 0 else 1 end) over (partition by doc_id order by pos rows between unbounded preceding and current row) as stretch from judged where compared
+), runs as (
+  select doc_id, stretch, min(pos) as first, max(pos) as last from compared where again group by all having sum(words) >= {RUN}
+), spans as (
+  select r.doc_id, r.first, count(*) as n, cast(min(start) as bigint) as start, cast(sum(len) as bigint) as len
+  from runs r join judged j on j.doc_id = r.doc_id and j.pos between r.first and r.last group by all
+), removed as (
+  select doc_id, sum(n) as n, sum(len) as len, string_agg(start || '+' || len, ',' order by start) as spans from spans group by 1
+), kept as (
+  select j.doc_id, count(*) as n, coalesce(string_agg(unit, '' order by pos) filter (s.doc_id is null), '') as text
+  from judged j left join runs s on s.doc_id = j.doc_id and j.pos between s.first and s.last group by 1
 )
-select d.doc_id, cast(coalesce(n_units, 0) as bigint) as n_units, cast(coalesce(n_removed, 0) as bigint) as n_removed,
-  cast(coalesce(removed_chars, 0) as bigint) as removed_chars, coalesce(spans, '') as spans, sha256(coalesce(kept, '')) as kept_sha256
-from documents d left join agg using (doc_id)
+select d.doc_id, cast(coalesce(k.n, 0) as bigint) as n_units, cast(coalesce(r.n, 0) as bigint) as n_removed,
+  cast(coalesce(r.len, 0) as bigint) as removed_chars, coalesce(r.spans, '') as spans, sha256(coalesce(k.text, '')) as kept_sha256
+from documents d left join kept k using (doc_id) left join removed r using (doc_id)
 """
