@@ -3,10 +3,11 @@
 A page's elements become a tree. What is never main text by its element or its name (menus, headers, footers, asides,
 adverts, forms, scripts, reader comments, ...) leaves it. For every other node the composite density is its characters
 for each tag, adjusted by links: C/T * log((C/LC) * (T/LT)) to the base ln(C*LC/(C-LC) + LCb*C/Cb + e), where C are the
-characters under it, T tags, LC and LT those of links, and b the body. A node's density sum is that of its children.
-The densest sum on the page is its main subtree; the threshold is the least density on the path from the body to it.
-The nearest article around that subtree is the text; without one, it is the subtree, and those beside the path that
-reach the threshold.
+characters under it, T tags, LC and LT those of links, and b the body. A block's density sum is that of the blocks right
+under it, whatever inline elements are between; a block without blocks has its own density. The densest sum on the page
+is the main subtree (of equal sums that of an article or main element, then the first). The threshold is the least
+density on the path from the body to it: blocks beside the path that reach it are main text too, and so are, inside the
+path's containers, paragraphs, headings, lists and the like that aren't mostly links, which belong to the same flow.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 
 from filescope.llm.common import column, tidy, tune
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
+#: Quotes count after an equals sign only.
+_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z))", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -32,9 +34,8 @@ _RAW = frozenset("script style textarea title noscript iframe xmp noembed nofram
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-#: A start tag ends open elements of these names, up to one of the others.
+#: A start tag ends open elements of these names, up to one of the others; that of any block ends an open paragraph.
 _CLOSES = {
-    **{n: (frozenset(["p"]), frozenset("button table td th li dd dt".split()) | _BLOCK - {"p"}) for n in _BLOCK},
     "li": (frozenset(["li", "p"]), frozenset("ul ol menu".split())),
     "dd": (frozenset("dd dt p".split()), frozenset(["dl"])),
     "dt": (frozenset("dd dt p".split()), frozenset(["dl"])),
@@ -43,6 +44,10 @@ _CLOSES = {
     "th": (frozenset("td th p".split()), frozenset("tr table".split())),
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
+#: Elements of running text.
+_FLOW = frozenset("blockquote details dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul".split())
+#: Deeper elements are siblings, as in browsers.
+_DEPTH = 512
 #: Elements and words of a class, id or role whose text is never the article's.
 _NOISE = frozenset("aside audio button canvas datalist dialog embed footer form head iframe map menu nav noembed noframes noscript object script search select style svg template textarea title video".split())
 _NAMES = frozenset(
@@ -52,10 +57,12 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("chars", "density", "kids", "link_chars", "link_tags", "name", "noise", "parent", "sum", "tags")
+    """An element. chars and so on are sums over all it holds, once summed."""
+
+    __slots__ = ("block", "chars", "density", "headings", "kids", "link_chars", "link_tags", "main", "name", "noise", "paragraphs", "parent", "sum", "tags")
 
     def __init__(self, name: str, parent: Node | None, noise: int) -> None:
-        self.name, self.parent, self.noise, self.kids = name, parent, noise, []
+        self.name, self.parent, self.noise, self.kids, self.block = name, parent, noise, [], name in _BLOCK
 
 
 def _is_noise(name: str, attrs: str) -> int:
@@ -83,68 +90,86 @@ def _is_noise(name: str, attrs: str) -> int:
     return found
 
 
-def _chars(node: Node) -> int:
-    """Characters under a node, without elements that are noise."""
-    total, stack = 0, [node]
-    while stack:
-        x = stack.pop()
-        for k in x.kids:
-            if type(k) is str:
-                total += len(k.strip())
-            elif k.noise < 2:
-                stack.append(k)
-    return total
-
-
 def parse(page: str) -> Node:
     """The tree of a page; text nodes are strings. Unclosed and stray tags are dealt with as browsers mostly do."""
-    root = at = Node("#root", None, 0)
+    root = Node("#root", None, 0)
+    stack, blocks = [root], [0]  # open elements, and where blocks are among them
+    open_: dict[str, list[int]] = {}
     pos = 0
-    for m in _TAG.finditer(page):
-        if m.start() < pos:
-            continue
+
+    def close(at: int) -> None:
+        """Close the element at `at` and all that are open in it."""
+        for x in stack[at:]:
+            open_[x.name].pop()
+            if x.block:
+                blocks.pop()
+        del stack[at:]
+
+    while m := _TAG.search(page, pos):
         if m.start() > pos:
-            at.kids.append(page[pos : m.start()])
+            stack[-1].kids.append(page[pos : m.start()])
         pos = m.end()
         if m[2] is None:
             continue
         name = m[2].lower()
         if m[1]:
-            x = at
-            while x.parent is not None and x.name != name:
-                # An end tag inside a block doesn't close blocks around it, unless it is a block's own.
-                if x.name in _BLOCK and name not in _BLOCK:
-                    x = root
-                    break
-                x = x.parent
-            if x.parent is not None:
-                at = x.parent
+            at = open_.get(name)
+            # An end tag inside a block doesn't close blocks around it, unless it is a block's own.
+            if at and (name in _BLOCK or at[-1] > blocks[-1]):
+                close(at[-1])
             continue
+        if name in _BLOCK and stack[blocks[-1]].name == "p":
+            close(blocks[-1])
         if rule := _CLOSES.get(name):
-            x, close = at, None
-            while x.parent is not None and x.name not in rule[1]:
-                if x.name in rule[0]:
-                    close = x
-                x = x.parent
-            if close is not None:
-                at = close.parent
-        node = Node(name, at, _is_noise(name, m[3]))
-        at.kids.append(node)
+            found = None
+            for at in reversed(blocks if name != "option" else range(len(stack))):
+                if stack[at].name in rule[1]:
+                    break
+                if stack[at].name in rule[0]:
+                    found = at
+            if found:
+                close(found)
+        node = Node(name, stack[-1], _is_noise(name, m[3]))
+        stack[-1].kids.append(node)
         if name in _RAW:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, pos)
+            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, pos)
             pos = end.end() if end else len(page)
-        elif name not in _VOID and not m[3].endswith("/"):
-            at = node
+        elif name not in _VOID and not m[3].endswith("/") and len(stack) < _DEPTH:
+            open_.setdefault(name, []).append(len(stack))
+            if node.block:
+                blocks.append(len(stack))
+            stack.append(node)
     if pos < len(page):
-        at.kids.append(page[pos:])
+        stack[-1].kids.append(page[pos:])
     return root
 
 
-def _in_article(node: Node) -> bool:
-    x = node.parent
-    while x is not None and x.name not in ("article", "main"):
-        x = x.parent
-    return x is not None
+def _walk(node: Node) -> Iterator[Node]:
+    stack = [node]
+    while stack:
+        x = stack.pop()
+        yield x
+        stack += [k for k in reversed(x.kids) if type(k) is Node]
+
+
+def _summed(root: Node) -> list[Node]:
+    """All nodes, parents first, with the sums over what they hold; what is noise whatever else isn't counted."""
+    nodes = list(_walk(root))
+    for x in reversed(nodes):
+        x.chars = x.tags = x.link_chars = x.link_tags = x.paragraphs = x.headings = x.main = 0
+        for k in x.kids:
+            if type(k) is str:
+                x.chars += len(k.strip())
+            elif k.noise < 2:
+                link = k.name == "a"
+                x.chars += k.chars
+                x.tags += k.tags + 1
+                x.link_chars += k.chars if link else k.link_chars
+                x.link_tags += k.tags + 1 if link else k.link_tags
+                x.paragraphs += k.paragraphs + (k.name == "p")
+                x.headings += k.headings + (k.name in _HEADINGS)
+                x.main += k.main + (k.name in ("article", "main"))
+    return nodes
 
 
 def _prune(root: Node) -> None:
@@ -155,105 +180,85 @@ def _prune(root: Node) -> None:
     What is noise by its names alone, but has over half of the page's text, in an article's structure, is the page's
     layout, and stays.
     """
-    outside = _chars(root)
-    for x in list(_walk(root)):
-        if x.noise == 3 and (any(k.name in ("article", "main") for k in _walk(x)) or _chars(x) > outside):
+    for x in _summed(root):
+        if x.noise == 3 and (x.main or x.chars > root.chars):
             x.noise = 0
-    stack, half = [root], _chars(root) / 2
+    _summed(root)
+    half = root.chars / 2
+    stack = [(root, False)]
     while stack:
-        node = stack.pop()
+        node, inside = stack.pop()
         kept = []
         for k in node.kids:
             if type(k) is Node:
-                own = k.name in _HEADINGS or (k.name == "header" and _in_article(k))
-                if k.noise >= 2 or (k.noise == 1 and not own and not (_chars(k) > half and _is_layout(k))):
+                own = k.name in _HEADINGS or (k.name == "header" and inside)
+                layout = k.chars > half and (k.paragraphs > 2 or k.headings or k.main or k.name in ("article", "main"))
+                if k.noise >= 2 or (k.noise == 1 and not own and not layout) or (k.name == "header" and not inside):
                     continue
                 if k.name == "header":
-                    if not _in_article(k):
-                        continue
                     k.kids = [h for h in _walk(k) if h.name in _HEADINGS and h.noise < 2]
-                stack.append(k)
+                stack.append((k, inside or k.name in ("article", "main")))
             kept.append(k)
         node.kids = kept
 
 
-def _walk(node: Node) -> Iterator[Node]:
-    stack = [node]
-    while stack:
-        x = stack.pop()
-        yield x
-        stack += [k for k in reversed(x.kids) if type(k) is Node]
-
-
-def _is_layout(node: Node) -> bool:
-    names = [x.name for x in _walk(node)]
-    return names.count("p") > 2 or not _HEADINGS.isdisjoint(names) or "article" in names or "main" in names
-
-
-def _measure(root: Node) -> None:
-    nodes = list(_walk(root))
-    for x in reversed(nodes):
-        x.chars = x.tags = x.link_chars = x.link_tags = 0
-        for k in x.kids:
-            if type(k) is str:
-                x.chars += len(k.strip())
-            else:
-                x.chars += k.chars
-                x.tags += k.tags + 1
-                if k.name == "a":
-                    x.link_chars += k.chars
-                    x.link_tags += k.tags + 1
-                else:
-                    x.link_chars += k.link_chars
-                    x.link_tags += k.link_tags
+def _measure(root: Node) -> list[Node]:
+    """All nodes with their densities and, for blocks, the sums of them."""
+    nodes = _summed(root)
     body = next((x for x in nodes if x.name == "body"), root)
     share = body.link_chars / max(1, body.chars)
-    for x in nodes:
+    for x in reversed(nodes):
         c, t, lc, lt = x.chars, max(1, x.tags), max(1, x.link_chars), max(1, x.link_tags)
-        if not c:
-            x.density = 0.0
-            continue
         base = log(c * lc / max(1, c - lc) + share * c + e)
-        x.density = c / t * log(max(1.0, c / lc * (t / lt))) / log(max(base, 1.01))
-    for x in nodes:
-        x.sum = sum(k.density for k in x.kids if type(k) is Node)
-        if not any(type(k) is Node for k in x.kids):
+        x.density = c / t * log(max(1.0, c / lc * (t / lt))) / log(max(base, 1.01)) if c else 0.0
+        inner = [k for k in x.kids if type(k) is Node]
+        x.sum = sum(k.density if k.block else k.sum for k in inner)
+        if x.block and not x.sum:
             x.sum = x.density
+    return nodes
 
 
-def select(root: Node) -> list[Node]:
-    """The subtrees of the main text, in page order."""
+def select(root: Node) -> list[Node | str]:
+    """The subtrees, and texts between them, of the main text, in page order."""
     _prune(root)
-    _measure(root)
-    body = next((x for x in _walk(root) if x.name == "body"), root)
-    best = max(_walk(body), key=lambda x: x.sum)
-    if not best.chars:
+    nodes = _measure(root)
+    body = next((x for x in nodes if x.name == "body"), root)
+    best = max((x for x in _walk(body) if x.block or x is body), key=lambda x: (x.sum, x.name in ("article", "main")))
+    if not body.chars:
         return []
-    path, outer = [best], None
-    while path[-1] is not body and path[-1].parent is not None:
+    path = [best]
+    while path[-1] is not body:
         path.append(path[-1].parent)
-    for x in path:
-        if x.name == "article" or (x.name == "main" and outer is None):
-            outer = x
-    if outer is not None:
-        return [outer]
     threshold = min(x.density for x in path)
     on_path, chosen = {id(x) for x in path}, []
-    stack = [path[-1]]
+    stack: list = [body]
     while stack:
         x = stack.pop()
-        if x is best or (id(x) not in on_path and x.density >= threshold and x.chars):
+        if type(x) is str or id(x) not in on_path or x is best:
             chosen.append(x)
-        elif id(x) in on_path:
-            stack += [k for k in reversed(x.kids) if type(k) is Node]
+            continue
+        ahead, kept = True, []
+        for k in x.kids:
+            if type(k) is str:
+                if x is not body:
+                    kept.append(k)
+            elif id(k) in on_path:
+                ahead = False
+                kept.append(k)
+            elif k.chars:
+                flow = k.name in _FLOW and 2 * k.link_chars <= k.chars if x is not body else ahead and k.name in _HEADINGS
+                if flow or k.density >= threshold or (not k.block and x is not body):
+                    kept.append(k)
+        stack += reversed(kept)
     return chosen
 
 
-def text_of(nodes: list[Node]) -> str:
+def text_of(nodes: list[Node | str]) -> str:
     """Blocks in page order, one a line, with references decoded and white space made one space."""
     out: list[list[str]] = [[]]
     for root in nodes:
-        out.append([])
+        if type(root) is Node and root.block:
+            out.append([])
         stack: list = [root]
         while stack:
             x = stack.pop()
