@@ -9,10 +9,11 @@ from filescope.llm.common import discard, materialize
 
 
 def _star(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each (u, v) with m, the least of u and all its v; and each u with its m."""
+    """Each (u, v) with m, the least of u and all its v; and each u with its m. `pairs` is read twice."""
     least = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    linked = pairs.join(least, "u")
-    return linked, least
+    # Written, so that the join's sides are two exchanges: Spark can then split the tasks of a node with very many links.
+    least = materialize(least)
+    return pairs.join(least, "u"), least
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -29,11 +30,11 @@ def components(links: DataFrame) -> DataFrame:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = count
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        linked, _ = _star(both)
-        large = linked.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        linked, first = _star(both)
+        large = materialize(linked.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         linked, least = _star(large)
         small = linked.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         after = materialize(small)
-        discard(stars)
+        discard(stars, first, large, least)
         stars = after

@@ -26,9 +26,9 @@ from filescope.llm.common import column, materialize, tidy, tune
 
 TREES = 16
 BITS = 24
-#: Candidates wanted from all trees together: this share of the vectors, and at least so many. Vectors without any
-#: structure need so large a share for a recall of 0.9; see the README.
-SHARE, AT_LEAST = 1.0, 4096
+#: Candidates wanted from all trees together, as a share of the vectors, a vector counted in each tree that has it.
+#: Vectors without any structure need so large a share for a recall of 0.9; see the README.
+SHARE = 1.25
 #: Entries of a tree in a block.
 BLOCK = 8192
 SEED = 3
@@ -77,16 +77,16 @@ def _hashed(rows: DataFrame, dim: int, longest: float, trees: int, bits: int) ->
     return rows.mapInArrow(tidy(run), f"tree int, hash long, {types}")
 
 
-def search(table: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = TREES, bits: int = BITS, share: float = SHARE, at_least: int = AT_LEAST, block: int = BLOCK) -> DataFrame:
+def search(table: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = TREES, bits: int = BITS, share: float = SHARE, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: of each vector that meets `queries` (a condition on vec_id) the k nearest found.
 
     Nearest by inner product of the original vectors in double precision, ties to the smaller vec_id; never itself.
-    Vectors that are null, zero or not finite take no part; nor do those of another length than most. Repeated rows are
-    one vector. Fewer than k others: all of them. Extra columns are not read. An empty table: no rows.
+    Vectors that are null, zero or not finite take no part; nor do those of another length than most. Rows of one vec_id
+    are one vector, the least by its components. Fewer than k others: all of them. Extra columns are not read. An empty table: no rows.
     """
     spark = table.sparkSession
     tune(spark)
-    rows = clean(table, id_col, vec_col).filter("vec_id is not null").dropDuplicates(["vec_id"])
+    rows = clean(table, id_col, vec_col).filter("vec_id is not null").groupBy("vec_id").agg(F.min("v").alias("v"))
     sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("longest")).orderBy(F.desc("n"), "dim").first()
     dim, longest = (sizes["dim"], sizes["longest"]) if sizes else (1, 1.0)
     rows = rows.filter(F.size("v") == dim)
@@ -95,7 +95,7 @@ def search(table: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec_c
     entries = materialize(ranked.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
     n = entries.count()
     asked = rows.filter(queries).select("v", "vec_id")
-    want = max(at_least, int(share * n))
+    want = max(trees * (k + 1), int(share * n))
     cut = max(0, min(bits, ceil(log2(max(1, n / block)))))
     # Blocks are at the depth where the wanted candidates are expected, or finer to hold no more than a block.
     cut = max(cut, min(bits, int(log2(max(1.0, trees * n / want)))))

@@ -9,11 +9,11 @@ product for all segments of a batch.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,14 +21,14 @@ from filescope.llm.common import column, text_and_id, tidy, tune, utf8
 
 SEGMENT = 128
 HIDDEN = 8
-#: Bounds of the training sample: documents of a language, segments of a document, languages.
-PER_LANG, SEGMENTS_PER_DOC, LANGS = 256, 3, 256
+#: Bounds of the training sample: documents of a language, and segments of a document. All languages are learned.
+PER_LANG, SEGMENTS_PER_DOC = 256, 3
 #: Steps of training, whatever the sample's size.
 STEPS, BATCH, RATE, SEED = 320, 128, 0.02, 11
 #: Segments that run through the network side by side.
 WIDE = 1024
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def segments(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -224,16 +224,11 @@ def training_sample(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str
     """(text, lang) of at most `per_lang` labelled documents of `docs` (doc_id, text, lang) for each of the languages.
 
     For each language and each of `per_lang` hash buckets the document with the least hash: counts meet by partial
-    aggregation, whatever share of rows a language has. More than LANGS languages: those with most documents.
+    aggregation, whatever share of rows a language has.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64("doc_id", "text"))
-    best = rows.groupBy("lang", F.pmod("h", F.lit(per_lang)).alias("bucket")).agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("n"))
-    best = best.collect()
-    count: dict[str, int] = {}
-    for r in best:
-        count[r["lang"]] = count.get(r["lang"], 0) + r["n"]
-    langs = set(sorted(count, key=lambda s: (-count[s], s))[:LANGS])
-    want = [(r["lang"], r["h"]) for r in best if r["lang"] in langs]
+    best = rows.groupBy("lang", F.pmod("h", F.lit(per_lang)).alias("bucket")).agg(F.min("h").alias("h"))
+    want = [(r["lang"], r["h"]) for r in best.collect()]
     if not want:
         return []
     chosen = docs.sparkSession.createDataFrame(want, "lang string, h long")

@@ -350,7 +350,10 @@ def thumbnail_columns(media: DataFrame, media_col: str = "media") -> DataFrame:
 
 
 def digests(thumbs: DataFrame) -> DataFrame:
-    """The digest row of the contract from media and what was read back from it."""
+    """The digest row of the contract from media and what was read back from it.
+
+    Null or broken media: nulls, but for the size and digest of what is stored.
+    """
     tune(thumbs.sparkSession)
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
@@ -362,12 +365,12 @@ def digests(thumbs: DataFrame) -> DataFrame:
         return {
             "doc_id": column(batch, "doc_id"),
             "n_bytes": column(batch, "n_bytes"),
-            "payload_bytes": [len(p) for p in read],
-            "payload_sha256": [hashlib.sha256(p).hexdigest() for p in read],
-            "tail_crc32": [zlib.crc32(p[-64:]) for p in read],
-            "media_bytes": [len(m) for m in media],
-            "media_sha256": [hashlib.sha256(m).hexdigest() for m in media],
-            "feature": [f"jpeg:{w}x{h}x{n}:{x}" for w, h, n, x in shape],
+            "payload_bytes": [None if p is None else len(p) for p in read],
+            "payload_sha256": [None if p is None else hashlib.sha256(p).hexdigest() for p in read],
+            "tail_crc32": [None if p is None else zlib.crc32(p[-64:]) for p in read],
+            "media_bytes": [None if m is None else len(m) for m in media],
+            "media_sha256": [None if m is None else hashlib.sha256(m).hexdigest() for m in media],
+            "feature": [None if x is None else f"jpeg:{w}x{h}x{n}:{x}" for w, h, n, x in shape],
         }
 
     out = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

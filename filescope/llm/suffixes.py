@@ -310,9 +310,10 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     common = materialize(found.groupBy("h").count().filter("count > 1").select("h"))
     shared = materialize(found.join(common, "h"))
     discard(found, common)
-    unions = shared.groupBy("h", "u").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "tag", "first")).alias("rep"))
-    by_gram = unions.groupBy("h").agg(F.count(F.lit(1)).alias("classes"), F.max((F.col("n") == 1).cast("int")).alias("mixed"))
-    unions = materialize(unions.join(by_gram, "h"))
+    counted = materialize(shared.groupBy("h", "u").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "tag", "first")).alias("rep")))
+    by_gram = materialize(counted.groupBy("h").agg(F.count(F.lit(1)).alias("classes"), F.max((F.col("n") == 1).cast("int")).alias("mixed")))
+    unions = materialize(counted.join(by_gram, "h"))
+    discard(counted, by_gram)
     # 0: repeated as a whole; 1: open; 2: repeated as a whole, and the one of its kind that open ones are compared with.
     rep = F.col("rep").eqNullSafe(F.struct("doc_id", "tag", "first")) & (F.col("mixed") == 1)
     kind = F.when(F.col("n") == 1, 1).when(rep, 2).otherwise(0)

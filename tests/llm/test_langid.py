@@ -57,7 +57,7 @@ def test_accuracy_on_held_out_documents(docs):
 
 def test_odd_rows(spark):
     rows = [(i, w * 20, lang, 1.0) for i, (w, lang) in enumerate([("the cat sat ", "en"), ("der und die ", "de")] * 20)]
-    rows += [(100, None, "en", 1.0), (101, "", None, 1.0), (102, "123 %%% _", "de", 1.0), (None, "the cat the ", None, 1.0), (103, "der die " * 20_000, None, 1.0), (104, "ß", "en", 1.0), (104, "ß", "en", 1.0)]
+    rows += [(100, None, "en", 1.0), (101, "", None, 1.0), (102, "123 %%% _ ½ ② Ⅷ", "de", 1.0), (None, "the cat the ", None, 1.0), (103, "der die " * 20_000, None, 1.0), (104, "ß", "en", 1.0), (104, "ß", "en", 1.0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
     out = langid.identify(df).collect()
     assert len(out) == len(rows)

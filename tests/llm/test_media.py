@@ -70,6 +70,23 @@ def test_broken_media_is_null(spark):
     got = {r["id"]: r for r in media.thumbnail_columns(df).collect()}
     assert got[1]["width"] is None and got[2]["thumbnail"] is None
     assert (got[3]["width"], got[3]["height"], got[3]["n_frames"]) == (512, 8, 1)
+    sizes = media.thumbnail_columns(df.selectExpr("id as doc_id", "length(media) as n_bytes", "media"))
+    rows = {r["doc_id"]: r for r in media.digests(sizes).collect()}
+    assert rows[1]["payload_sha256"] is None and rows[1]["media_bytes"] == 1 and rows[1]["feature"] is None
+    assert rows[2]["media_sha256"] is None and rows[2]["payload_bytes"] is None and rows[3]["payload_bytes"] == 64
+
+
+def test_thumbnail_hash_by_its_definition():
+    rng = np.random.default_rng(3)
+    for high, wide in ((1, 64), (2, 64), (8, 8), (9, 64), (37, 5), (200, 64)):
+        thumb = rng.integers(0, 256, (high, wide)).astype(np.uint8)
+        cells = []
+        for r in range(8):
+            for c in range(8):
+                top, left = high * r // 8, wide * c // 8
+                cells.append(thumb[top : max(top + 1, high * (r + 1) // 8), left : max(left + 1, wide * (c + 1) // 8)].mean())
+        mean = sum(cells) / 64
+        assert f"{media.thumbnail_hash(thumb):064b}" == "".join("1" if x > mean + 1e-9 else "0" for x in cells)
 
 
 def test_digests(spark):
