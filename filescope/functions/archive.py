@@ -35,7 +35,7 @@ def directory(data: bytes) -> list[Entry]:
         raise ZipError("ZIP end-of-central-directory record not found")
     count, at = struct.unpack_from("<H", data, end + 10)[0], struct.unpack_from("<I", data, end + 16)[0]
     if at == 0xFFFFFFFF:
-        raise ZipError("ZIP64 archives are not parsed in-browser")
+        raise ZipError("ZIP64 directories are not read")
     found: list[Entry] = []
     while len(found) < min(count, MAX_ENTRIES) and at + 46 <= len(data) and data[at : at + 4] == b"PK\x01\x02":
         flags, method, _, crc, packed, size, n_name, n_extra, n_comment, local = struct.unpack_from("<HHIIIIHHH8xI", data, at + 8)  # noqa: E501

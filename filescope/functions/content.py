@@ -60,5 +60,6 @@ def with_hashes(blobs):
 
 def with_stats(blobs):
     """entropy, printable_ratio, null_ratio, textual and header_hex of `content`."""
-    s = blobs.withColumn("_s", byte_stats("content"))
+    # Only what is counted goes to Python.
+    s = blobs.withColumn("_s", byte_stats(F.substring("content", 1, SAMPLE_BYTES)))
     return s.withColumns({c: F.col(f"_s.{c}") for c in ("entropy", "printable_ratio", "null_ratio", "textual")} | {"header_hex": header_hex(F.col("content"))}).drop("_s")

@@ -101,16 +101,18 @@ CONTAINER_TYPES = [
     ("doc", "Microsoft Word 97-2003 Document", "application/msword", "document", "doc", 92, "WordDocument stream"),
     ("ole", "Legacy Microsoft Office / OLE2 Compound File", "application/x-ole-storage", "document", "doc", 80, "Specific stream not identified"),
 ]
-# The type that each extension stands for, by type.
-EXTENSIONS_OF = {
-    "pdf": "pdf", "rtf": "rtf", "ole": "doc xls ppt msg", "docx": "docx", "xlsx": "xlsx", "pptx": "pptx", "odt": "odt", "ods": "ods", "odp": "odp", "epub": "epub", "jar": "jar", "apk": "apk",
-    "zip": "zip", "rar": "rar", "7z": "7z", "gz": "gz tgz", "bz2": "bz2", "xz": "xz", "tar": "tar", "zstd": "zst",
-    "jpeg": "jpg jpeg", "png": "png", "gif": "gif", "bmp": "bmp", "tiff": "tif tiff", "webp": "webp", "ico": "ico", "heic": "heic", "svg": "svg", "psd": "psd",
-    "mp3": "mp3", "wav": "wav", "flac": "flac", "ogg": "ogg", "m4a": "m4a", "aac": "aac", "wma": "wma", "mp4": "mp4", "mkv": "mkv webm", "avi": "avi", "mov": "mov", "flv": "flv", "mpeg": "mpeg mpg",
-    "pe": "exe dll sys", "elf": "elf so", "class": "class", "wasm": "wasm", "dex": "dex", "sqlite": "sqlite db", "parquet": "parquet", "avro": "avro", "feather": "feather",
-    "txt": "txt", "markdown": "md", "csv": "csv", "tsv": "tsv", "json": "json", "jsonl": "jsonl", "xml": "xml", "yaml": "yaml yml", "sql": "sql", "html": "html htm", "script": "js ts py sh ps1 bat cmd vbs",
+# The type that each extension stands for.
+EXTENSION_MAP = {
+    "pdf": "pdf", "rtf": "rtf", "doc": "ole", "xls": "ole", "ppt": "ole", "msg": "ole", "docx": "docx", "xlsx": "xlsx", "pptx": "pptx", "odt": "odt",
+    "ods": "ods", "odp": "odp", "epub": "epub", "jar": "jar", "apk": "apk", "zip": "zip", "rar": "rar", "7z": "7z", "gz": "gz", "tgz": "gz",
+    "bz2": "bz2", "xz": "xz", "tar": "tar", "zst": "zstd", "jpg": "jpeg", "jpeg": "jpeg", "png": "png", "gif": "gif", "bmp": "bmp", "tif": "tiff",
+    "tiff": "tiff", "webp": "webp", "ico": "ico", "heic": "heic", "svg": "svg", "psd": "psd", "mp3": "mp3", "wav": "wav", "flac": "flac",
+    "ogg": "ogg", "m4a": "m4a", "aac": "aac", "wma": "wma", "mp4": "mp4", "mkv": "mkv", "webm": "mkv", "avi": "avi", "mov": "mov", "flv": "flv",
+    "mpeg": "mpeg", "mpg": "mpeg", "exe": "pe", "dll": "pe", "sys": "pe", "elf": "elf", "so": "elf", "class": "class", "wasm": "wasm", "dex": "dex",
+    "sqlite": "sqlite", "db": "sqlite", "parquet": "parquet", "avro": "avro", "feather": "feather", "txt": "txt", "md": "markdown", "csv": "csv",
+    "tsv": "tsv", "json": "json", "jsonl": "jsonl", "xml": "xml", "yaml": "yaml", "yml": "yaml", "sql": "sql", "html": "html", "htm": "html",
+    "js": "script", "ts": "script", "py": "script", "sh": "script", "ps1": "script", "bat": "script", "cmd": "script", "vbs": "script",
 }
-EXTENSION_MAP = {ext: kind for kind, names in EXTENSIONS_OF.items() for ext in names.split()}
 # All extensions that a type accepts, where they are more or fewer than its own one.
 ALIASES = {
     "jpeg": "jpg jpeg", "tiff": "tif tiff", "mpeg": "mpg mpeg", "yaml": "yml yaml", "markdown": "md markdown", "mkv": "mkv webm", "pe": "exe dll sys scr com", "elf": "elf so bin out", "txt": "txt log text conf ini cfg",
@@ -137,6 +139,7 @@ class Rule(NamedTuple):
     description: str
     recommendation: str
     evidence: str | None = None  # a fixed text; None: what matched
+    piped: tuple[str, str] | None = None  # the pattern's parts before and after a |, for a search in linear time
 
 
 _NAME_ADVICE = "Treat this file as untrusted; verify the sender through another channel."
@@ -164,7 +167,7 @@ SCRIPT_RULES = [
     Rule("C2", r"(?i)FromBase64String|atob\s*\(|base64\s+-d", "Script analysis", "medium", 12, "Base64 decoding of embedded payload", _SCRIPT_ADVICE),
     Rule("C3", r"(?i)Invoke-Expression|IEX\s|powershell\s+-e(nc)?\b", "Script analysis", "critical", 30, "Encoded PowerShell execution", _SCRIPT_ADVICE),
     Rule("C4", r"(?i)WScript\.Shell|Shell\.Application|cmd\.exe\s*/c", "Script analysis", "high", 22, "Shell command execution primitives", _SCRIPT_ADVICE),
-    Rule("C5", r"(?i)curl\s+[^|]*\|\s*(ba)?sh|wget\s+[^|]*\|\s*(ba)?sh", "Script analysis", "critical", 30, "Download-and-execute pipeline", _SCRIPT_ADVICE),
+    Rule("C5", r"(?i)curl\s+[^|]*\|\s*(ba)?sh|wget\s+[^|]*\|\s*(ba)?sh", "Script analysis", "critical", 30, "Download-and-execute pipeline", _SCRIPT_ADVICE, None, (r"(?i)(curl|wget)\s[\s\S]*", r"(?i)\A\s*(ba)?sh")),
     Rule("C6", r"urllib|requests\.get|XMLHttpRequest|fetch\s*\(", "Script analysis", "low", 6, "Outbound network request in script", _SCRIPT_ADVICE),
     Rule("C7", r"document\.write|innerHTML\s*=", "Script analysis", "low", 5, "DOM injection primitives", _SCRIPT_ADVICE),
     Rule("C8", r"(?i)<script[\s>]", "Script analysis", "medium", 12, "Embedded script tag", _SCRIPT_ADVICE),

@@ -11,7 +11,7 @@ from filescope.functions.registry import MAX_TEXT
 
 def clamp(text: Column, limit: int = MAX_TEXT) -> tuple[Column, Column]:
     """(text, truncated): without NULs, blanks before line ends and around, cut at `limit` characters."""
-    plain = trimmed(F.regexp_replace(F.translate(text, "\0", ""), r"[ \t]+\n", "\n"))
+    plain = trimmed(F.regexp_replace(F.translate(text, "\0", ""), r"(?<![ \t])[ \t]+\n", "\n"))
     return F.substring(plain, 1, limit), F.length(plain) > limit
 
 

@@ -34,6 +34,21 @@ def findings_table(reports: DataFrame, user: Column, created_at: Column) -> Data
     return rows.select(F.sha2(F.concat_ws("\x1f", "file_id", F.col("position").cast("string")), 256).alias("id"), "file_id", "position", "f.category", "f.severity", "f.description", "f.evidence", "f.recommendation", "f.points", "created_at")
 
 
+def analyses_table(reports: DataFrame, user: Column, created_at: Column) -> DataFrame:
+    """A row per analysed file: what was extracted, and what is known of the file, as two structs."""
+    fid = file_id(user, F.col("sha256"), F.col("file_name"))
+    e = lambda c: F.col(f"extraction.{c}").alias(c)
+    extracted = F.struct(*map(e, ("text", "truncated", "tables", "children", "notes")), F.coalesce("extraction.unsupported", F.lit(False)).alias("unsupported"), e("error"))
+    known = F.struct(e("stats"), e("metadata"), F.col("detection.evidence").alias("evidence"), F.col("header_hex").alias("headerHex"), F.col("printable_ratio").alias("printableRatio"))
+    return reports.select(F.sha2(F.concat_ws("\x1f", fid, F.lit("analysis")), 256).alias("id"), fid.alias("file_id"), extracted.alias("extracted_content"), known.alias("metadata"), created_at.alias("created_at"))
+
+
+def messages_table(said: DataFrame, role: str, content: Column, created_at: Column) -> DataFrame:
+    """Rows of messages about files (file_id): `user` for questions, `assistant` for answers."""
+    stamp = F.concat_ws("\x1f", "file_id", F.lit(role), created_at.cast("string"), content)
+    return said.select(F.sha2(stamp, 256).alias("id"), "file_id", F.lit(role).alias("role"), content.alias("content"), created_at.alias("created_at"))
+
+
 def visible(files: DataFrame, user: str) -> DataFrame:
     """Rows of one user."""
     return files.filter(F.col("user_id") == user)
@@ -86,8 +101,9 @@ def recent(files: DataFrame, n: int = 8) -> DataFrame:
 
 def duplicates(files: DataFrame) -> DataFrame:
     """Files whose content their user has had before, with the earlier one's id."""
-    w = Window.partitionBy("user_id", "sha256").orderBy("created_at", "id")
-    return files.withColumns({"_n": F.row_number().over(w), "duplicate_of": F.first("id").over(w)}).filter("_n > 1").drop("_n")
+    seen = files.groupBy("user_id", "sha256").agg(F.min(F.struct("created_at", "id")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    both = files.join(seen.select("user_id", "sha256", "_first"), ["user_id", "sha256"])
+    return both.filter(F.struct("created_at", "id") != F.col("_first")).withColumn("duplicate_of", F.col("_first.id")).drop("_first").select(*files.columns, "duplicate_of")
 
 
 def is_duplicate(new: DataFrame, files: DataFrame) -> DataFrame:

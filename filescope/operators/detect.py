@@ -117,6 +117,8 @@ def zip_scan(contents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def text_kind(text: Column, json_like: Column) -> Column:
     """The first text probe that matches, as a key of TEXT_TYPES with its confidence; null if none does."""
     has = text.rlike
+    # [a](b): what follows the first bracket pair with a parenthesis is searched for the closing one, all in linear time.
+    linked = F.contains(F.regexp_extract(text, r"(?:\A|\])[^\[\]]*+\[[^\]]++\]\([^)]([\s\S]*)", 1), F.lit(")"))
     probes = [
         (has(r"(?i)\A\s*<\?xml") & has(r"(?i)<svg[\s>]"), "svg", 96),
         (has(r"(?i)\A\s*<svg[\s>]"), "svg", 95),
@@ -125,9 +127,9 @@ def text_kind(text: Column, json_like: Column) -> Column:
         (json_like == "json", "json", 98),
         (json_like == "jsonl", "jsonl", 90),
         (has(r"(?i)\A\s*(--|/\*)?\s*(select|insert|update|delete|create\s+table|drop\s+table|alter\s+table)\b"), "sql", 80),
-        (has(r"\A#!\s*/") | has(r"(?m)^\s*(import |from |def |function |const |package |#include)"), "script", 70),
+        (has(r"\A#!\s*/") | has(r"(?m)^[ \t\x0B\f]*(import |from |def |function |const |package |#include)"), "script", 70),
         (has(r"\A\s*(#|---)") & has(r"(?m)^[\w.\x22\x27-]+\s*:\s*\S"), "yaml", 72),
-        (has(r"\A\s{0,3}#{1,6}\s|\n\s{0,3}#{1,6}\s|\[[^\]]+\]\([^)]+\)"), "markdown", 70),
+        (has(r"\A\s{0,3}#{1,6}\s|\n\s{0,3}#{1,6}\s") | linked, "markdown", 70),
     ]
     return F.coalesce(*(F.when(p, F.struct(F.lit(k).alias("kind"), F.lit(float(c)).alias("confidence"))) for p, k, c in probes))
 

@@ -20,9 +20,25 @@ def finding(category, severity, description, evidence, recommendation, points) -
 
 def apply_rule(rule: Rule, text: Column, cut: int | None = None) -> Column:
     """The rule's finding where its pattern is in `text`; null elsewhere."""
-    hit = text if cut is None else F.substring(F.regexp_extract(text, rule.pattern, 0), 1, cut)
-    evidence = F.lit(rule.evidence) if rule.evidence is not None else hit
-    return F.when(text.rlike(rule.pattern), finding(rule.category, rule.severity, rule.description, evidence, rule.recommendation, rule.points))
+    if rule.piped is not None:
+        hit = _piped(text, *rule.piped)
+        fired = hit.isNotNull()
+    elif cut is None:
+        hit, fired = text, text.rlike(rule.pattern)
+    else:
+        hit = F.regexp_extract(text, rule.pattern, 0)
+        fired = hit != ""
+    evidence = F.lit(rule.evidence) if rule.evidence is not None else hit if cut is None else F.substring(hit, 1, cut)
+    return F.when(fired, finding(rule.category, rule.severity, rule.description, evidence, rule.recommendation, rule.points))
+
+
+def _piped(text: Column, before: str, after: str) -> Column:
+    """The first stretch of `before`, a |, and `after`; null if there is none."""
+    parts = F.split(text, r"\|", -1)
+    n = F.size(parts)
+    pairs = F.arrays_zip(F.slice(parts, 1, F.greatest(n - 1, F.lit(0))).alias("a"), F.slice(parts, 2, F.greatest(n - 1, F.lit(0))).alias("b"))
+    first = F.get(F.filter(pairs, lambda p: p["b"].rlike(after) & p["a"].rlike(before)), F.lit(0))
+    return F.when(first.isNotNull(), F.concat(F.regexp_extract(first["a"], before, 0), F.lit("|"), F.regexp_extract(first["b"], after, 0)))
 
 
 def level(score: Column, complete: Column) -> Column:
@@ -72,9 +88,10 @@ def _zip_findings() -> list[Column]:
 
 
 def with_risk(df: DataFrame) -> DataFrame:
-    """Detected blobs with their extensions judged, and findings, risk_score, risk_level and scan_complete.
+    """Detected blobs with their extensions judged, and findings, risk_score, risk_level, scan_complete, scanned_in_part.
 
-    Decoded texts are columns of their own, null where no rule reads them, so that no rule decodes again.
+    scanned_in_part: rules read a prefix, as for all files of the type, and the file is longer. A blob without content
+    (too large, or null) is of unknown type, so its scan is incomplete. Decoded texts are columns of their own, null where no rule reads them, so that no rule decodes again.
     """
     kind, label, category = (F.col(f"detection.{c}") for c in ("type", "label", "category"))
     name, declared, entropy = F.col("file_name"), F.col("declared_extension"), F.col("entropy")
@@ -119,9 +136,12 @@ def with_risk(df: DataFrame) -> DataFrame:
     found = F.filter(F.array(*all_rules), lambda x: x.isNotNull())
     none = F.array(finding("Baseline", "info", "No security rule triggered during static analysis", F.concat(label, F.lit(" · entropy "), number(entropy)), "Static analysis cannot prove a file is safe, only that no known indicator was found.", 0))
     locked = F.coalesce(F.exists("zip.entries", lambda e: e["encrypted"]), F.lit(False)) & kind.isin(ZIP_TYPES)
+    size = F.col("size") if "size" in df.columns else F.coalesce(F.length("content"), F.lit(0))
+    read = F.when(kind == "pdf", PDF_BYTES).when(kind.isin("pe", "elf"), API_BYTES).when(kind.isin(SCRIPT_TYPES) | (category == "image"), SCRIPT_BYTES)
+    part = F.coalesce(size > read, F.lit(False))
     df = df.withColumn("_found", found).withColumn("findings", F.when(F.size("_found") > 0, F.col("_found")).otherwise(none))
     score = F.least(F.lit(100), F.aggregate("findings", F.lit(0), lambda a, x: a + x["points"]))
-    df = df.withColumns({"risk_score": score, "scan_complete": ~((kind == "unknown") | broken | locked)})
+    df = df.withColumns({"risk_score": score, "scan_complete": ~((kind == "unknown") | broken | locked), "scanned_in_part": part})
     return df.withColumn("risk_level", level(F.col("risk_score"), F.col("scan_complete"))).drop("_pdf", "_script", "_binary", "_found")
 
 

@@ -12,9 +12,10 @@ BLOB = "blob_id long, file_name string, content binary, size long"
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Blobs of a folder's files, subfolders included. Files over 50 MiB are skipped by the source, before they are read."""
+    """Blobs of a folder's files, subfolders included. Files over 50 MiB are rows without content: they are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return from_files(files.filter(F.col("length") <= MAX_FILE))
+    large = files.filter(F.col("length") > MAX_FILE).select("path", F.lit(None).cast("binary").alias("content"), "length")
+    return from_files(files.filter(F.col("length") <= MAX_FILE).select(large.columns).unionByName(large))
 
 
 def from_files(files: DataFrame, *others) -> DataFrame:
@@ -22,10 +23,11 @@ def from_files(files: DataFrame, *others) -> DataFrame:
 
 
 def from_table(df: DataFrame, id_col: str, file_name, content) -> DataFrame:
-    """Blobs from a table: a name and bytes (or text, in UTF-8) for each row; too large ones are left out."""
+    """Blobs from a table: a name and bytes (or text, in UTF-8) for each row; too large ones are rows without content."""
     data = content if dict(df.select(content.alias("c")).dtypes)["c"] == "binary" else F.encode(content, "UTF-8")
     out = df.select(F.col(id_col).cast("long").alias("blob_id"), names.sanitize(file_name).alias("file_name"), data.alias("content"))
-    return out.withColumn("size", F.length("content").cast("long")).filter(F.col("size") <= MAX_FILE)
+    out = out.withColumn("size", F.length("content").cast("long"))
+    return out.withColumn("content", F.when(F.col("size") <= MAX_FILE, F.col("content")))
 
 
 def save(tables: dict[str, DataFrame], path: str, mode: str = "append") -> None:

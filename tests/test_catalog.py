@@ -46,7 +46,9 @@ def test_size_gate(spark, tmp_path):
     (tmp_path / "big.bin").write_bytes(b"x")
     os.truncate(tmp_path / "big.bin", 52_428_801)
     (tmp_path / "edge.bin").write_bytes(b"y")
-    assert [r["file_name"] for r in blobs.read_files(spark, str(tmp_path)).select("file_name").collect()] == ["edge.bin"]
+    found = {r["file_name"]: r for r in assess(blobs.read_files(spark, str(tmp_path))).collect()}
+    assert found["edge.bin"]["content"] == b"y" and found["big.bin"]["content"] is None and found["big.bin"]["size"] == 52_428_801
+    assert found["big.bin"]["risk_level"] == "UNKNOWN" and not found["big.bin"]["scan_complete"]
 
 
 def test_answers():
