@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filescope.functions import archive, content, names
-from filescope.functions.lazy import arrow
+from filescope.functions.lazy import arrow, once
 from filescope.functions.registry import CONTAINER_TYPES, OLE_BYTES, PROBE_BYTES, TEXT_TYPES, Signature, confidence_of, ranked_signatures
 
 
@@ -178,24 +178,17 @@ def registry_rows() -> list[tuple]:
     return rows
 
 
+#: Columns beside the detection that other operators read.
+KEPT = ("entropy", "printable_ratio", "null_ratio", "textual", "header_hex", "zip")
 TEXT_CONFIDENCE = [("svg", 96), ("svg", 95), ("html", 94), ("xml", 93), ("json", 98), ("jsonl", 90), ("sql", 80), ("script", 70), ("yaml", 72), ("markdown", 70), ("csv", 88), ("tsv", 88), ("ssv", 88), ("txt", 70)]
 
 
-def with_detection(blobs: DataFrame) -> DataFrame:
-    """`blobs` (file_name, content) with statistics, `zip`, and `detection`, the registry's row of what a file is.
-
-    detection: type, label, mime, category, extension, confidence, evidence, container. Null or empty contents: unknown.
-    A key says which row it is; the rows, some eighty, are joined to it by broadcast.
-    """
-    data = F.col("content")
-    df = content.with_stats(blobs)
-    df = df.withColumns({"_sig": signature_index(data), "_ext": names.extension(F.col("file_name"))})
-    df = df.withColumn("_text", F.when(F.col("_sig").isNull() & F.col("textual"), content.text(data, PROBE_BYTES)))
+@once
+def _expressions() -> dict[str, Column]:
+    """The columns that with_detection() adds, each of which may use those before it."""
+    data, own_text = F.col("content"), F.col("_text")
     kinds = [s.type for s in ranked_signatures()]
     at = lambda kind: F.col("_sig").isin([i for i, k in enumerate(kinds) if k == kind])
-    df = df.withColumn("zip", zip_scan(F.when(at("zip"), data)))
-    df = df.withColumn("_probe", text_kind(F.col("_text"), json_kind("_text")))
-    df = df.withColumn("_delimited", F.when(F.col("_text").isNotNull() & F.col("_probe").isNull(), delimiter(F.col("_text"))))
     brand = F.substring(data, 9, 4).cast("string")
     inner = (
         F.when(at("zip"), F.col("zip.kind"))
@@ -217,9 +210,6 @@ def with_detection(blobs: DataFrame) -> DataFrame:
         .when(at("pe"), F.concat(F.lit("PE signature located at 0x"), F.lower(F.hex(F.coalesce(little_endian(data, 60, 4), F.lit(0))))))
         .when(F.col("_delimited").isNotNull(), F.concat(F.lit("Consistent "), text(F.col("_delimited.columns")), F.lit("-column delimited structure across "), text(F.col("_delimited.lines")), F.lit(" sampled lines")))
     )
-    df = df.withColumns({"_key": key, "_varying": varying}).drop("_text", "_probe", "_delimited", "_sig")
-    registry = blobs.sparkSession.createDataFrame(registry_rows(), _FIELDS)
-    df = df.join(F.broadcast(registry), df["_key"] == registry["key"], "left")
     expected = names.expected_type(F.col("_ext"))
     unknown = F.col("_key") == "unknown"
     suggestion = F.when(expected.isNotNull(), F.concat(F.lit('Filename extension suggests "'), expected, F.lit('" but content does not confirm it'))).otherwise("No usable filename extension")
@@ -231,8 +221,31 @@ def with_detection(blobs: DataFrame) -> DataFrame:
         F.array_compact(F.transform("proof", lambda x: F.coalesce(x, gap))).alias("evidence"),
         "container",
     )
-    kept = [c for c in df.columns if c not in {"key", "type", "label", "mime", "category", "extension", "confidence", "proof", "container", "_key", "_varying", "_ext"}]
-    return df.select(*kept, detection.alias("detection"))
+    return {
+        "_sig": signature_index(data),
+        "_ext": names.extension(F.col("file_name")),
+        "_text": F.when(F.col("_sig").isNull() & F.col("textual"), content.text(data, PROBE_BYTES)),
+        "zip": zip_scan(F.when(at("zip"), data)),
+        "_probe": text_kind(own_text, json_kind("_text")),
+        "_delimited": F.when(own_text.isNotNull() & F.col("_probe").isNull(), delimiter(own_text)),
+        "_key": key,
+        "_varying": varying,
+        "detection": detection,
+    }
+
+
+def with_detection(blobs: DataFrame) -> DataFrame:
+    """`blobs` (file_name, content) with statistics, `zip`, and `detection`, the registry's row of what a file is.
+
+    detection: type, label, mime, category, extension, confidence, evidence, container. Null or empty contents: unknown.
+    A key says which row it is; the rows, some eighty, are joined to it by broadcast.
+    """
+    df, own = content.with_stats(blobs), _expressions()
+    for names_ in (("_sig", "_ext"), ("_text", "zip"), ("_probe",), ("_delimited",), ("_key", "_varying")):
+        df = df.withColumns({c: own[c] for c in names_})
+    registry = blobs.sparkSession.createDataFrame(registry_rows(), _FIELDS)
+    df = df.join(F.broadcast(registry), df["_key"] == registry["key"], "left")
+    return df.select(*blobs.columns, *(c for c in df.columns if c in KEPT and c not in blobs.columns), own["detection"].alias("detection"))
 
 
 def with_extension(detected: DataFrame) -> DataFrame:

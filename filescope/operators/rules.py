@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filescope.functions import content
+from filescope.functions.lazy import once
 from filescope.functions.registry import API_BYTES, API_NAMES, BAD_URL_PATTERN, COMPRESSED_TYPES, NAME_RULES, PDF_BYTES, PDF_RULES, RISK_LEVELS, RUNNABLE_TYPES, SCRIPT_BYTES, SCRIPT_RULES, SCRIPT_TYPES, URL_PATTERN, ZIP_TYPES, Rule
 from filescope.functions.names import is_executable
 
@@ -87,21 +88,11 @@ def _zip_findings() -> list[Column]:
     ]
 
 
-def with_risk(df: DataFrame) -> DataFrame:
-    """Detected blobs with their extensions judged, and findings, risk_score, risk_level, scan_complete, scanned_in_part.
-
-    scanned_in_part: rules read a prefix, as for all files of the type, and the file is longer. A blob without content
-    (too large, or null) is of unknown type, so its scan is incomplete. Decoded texts are columns of their own, null where no rule reads them, so that no rule decodes again.
-    """
+@once
+def _findings() -> tuple[Column, Column]:
+    """All findings of a blob in their order, and what stands for none."""
     kind, label, category = (F.col(f"detection.{c}") for c in ("type", "label", "category"))
     name, declared, entropy = F.col("file_name"), F.col("declared_extension"), F.col("entropy")
-    df = df.withColumns(
-        {
-            "_pdf": F.when(kind == "pdf", content.text(F.col("content"), PDF_BYTES)),
-            "_script": F.when(kind.isin(SCRIPT_TYPES), content.text(F.col("content"), SCRIPT_BYTES)),
-            "_binary": F.when(kind.isin("pe", "elf"), F.substring("content", 1, API_BYTES)),
-        }
-    )
     pdf, script, binary = F.col("_pdf"), F.col("_script"), F.col("_binary")
     hidden = category == "binary"
     runs = kind.isin(RUNNABLE_TYPES)
@@ -135,6 +126,25 @@ def with_risk(df: DataFrame) -> DataFrame:
     ]
     found = F.filter(F.array(*all_rules), lambda x: x.isNotNull())
     none = F.array(finding("Baseline", "info", "No security rule triggered during static analysis", F.concat(label, F.lit(" · entropy "), number(entropy)), "Static analysis cannot prove a file is safe, only that no known indicator was found.", 0))
+    return found, none
+
+
+def with_risk(df: DataFrame) -> DataFrame:
+    """Detected blobs with their extensions judged, and findings, risk_score, risk_level, scan_complete, scanned_in_part.
+
+    scanned_in_part: rules read a prefix, as for all files of the type, and the file is longer. A blob without content
+    (too large, or null) is of unknown type, so its scan is incomplete. Decoded texts are columns of their own, null where no rule reads them, so that no rule decodes again.
+    """
+    kind, category = (F.col(f"detection.{c}") for c in ("type", "category"))
+    found, none = _findings()
+    broken = kind.isin(ZIP_TYPES) & F.col("zip.error").isNotNull()
+    df = df.withColumns(
+        {
+            "_pdf": F.when(kind == "pdf", content.text(F.col("content"), PDF_BYTES)),
+            "_script": F.when(kind.isin(SCRIPT_TYPES), content.text(F.col("content"), SCRIPT_BYTES)),
+            "_binary": F.when(kind.isin("pe", "elf"), F.substring("content", 1, API_BYTES)),
+        }
+    )
     locked = F.coalesce(F.exists("zip.entries", lambda e: e["encrypted"]), F.lit(False)) & kind.isin(ZIP_TYPES)
     size = F.col("size") if "size" in df.columns else F.coalesce(F.length("content"), F.lit(0))
     read = F.when(kind == "pdf", PDF_BYTES).when(kind.isin("pe", "elf"), API_BYTES).when(kind.isin(SCRIPT_TYPES) | (category == "image"), SCRIPT_BYTES)

@@ -315,11 +315,15 @@ def duplicates(spark, sf_dir):
     return catalog.duplicates(X.catalogue(spark, sf_dir)).select("id", "user_id", "duplicate_of")
 
 
-@query(f"with {X.CATALOGUE_SQL} select distinct a.id, a.user_id, a.sha256 from f a join f b on a.user_id = b.user_id and a.sha256 = b.sha256 where cast(a.id as bigint) % 2 = 0 and cast(b.id as bigint) % 2 <> 0")
+@query(f"with {X.CATALOGUE_SQL} select distinct a.id, a.user_id, a.sha256 from f a join f b on a.user_id = b.user_id and a.sha256 = b.sha256 cross join (select (min(epoch_us(created_at)) + max(epoch_us(created_at))) // 2 as half from f) where epoch_us(a.created_at) >= half and epoch_us(b.created_at) < half")
 def duplicate_lookup(spark, sf_dir):
+    """Files of the later half that their user had in the earlier one."""
     f = X.catalogue(spark, sf_dir)
-    new = F.col("id").cast("long") % 2 == 0
-    return catalog.is_duplicate(f.filter(new), f.filter(~new)).select("id", "user_id", "sha256")
+    at = F.unix_micros(F.col("created_at").cast("timestamp"))
+    ends = f.agg(F.min(at).alias("a"), F.max(at).alias("b")).first()
+    half = ((ends["a"] or 0) + (ends["b"] or 0)) // 2
+    new, old = f.filter(at >= half), f.filter(at < half)
+    return catalog.is_duplicate(new, old).select("id", "user_id", "sha256")
 
 
 _FINDINGS = _exploded_sql() + ", findings as (select cast(doc_id as varchar) as file_id, cast(row_number() over (partition by doc_id order by rank) - 1 as integer) as position, severity, description, points from u), " + X.CATALOGUE_SQL
@@ -327,7 +331,8 @@ _FINDINGS = _exploded_sql() + ", findings as (select cast(doc_id as varchar) as
 
 @query(f"{_FINDINGS} select file_id, position, severity, points from findings where exists (select 1 from f where f.id = file_id and user_id = '{_USER}')")
 def tenant_findings(spark, sf_dir):
-    return catalog.of_files(X.findings(spark, sf_dir), _mine(spark, sf_dir)).select("file_id", "position", "severity", "points")
+    mine = _mine(spark, sf_dir)
+    return catalog.of_files(X.findings(spark, sf_dir, mine), mine).select("file_id", "position", "severity", "points")
 
 
 _MESSAGES = "m as (select cast(conv_id as varchar) as file_id, turn, role, text from conversations)"
@@ -338,7 +343,8 @@ _MESSAGES = "m as (select cast(conv_id as varchar) as file_id, turn, role, text
     select id, risk_level, coalesce(a.n, 0) as n_findings, coalesce(a.found, '') as found, coalesce(b.roles, '') as roles from f left join a on a.file_id = id left join b on b.file_id = id"""
 )
 def file_report(spark, sf_dir):
-    r = catalog.report(X.catalogue(spark, sf_dir), X.findings(spark, sf_dir), X.messages(spark, sf_dir))
+    f = X.catalogue(spark, sf_dir)
+    r = catalog.report(f, X.findings(spark, sf_dir, f), X.messages(spark, sf_dir))
     found = F.transform("findings", lambda f: F.concat(f["severity"], F.lit(":"), f["points"].cast("string")))
     roles = F.transform("messages", lambda m: m["role"])
     return r.select("id", "risk_level", F.coalesce(F.size("findings").cast("long"), F.lit(0)).alias("n_findings"), F.coalesce(F.array_join(found, ","), F.lit("")).alias("found"), F.coalesce(F.array_join(roles, ","), F.lit("")).alias("roles"))
@@ -460,27 +466,11 @@ def infer_type(spark, sf_dir):
 
 @query(f"""select doc_id as blob_id, cast(len(s) as integer) as n, md5(array_to_string(s[1:400], chr(10))) as strings_md5 from (select doc_id, regexp_extract_all(text, '[\\x20-\\x7e]{{8,}}') as s from ({X.suffixed_sql('', [''])}))""")
 def strings_extract(spark, sf_dir):
-    one = F.pandas_udf(lambda s: s.map(lambda b: extract.strings(b or b"", 8, 1 << 30)), "array<string>")
+    one = F.pandas_udf(lambda s: s.map(lambda b: extract.strings(b or b"", 8, None, None)), "array<string>")
     found = X.suffixed(spark, sf_dir, "", [""], "bin").select("blob_id", one("content").alias("s"))
     return found.select("blob_id", F.size("s").alias("n"), F.md5(F.array_join(F.slice("s", 1, 400), "\n")).alias("strings_md5"))
 
 
-@query()
-def full_analysis(spark, sf_dir):
-    """Everything at once over all forged blobs, content included."""
-    a = analyze.analyze(X.forged(spark, sf_dir))
-    return a.select("blob_id", "file_name", "sha256", "detection.type", "risk_score", "risk_level", F.size("findings").alias("n_findings"), F.length("extraction.text").alias("text_length"), "extraction.truncated", F.size("extraction.tables").alias("n_tables"), "extraction.unsupported", "extraction.error")
-
-
-@query()
-def page_summaries(spark, sf_dir):
-    """Prompts of the pages' analyses, answered by the offline provider."""
-    a = analyze.analyze(X.pages(spark, sf_dir))
-    e = F.col("extraction")
-    prompt = prompts.summary_prompt(F.col("file_name"), F.col("detection.type"), F.col("extension_match"), F.col("risk_level"), F.col("risk_score"), F.col("findings"), e["notes"], F.to_json(e["stats"]), F.to_json(e["metadata"]), e["text"])
-    return prompts.with_summary(a.select("blob_id", prompt.alias("prompt"))).select("blob_id", "summary.oneLiner", "summary.detailed", "summary.securityExplanation")
-
-
 # --- containers and formats -----------------------------------------
 
 _EXTRA = X.pick_sql(X.ZIP_EXTRAS, "doc_id")
@@ -494,7 +484,7 @@ def zip_entries(spark, sf_dir):
     return spark.sql("select blob_id, e.name, e.uncompressed_size, e.method, e.encrypted from _zip_files, lateral zip_entries(content) e")
 
 
-@query(f"""select doc_id as blob_id, case when doc_id % 7 = 0 then 20 else 0 end + ([0, 40, 15, 45, 35, 45])[doc_id % 6 + 1] + case when doc_id % 6 = 4 and doc_id % 7 >= 0 then 18 else 0 end as risk_score,
+@query(f"""select doc_id as blob_id, case when doc_id % 7 = 0 then 20 else 0 end + ([0, 40, 15, 45, 35, 45])[doc_id % 6 + 1] + case when doc_id % 6 = 4 then 18 else 0 end as risk_score,
     doc_id % 7 <> 0 as scan_complete, case when doc_id % 6 = 4 then 'docx' else 'zip' end as type from documents""")
 def zip_rules(spark, sf_dir):
     return analyze.assess(X.zips(spark, sf_dir)).select("blob_id", "risk_score", "scan_complete", "detection.type")
@@ -517,10 +507,10 @@ def pdf_text(spark, sf_dir):
     return e.select("blob_id", e["extraction.metadata"]["Title"].alias("title"), "extraction.text", e["extraction.stats"]["Pages"].alias("pages"))
 
 
-@query("select doc_id as blob_id, (['png', 'gif'])[doc_id % 2 + 1] as type, doc_id + 1 as width, doc_id + 7 as height from documents where doc_id < 65000")
+@query("select doc_id as blob_id, (['png', 'gif'])[doc_id % 2 + 1] as type, doc_id % 65000 + 1 as width, doc_id % 65000 + 7 as height from documents")
 def image_dims(spark, sf_dir):
-    d = X.table(spark, sf_dir, "documents").filter("doc_id < 65000")
-    w, h = F.col("doc_id") + 1, F.col("doc_id") + 7
+    d = X.table(spark, sf_dir, "documents")
+    w, h = F.col("doc_id") % 65000 + 1, F.col("doc_id") % 65000 + 7
     png = F.concat(F.lit(b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR"), X.be(w, 4), X.be(h, 4), F.lit(b"\x08\x02\0\0\0"))
     gif = F.concat(F.lit(b"GIF89a"), X.le(w, 2), X.le(h, 2), F.lit(b"\0\0\0"))
     e = extract.with_extraction(detect.with_detection(X.source.from_table(d, "doc_id", F.lit("a"), F.when(F.col("doc_id") % 2 == 0, png).otherwise(gif))))

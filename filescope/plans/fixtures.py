@@ -117,10 +117,13 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("conv_id").cast("string").alias("file_id"), F.format_string("%s-%05d", F.col("conv_id"), F.col("turn")).alias("id"), "role", F.col("text").alias("content"), F.col("turn").alias("created_at"))
 
 
-def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Script findings of the suffixed documents, as a child table of the catalogue."""
+def findings(spark: SparkSession, sf_dir: str, files: DataFrame | None = None) -> DataFrame:
+    """Script findings of the suffixed documents, as a child table of the catalogue; of `files` only, if given."""
     text = F.concat("text", F.lit("\n"), pick(SCRIPT_SUFFIXES, F.col("doc_id")))
-    d = table(spark, sf_dir, "documents").select("doc_id", text.alias("t"))
+    d = table(spark, sf_dir, "documents")
+    if files is not None:  # before any rule reads a text
+        d = d.join(files.select(F.col("id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+    d = d.select("doc_id", text.alias("t"))
     found = F.filter(F.array(*(apply_rule(r, F.col("t"), 120) for r in SCRIPT_RULES)), lambda x: x.isNotNull())
     return d.select(F.col("doc_id").cast("string").alias("file_id"), F.posexplode(found).alias("position", "x")).select("file_id", "position", "x.category", "x.severity", "x.description", "x.evidence", "x.recommendation", "x.points")
 
@@ -151,6 +154,20 @@ def stored_zip(name: str, text: str, extra: str, locked: bool) -> bytes:
     return local + central + b"PK\x05\x06" + struct.pack("<HHHHIIH", 0, 0, n, n, len(central), len(local), 0)
 
 
+def container(entries: dict[str, bytes], deflated: bool = False, declared: int | None = None) -> bytes:
+    """A ZIP file of entries, stored or deflated; `declared` replaces the expanded sizes in its directory."""
+    local, central = b"", b""
+    for name, data in entries.items():
+        raw, crc, body = name.encode(), zlib.crc32(data), data
+        if deflated:
+            d = zlib.compressobj(6, zlib.DEFLATED, -15)
+            body = d.compress(data) + d.flush()
+        fields = lambda size, body=body, crc=crc, raw=raw: struct.pack("<HHHHIIIHH", 0, 8 if deflated else 0, 0, 0, crc, len(body), size, len(raw), 0)
+        central += b"PK\x01\x02" + struct.pack("<HH", 20, 20) + fields(len(data) if declared is None else declared) + struct.pack("<HHHII", 0, 0, 0, 0, len(local)) + raw
+        local += b"PK\x03\x04" + struct.pack("<H", 20) + fields(len(data)) + raw + body
+    return local + central + b"PK\x05\x06" + struct.pack("<HHHHIIH", 0, 0, len(entries), len(entries), len(central), len(local), 0)
+
+
 ZIP_EXTRAS = ["", "x.exe", "b.zip", "../up.txt", "word/vbaProject.bin", "/abs.txt"]
 
 

@@ -1,10 +1,11 @@
 import struct
+import time
 
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from filescope.functions import archive
+from filescope.functions import archive, pdf
 from filescope.operators import extract as X
 from filescope.operators.analyze import analyze
 from tests import blobs as B
@@ -101,3 +102,36 @@ def test_all_kinds_of_damage(spark):
     df = spark.createDataFrame(rows, "blob_id long, file_name string, content binary")
     out = analyze(df).collect()
     assert len(out) == len(rows) and all(r["extraction"] is not None and r["risk_level"] for r in out)
+
+
+HOSTILE = [
+    ("pdf", b"%PDF-1.4 [" + b"\\a" * 1_000_000), ("pdf", b"(" * 2_000_000), ("pdf", b"/Title(" * 280_000), ("pdf", b"/Filter/FlateDecode" * 100_000), ("pdf", b"/Filter/FlateDecode>>stream\n" * 70_000 + b"endstream"),
+    ("html", b"<" * 2_000_000), ("html", b"<script" * 280_000), ("html", b"<title" * 280_000), ("txt", b" " * 2_000_000 + b"x"), ("rtf", b"\\a" * 1_000_000), ("json", b"[" * 2_000_000), ("csv", b'"' * 2_000_000),
+]
+
+
+@pytest.mark.parametrize("n", range(len(HOSTILE)))
+def test_hostile_files_take_linear_time(n):
+    kind, data = HOSTILE[n]
+    began = time.perf_counter()
+    assert read(kind, data).error is None
+    assert time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize("part", ["<si>", "<row>", "<c>", '<c r="A1"/>', 'w:val="Heading1"', "<", "<w:p>"])
+def test_hostile_office_parts_take_linear_time(part):
+    xml = part * (1_000_000 // len(part))
+    began = time.perf_counter()
+    X.Sheet(xml, []), X.shared_strings(xml), X.headings(xml), X.strip_xml(xml)
+    assert time.perf_counter() - began < 10
+
+
+def test_cells_that_are_closed_in_themselves_take_what_follows():
+    sheet = X.Sheet('<row r="1"><c r="A1"/><c r="B1"><v>5</v></c><c r="D1"/></row><row/><row r="2"><c r="A2" t="s"><v>0</v></c></row>', ["s"])
+    assert (sheet.rows, sheet.n_rows) == ([["5", "", "", ""], ["s"]], 2)
+    assert X.strip_xml("<w:p><w:r><w:t>a</w:t></w:r></w:p><w:p x='1'><w:t>b  &amp;lt;</w:t></w:p>") == "\n a \n\n b < \n"
+
+
+def test_escapes_and_arrays_of_pdf_strings():
+    assert pdf.shown(rb"(a\)b) Tj [(c) -3 (\(d)] TJ (e) ' [(x)] ( y )") == "a)b\nc(d\ne "
+    assert pdf.shown(rb"[(a) [(b)] TJ (c)] TJ") == "b\n"

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from filescope.plans import catalogue
+from filescope.plans import engine
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,14 +21,14 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", catalogue.QUERIES)
+@pytest.mark.parametrize("name", engine.QUERIES)
 def test_query(spark, con, name):
-    df = catalogue.QUERIES[name](spark, SF)
+    df = engine.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     ours = sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
     assert ours or name == "duplicate_lookup"  # the smallest tables have no such pair
-    if name in catalogue.ORACLE:
-        found = con.sql(catalogue.ORACLE[name])
+    if name in engine.ORACLE:
+        found = con.sql(engine.ORACLE[name])
         assert sorted(found.columns) == cols
         theirs = sorted((tuple(dict(zip(found.columns, r, strict=True))[c] for c in cols) for r in found.fetchall()), key=repr)
         assert ours == theirs

@@ -1,6 +1,12 @@
+import re
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
+from filescope.functions.registry import SCRIPT_RULES
 from filescope.operators.analyze import assess
+from filescope.operators.rules import apply_rule
 from tests import blobs as B
 
 MZ = B.pe()
@@ -61,3 +67,20 @@ def test_texts(found):
 def test_filters_on_results_stay_cheap_to_plan(spark):
     df = spark.createDataFrame([(1, "a.txt", bytearray(b"x"))], "blob_id long, file_name string, content binary")
     assert assess(df).filter("risk_level = 'SAFE' and size(findings) > 0").count() == 1
+
+
+def test_hostile_texts_take_linear_time(spark):
+    texts = ["curl " * 380_000, "curl x|" * 280_000, "\n" * 260_000, "[" * 260_000, "](a" * 80_000, "[a](b" * 50_000, "#" * 260_000]
+    df = spark.createDataFrame([(i, "a.txt", bytearray(t.encode())) for i, t in enumerate(texts)], "blob_id long, file_name string, content binary")
+    assess(df.limit(1)).collect()
+    began = time.perf_counter()
+    assert len(assess(df).collect()) == len(texts)
+    assert time.perf_counter() - began < 60
+
+
+def test_pipelines_are_found_as_by_the_pattern(spark):
+    rule = next(r for r in SCRIPT_RULES if r.id == "C5")
+    texts = ["curl x | sh", "curl|sh", "wget a\n|bash x", "curl a | cat | sh", "x | curl b |  bash", "curl a | b; wget c |SH", "", "curl ", "Curl é | bash|sh", "| sh", "curl a || sh"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", apply_rule(rule, F.col("t"), 120)["evidence"].alias("e"))
+    want = [(m := re.search(rule.pattern, t)) and m[0][:120] for t in texts]
+    assert [r["e"] for r in df.orderBy("i").collect()] == want
