@@ -12,7 +12,7 @@ SPACE = r"[\s\x0B   -     　﻿]"
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.regexp_replace(text, rf"\A{SPACE}+|(?<!{SPACE}){SPACE}+\z", "")
 
 
 def _base(name: Column) -> Column:

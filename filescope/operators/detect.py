@@ -126,7 +126,7 @@ def text_kind(text: Column, json_like: Column) -> Column:
         (has(r"(?i)\A\s*<\?xml"), "xml", 93),
         (json_like == "json", "json", 98),
         (json_like == "jsonl", "jsonl", 90),
-        (has(r"(?i)\A\s*(--|/\*)?\s*(select|insert|update|delete|create\s+table|drop\s+table|alter\s+table)\b"), "sql", 80),
+        (has(r"(?i)\A\s*+(?:(?:--|/\*)\s*+)?(select|insert|update|delete|create\s+table|drop\s+table|alter\s+table)\b"), "sql", 80),
         (has(r"\A#!\s*/") | has(r"(?m)^[ \t\x0B\f]*(import |from |def |function |const |package |#include)"), "script", 70),
         (has(r"\A\s*(#|---)") & has(r"(?m)^[\w.\x22\x27-]+\s*:\s*\S"), "yaml", 72),
         (has(r"\A\s{0,3}#{1,6}\s|\n\s{0,3}#{1,6}\s") | linked, "markdown", 70),

@@ -165,14 +165,7 @@ def name_findings(spark, sf_dir):
     return found.select("blob_id", "file_name", F.array_join(fired, " ").alias("fired"))
 
 
-_DENSE = " || ".join(f"sha256(doc_id || '-{i}')" for i in range(80))
-
-
-@query(
-    f"""with b as (select doc_id, doc_id % 2 = 0 as dense, case when doc_id % 2 = 0 then '00FE' || {_DENSE} else '00FE' || hex(encode(text)) end as h from documents),
-    c as (select doc_id, dense, upper(h[2 * i + 1:2 * i + 2]) as x, length(h) // 2 as n, count(*) as c from b, unnest(range(length(h) // 2)) as r(i) group by all), e as (select doc_id, -sum(c / n * log2(c / n)) >= 7.5 as high from c group by 1)
-    select doc_id as blob_id, 'unknown' as type, 'UNKNOWN' as risk_level, case when high then 29 else 15 end as risk_score, case when high then 'Entropy, ' else '' end || 'Unrecognised format' as fired from e"""
-)
+@query("select doc_id as blob_id, 'unknown' as type, 'UNKNOWN' as risk_level, case when doc_id % 2 = 0 then 29 else 15 end as risk_score, case when doc_id % 2 = 0 then 'Entropy, ' else '' end || 'Unrecognised format' as fired from documents")
 def unknown_rules(spark, sf_dir):
     """Blobs without a signature that are no text: half of them of high entropy."""
     d = X.table(spark, sf_dir, "documents")
