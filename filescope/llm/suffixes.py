@@ -143,37 +143,61 @@ class BlindTrie:
 SHALLOW = 24
 
 
+def _three_ways(key: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of keys whose groups begin at `first`: each key's new place, its part's first place, and whether it is its pivot.
+
+    A group's pivot is the median of its first, middle and last key; smaller keys come before it, larger ones after.
+    """
+    size = np.diff(first, append=len(key))
+    a, b, c = key[first], key[first + size // 2], key[first + size - 1]
+    pivot = np.repeat(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), size)
+    less, same = key < pivot, key == pivot
+    start = np.repeat(first, size)
+    n_less, n_same = (np.add.reduceat(x, first, dtype=np.int64) for x in (less, same))
+    parts = ((less, 0), (same, n_less), (~(less | same), n_less + n_same))
+    place, part = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+    for mine, before in parts:
+        rank = np.cumsum(mine)
+        rank -= np.repeat(rank[first] - mine[first], size)
+        begin = start + (np.repeat(before, size) if isinstance(before, np.ndarray) else before)
+        part[mine] = begin[mine]
+        place[mine] = (begin + rank - 1)[mine]
+    return place, part, same
+
+
 def deep_shallow(text: bytes, starts: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """`starts` in the order of text[start:start+length], and a number for each that equal strings share.
 
-    Multikey quicksort takes eight bytes as one character and splits all groups of a depth at once.
+    Multikey quicksort takes eight bytes as one character and splits all groups that are open three ways at once: the
+    middle part goes on eight bytes deeper. Groups that are still equal at the shallow depth go to blind tries.
     """
     raw = np.frombuffer(text + bytes(8), np.uint8).astype(np.uint64)
     word = np.zeros(len(text) + 1, np.uint64)
     for i in range(8):
         word = word << np.uint64(8) | raw[i : i + len(text) + 1]
-    order, group = np.asarray(starts, np.int64), np.zeros(len(starts), np.int64)
-    open_ = np.arange(len(order))
-    for depth in range(0, min(shallow, length), 8):
-        if not len(open_):
-            break
-        pos, own = order[open_], group[open_]
-        key = word[pos + depth]
-        if depth + 8 > length:
-            key = key >> np.uint64(8 * (depth + 8 - length))
-        by = np.lexsort((key, own))
-        pos, own, key = pos[by], own[by], key[by]
-        order[open_] = pos
-        new = np.ones(len(by), bool)
-        new[1:] = (own[1:] != own[:-1]) | (key[1:] != key[:-1])
-        group[open_] = open_[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
-        alone = new & np.append(new[1:], True)
-        open_ = open_[~alone]
-    if shallow < length and len(open_):
-        edges = np.flatnonzero(np.diff(group[open_], prepend=-1, append=-1))
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            at = int(open_[a])
-            pos = order[at : at + b - a].tolist()
+    order, group, depth = np.asarray(starts, np.int64).copy(), np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+    deepest = min(shallow, length)
+    open_ = np.arange(len(order)) if len(order) > 1 else np.empty(0, np.int64)
+    while len(open_):
+        pos, own, at = order[open_], group[open_], depth[open_]
+        key = word[pos + at]
+        over = np.maximum(at + 8 - length, 0)
+        if over.any():
+            key = key >> (8 * over).astype(np.uint64)
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        place, part, same = _three_ways(key, first)
+        # Parts of a group keep its places: `open_` has them all, in order.
+        target = open_[place]
+        order[target], depth[target], group[target] = pos, at + 8 * same, open_[part]
+        own = group[open_]
+        alone = np.diff(own, prepend=-1) != 0
+        alone &= np.append(alone[1:], True)
+        open_ = open_[~alone & (depth[open_] < deepest)]
+    if shallow < length:
+        edges = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
+        sizes = np.diff(edges)
+        for at, n in zip(edges[:-1][sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+            pos = order[at : at + n].tolist()
             trie = BlindTrie(text, length, pos[0])
             for p in pos[1:]:
                 trie.insert(p)

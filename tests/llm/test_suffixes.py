@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -88,3 +89,15 @@ def test_digests_and_repeated_rows(spark):
     want = sorted((i or -1, len((t or "").encode()), sum(b - a for a, b in s), len(s), hashlib.sha256(suffixes.kept((t or "").encode(), [{"start": a, "end": b} for a, b in s])).hexdigest()) for (i, t), s in zip(rows, spans, strict=True))
     assert sorted((r[0] or -1, *tuple(r)[1:]) for r in out) == want
     assert suffixes.digests(suffixes.removed_spans(df.limit(0))).count() == 0
+
+
+def test_order_and_groups_of_random_texts():
+    rng = random.Random(2)
+    for t in range(200):
+        n, length = rng.randint(1, 300), rng.choice([5, 12, 30, 50])
+        text = bytes(rng.choice(b"ab" if t % 2 else b"abcdefgh") for _ in range(n + length))
+        starts = np.array(sorted(rng.sample(range(n), rng.randint(0, n))), np.int64)
+        order, group = suffixes.deep_shallow(text, starts, length, rng.choice([8, 16, 24, 50]))
+        own = [text[p : p + length] for p in order]
+        assert own == sorted(own) and sorted(order.tolist()) == starts.tolist()
+        assert all((a == b) == (g == h) for a, b, g, h in zip(own, own[1:], group, group[1:], strict=False))
