@@ -1,4 +1,8 @@
-"""A corpus from raw documents to packed sequences, in five stages that each work on all the stage before has kept."""
+"""A corpus from raw documents to packed sequences, in five stages that each work on all the stage before has kept.
+
+Each stage takes any columns beside those of documents and, but for the last, returns all of them. An empty table gives an
+empty one. What a stage does with null texts, rows that repeat and ties is in its docstring.
+"""
 
 from __future__ import annotations
 
@@ -20,29 +24,46 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language: those without a letter go, and those where no language has half of the score.
 
     What is in no learned language stays where the network takes it for one (repeated digits or symbols with a letter
-    among them may score 0.9).
+    among them may score 0.9). Null and empty texts go. Of languages with the same score the first by name counts. Rows that
+    repeat, and rows without an id, are judged like any other.
     """
     return langid.accepted(docs, langid.train(docs), least=LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the least id."""
+    """One document of each group of near copies: that with the least id.
+
+    Null texts and texts without words share the fingerprint zero. Of rows with the same id and text one stays. A group without any id
+    keeps one of its rows by text.
+    """
     return simhash.representatives(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes that 200-byte strings which occur twice cover."""
+    """All documents, without the bytes that 200-byte strings which occur twice cover.
+
+    Both places lose them, so there are no ties. Null texts stay null, and no row goes, however little is left of it. Rows
+    that repeat are documents of their own, and lose such strings to each other.
+    """
     cut = suffixes.remove(docs)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target takes it: from no time to three."""
+    """Each document as often as its source's target takes it: from no time to three.
+
+    Which of equally long ones is by a seeded hash. Null sources are a source, the last. Null texts have no words. Rows
+    that repeat share what is taken of them.
+    """
     return mixing.apply(docs, mixing.mix(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens, with the sequence and place where each lies."""
+    """Pieces of at most 1024 tokens, with the sequence and place where each lies.
+
+    Null and empty texts are the end token alone. Rows that repeat are packed each on its own. Of equally long pieces the
+    order in a partition decides.
+    """
     return packing.pack_documents(docs)
 
 
