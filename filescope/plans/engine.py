@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import pandas as pd
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from filescope.functions import registry as R
 from filescope.operators import analyze, catalog, detect, extract, prompts
 from filescope.plans import fixtures as X
-from filescope.plans.catalogue import _ALERTS, _FORGED_EXT, _FORGED_RISK, _STRIPPED, _URLS, ORACLE, QUERIES, _level, query
+from filescope.plans.catalogue import _ALERTS, _FORGED_EXT, _FORGED_RISK, _PAGE_SCORE, _STRIPPED, _URLS, ORACLE, QUERIES, _level, query
+from filescope.streaming import stream
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -105,6 +107,17 @@ def size_gate(spark, sf_dir):
     return found.select("blob_id", "size", F.col("content").isNotNull().alias("kept"), (F.col("risk_level") == "UNKNOWN").alias("unknown"))
 
 
+@query(f"select cast(timestamp '1970-01-01 00:00:00' + to_seconds(page_id * 3600) as date) as day, {_level(_PAGE_SCORE)} as risk_level, count(*) as n from pages group by all")
+def stream_trend(spark, sf_dir):
+    """Pages as files that arrive one an hour: a bounded stream of all of them, counted by day and level."""
+    files = spark.readStream.schema(X.table(spark, sf_dir, "pages").schema).parquet(f"{sf_dir}/page[s].parquet")
+    blobs = X.source.from_table(files, "page_id", F.concat(F.lit("page_"), "page_id", F.lit(".html")), F.col("html"))
+    counted = stream.trend(analyze.assess(blobs.withColumn("arrived", F.timestamp_seconds(F.col("blob_id") * 3600))))
+    name = f"trend_{uuid.uuid4().hex}"
+    counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.to_date("window.start").alias("day"), "risk_level", F.col("count").alias("n"))
+
+
 @query("select cast(conv_id as varchar) as file_id, role, sha256(concat_ws(chr(31), cast(conv_id as varchar), role, cast(turn as varchar), text)) as id, text as content, turn as created_at from conversations where role in ('user', 'assistant')")
 def chat_inserts(spark, sf_dir):
     said = X.messages(spark, sf_dir).drop("id")
@@ -434,18 +447,27 @@ def unknown_extract(spark, sf_dir):
     return e.select("blob_id", e["extraction.stats"]["Readable strings"].alias("n_strings"), F.md5("extraction.text").alias("text_md5"), "extraction.unsupported")
 
 
-@query(
-    f"""select doc_id as blob_id, '2' as entries, printf('%.1f KB', floor((strlen(text) + 5) / 1024.0 * 10 + 0.5) / 10) as size, case when doc_id % 7 = 0 then '1' else '0' end as encrypted, doc_id % 2 = 0 as opaque from (select * from documents) where true"""
-)
+@query("select doc_id as blob_id, '2' as entries, printf('%.1f KB', floor((strlen(text) + 5) / 1024.0 * 10 + 0.5) / 10) as size, case when doc_id % 7 = 0 then '1' else '0' end as encrypted from documents")
 def archive_stats(spark, sf_dir):
-    """Statistics of stored archives, and whether the same bytes behind another archive's signature are opaque."""
     d = X.table(spark, sf_dir, "documents")
-    pack = F.pandas_udf(lambda n, t: pd.Series([X.stored_zip("f", x, "x", k % 7 == 0).replace(b"", b"") for k, x in zip(n, t, strict=True)]), "binary")
-    blobs = X.source.from_table(d, "doc_id", F.lit("a.zip"), pack("doc_id", F.concat("text", F.lit("12345"))))
-    e = _extracted(blobs)
-    other = _extracted(X.source.from_table(d, "doc_id", F.lit("a.gz"), F.when(F.col("doc_id") % 2 == 0, F.lit(b"\x1f\x8b\x08")).otherwise(F.lit(b"PK\x05\x06" + bytes(18))))).select(F.col("blob_id").alias("_id"), F.col("extraction.unsupported").alias("opaque"))
+    pack = F.pandas_udf(lambda n, t: pd.Series([X.stored_zip("f", x, "x", k % 7 == 0) for k, x in zip(n, t, strict=True)]), "binary")
+    e = _extracted(X.source.from_table(d, "doc_id", F.lit("a.zip"), pack("doc_id", F.concat("text", F.lit("12345")))))
     s = F.col("extraction.stats")
-    return e.join(other, e["blob_id"] == other["_id"]).select("blob_id", s["Entries"].alias("entries"), s["Uncompressed size"].alias("size"), s["Encrypted"].alias("encrypted"), "opaque")
+    return e.select("blob_id", s["Entries"].alias("entries"), s["Uncompressed size"].alias("size"), s["Encrypted"].alias("encrypted"))
+
+
+_PACKED = [("1F8B08", "GZIP Compressed Data"), ("425A68", "BZIP2 Compressed Data"), ("526172211A07", "RAR Archive"), ("377ABCAF271C", "7-Zip Archive")]
+
+
+@query(
+    f"""select doc_id as blob_id, {X.pick_sql([label for _, label in _PACKED], "doc_id")} as format, true as unsupported, printf('%.1f KB', floor((octet_length(encode(text)) + ([3, 3, 6, 6])[doc_id % 4 + 1]) / 1024.0 * 10 + 0.5) / 10) as size,
+      {X.pick_sql([label for _, label in _PACKED], "doc_id")} || ' cannot be decompressed safely in this environment, so its contents were not listed.' as note from documents"""
+)
+def opaque_archives(spark, sf_dir):
+    d = X.table(spark, sf_dir, "documents")
+    head = F.unhex(X.pick([h for h, _ in _PACKED], F.col("doc_id")))
+    e = _extracted(X.source.from_table(d, "doc_id", F.lit("a"), F.concat(head, F.encode("text", "UTF-8"))))
+    return e.select("blob_id", e["extraction.metadata"]["Format"].alias("format"), "extraction.unsupported", e["extraction.stats"]["Compressed size"].alias("size"), F.get("extraction.notes", F.lit(0)).alias("note"))
 
 
 @query("select doc_id as blob_id, 'jpeg' as type, cast(doc_id % 60000 + 1 as varchar) as width, cast(doc_id % 50000 + 2 as varchar) as height, '3' as components, 'Model: Camera ' || doc_id as embedded from documents")
