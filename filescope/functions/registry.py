@@ -173,6 +173,40 @@ SCRIPT_RULES = [
     Rule("C8", r"(?i)<script[\s>]", "Script analysis", "medium", 12, "Embedded script tag", _SCRIPT_ADVICE),
     Rule("C9", r"(?i)on(load|error|click)\s*=\s*[\x22\x27]", "Script analysis", "medium", 10, "Inline event handler attribute", _SCRIPT_ADVICE),
 ]
+
+
+class Noted(NamedTuple):
+    category: str
+    severity: str
+    points: int
+    description: str  # {} stands for a value
+    recommendation: str
+
+
+# What the findings say whose conditions are more than a pattern.
+FINDINGS = {
+    "R5a": Noted("Extension mismatch", "critical", 45, 'The filename claims ".{}" but the content is {}', "Executable content hidden behind a harmless extension is a strong malware indicator. Do not open."),
+    "R5b": Noted("Extension mismatch", "medium", 18, 'The filename claims ".{}" but the content is {}', "Rename to .{} and open with the matching application."),
+    "R6": Noted("Extension", "low", 5, "File has no extension; type was established from content only", "Add the extension .{} if the detection looks correct."),
+    "R7a": Noted("Executable content", "high", 40, "{} contains machine-executable or bytecode content", "Only run software from sources you trust. This platform never executes uploads."),
+    "R7b": Noted("Executable content", "medium", 20, "{} contains machine-executable or bytecode content", "Only run software from sources you trust. This platform never executes uploads."),
+    "R8": Noted("Entropy", "medium", 14, "Very high entropy for this file type — data may be packed, encrypted or obfuscated", "High entropy alone is not proof of malice, but combined with executable content it is a packing indicator."),
+    "R9": Noted("Unrecognised format", "medium", 15, "The file format could not be identified from its content", "Unknown does not mean safe. Handle in an isolated environment."),
+    "Z1": Noted("Office macros", "high", 35, "Document contains a VBA macro project", "Do not enable macros unless you fully trust the origin."),
+    "Z2": Noted("Embedded executable", "critical", 40, "Container includes executable or script files", "Do not extract and run the contained files."),
+    "Z3": Noted("Nested archive", "medium", 15, "Archive contains further archives (nesting is used to evade scanners)", "Inspect nested archives separately with recursion limits."),
+    "Z4": Noted("Password protected", "medium", 20, "Archive entries are encrypted; contents cannot be inspected", "Encrypted archives are a common way to bypass scanning. Verify the sender."),
+    "Z5": Noted("Path traversal", "critical", 45, "Archive entry names attempt to escape the extraction directory", "Do not extract with a tool that honours absolute or relative paths."),
+    "Z6": Noted("Decompression bomb", "critical", 45, "Extreme compression ratio — likely a decompression bomb", "Do not extract this archive."),
+    "Z7": Noted("Archive structure", "low", 6, "Archive holds a very large number of entries ({})", "Large archives can exhaust resources during extraction."),
+    "Z8": Noted("Remote content", "high", 30, "Document references a remote template or embedded object over the network", "Remote template injection is a known malware delivery technique."),
+    "C10": Noted("CSV injection", "medium", 14, "Cells begin with formula characters (=, +, -, @) — spreadsheet formula injection risk", "Open with formula evaluation disabled."),
+    "C11": Noted("Suspicious URL", "medium", 12, "{} suspicious URL(s) found (raw IP, shortener or high-abuse TLD)", "Do not visit these links."),
+    "X1": Noted("Static imports", "high", 25, "Executable references APIs commonly used for injection, persistence or download-and-run", "Analyse in a dedicated malware sandbox, never on a workstation."),
+    "Y1": Noted("Polyglot file", "high", 30, "Image file also contains a complete ZIP archive structure (polyglot)", "Polyglot files are used to smuggle payloads past filters."),
+    "E1": Noted("Scan error", "medium", 10, "Part of the security scan could not complete", "Do not treat this file as safe — the scan is incomplete."),
+    "none": Noted("Baseline", "info", 0, "No security rule triggered during static analysis", "Static analysis cannot prove a file is safe, only that no known indicator was found."),
+}
 URL_PATTERN = r"https?://[^\s\x22\x27<>)]+"
 BAD_URL_PATTERN = r"(?i)\d{1,3}(\.\d{1,3}){3}|\.(ru|tk|xyz|top|gq|cf)\b|bit\.ly|tinyurl"
 API_NAMES = "VirtualAlloc WriteProcessMemory CreateRemoteThread SetWindowsHookEx URLDownloadToFile WinExec ShellExecute RegSetValue CryptEncrypt IsDebuggerPresent".split()

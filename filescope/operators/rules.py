@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from filescope.functions import content
 from filescope.functions.lazy import once
-from filescope.functions.registry import API_BYTES, API_NAMES, BAD_URL_PATTERN, COMPRESSED_TYPES, NAME_RULES, PDF_BYTES, PDF_RULES, RISK_LEVELS, RUNNABLE_TYPES, SCRIPT_BYTES, SCRIPT_RULES, SCRIPT_TYPES, URL_PATTERN, ZIP_TYPES, Rule
+from filescope.functions.registry import API_BYTES, API_NAMES, BAD_URL_PATTERN, COMPRESSED_TYPES, FINDINGS, NAME_RULES, PDF_BYTES, PDF_RULES, RISK_LEVELS, RUNNABLE_TYPES, SCRIPT_BYTES, SCRIPT_RULES, SCRIPT_TYPES, URL_PATTERN, ZIP_TYPES, Rule
 from filescope.functions.names import is_executable
 
 _FIELDS = ["category", "severity", "description", "evidence", "recommendation", "points"]
@@ -19,6 +19,21 @@ def finding(category, severity, description, evidence, recommendation, points) -
     return F.struct(*((v if isinstance(v, Column) else F.lit(v)).cast("int" if f == "points" else "string").alias(f) for v, f in zip(values, _FIELDS, strict=True)))
 
 
+def filled(template: str, *values) -> Column:
+    """A text with values in the places of its {}."""
+    first, *rest = template.split("{}")
+    parts = [F.lit(first)]
+    for value, text in zip(values, rest, strict=True):
+        parts += [value, F.lit(text)]
+    return F.concat(*parts)
+
+
+def noted(rule: str, evidence, *values, advice: tuple = ()) -> Column:
+    """The finding of a rule that is no pattern; `values` stand in its description, `advice` in its recommendation."""
+    r = FINDINGS[rule]
+    return finding(r.category, r.severity, filled(r.description, *values), evidence, filled(r.recommendation, *advice), r.points)
+
+
 def apply_rule(rule: Rule, text: Column, cut: int | None = None) -> Column:
     """The rule's finding where its pattern is in `text`; null elsewhere."""
     if rule.piped is not None:
@@ -77,14 +92,14 @@ def _zip_findings() -> list[Column]:
     whole = lambda x: F.floor(x + 0.5).cast("string")
     n = F.size(entries)
     return [
-        F.when(inside & (F.size(some(r"(?i)vbaProject.*\.bin\z")) > 0), finding("Office macros", "high", "Document contains a VBA macro project", "vbaProject.bin present in the container", "Do not enable macros unless you fully trust the origin.", 35)),
-        F.when(inside & (F.size(run) > 0), finding("Embedded executable", "critical", "Container includes executable or script files", listed(run), "Do not extract and run the contained files.", 40)),
-        F.when(inside & (F.size(nested) > 0), finding("Nested archive", "medium", "Archive contains further archives (nesting is used to evade scanners)", listed(nested), "Inspect nested archives separately with recursion limits.", 15)),
-        F.when(inside & (locked > 0), finding("Password protected", "medium", "Archive entries are encrypted; contents cannot be inspected", F.concat(locked.cast("string"), F.lit(" encrypted entries")), "Encrypted archives are a common way to bypass scanning. Verify the sender.", 20)),
-        F.when(inside & (F.size(escaping) > 0), finding("Path traversal", "critical", "Archive entry names attempt to escape the extraction directory", F.coalesce(up, F.lit("absolute path entry")), "Do not extract with a tool that honours absolute or relative paths.", 45)),
-        F.when(inside & (size > 0) & (ratio > 100) & (total > 50_000_000), finding("Decompression bomb", "critical", "Extreme compression ratio — likely a decompression bomb", F.concat(F.lit("Ratio ≈ "), whole(ratio), F.lit(":1 ("), whole(total / 1_000_000), F.lit(" MB expanded)")), "Do not extract this archive.", 45)),
-        F.when(inside & (n > 1000), finding("Archive structure", "low", F.concat(F.lit("Archive holds a very large number of entries ("), n.cast("string"), F.lit(")")), F.concat(n.cast("string"), F.lit(" entries")), "Large archives can exhaust resources during extraction.", 6)),
-        F.when(inside & remote, finding("Remote content", "high", "Document references a remote template or embedded object over the network", target, "Remote template injection is a known malware delivery technique.", 30)),
+        F.when(inside & (F.size(some(r"(?i)vbaProject.*\.bin\z")) > 0), noted("Z1", "vbaProject.bin present in the container")),
+        F.when(inside & (F.size(run) > 0), noted("Z2", listed(run))),
+        F.when(inside & (F.size(nested) > 0), noted("Z3", listed(nested))),
+        F.when(inside & (locked > 0), noted("Z4", F.concat(locked.cast("string"), F.lit(" encrypted entries")))),
+        F.when(inside & (F.size(escaping) > 0), noted("Z5", F.coalesce(up, F.lit("absolute path entry")))),
+        F.when(inside & (size > 0) & (ratio > 100) & (total > 50_000_000), noted("Z6", F.concat(F.lit("Ratio ≈ "), whole(ratio), F.lit(":1 ("), whole(total / 1_000_000), F.lit(" MB expanded)")))),
+        F.when(inside & (n > 1000), noted("Z7", filled("{} entries", n.cast("string")), n.cast("string"))),
+        F.when(inside & remote, noted("Z8", target)),
     ]
 
 
@@ -96,14 +111,10 @@ def _findings() -> tuple[Column, Column]:
     pdf, script, binary = F.col("_pdf"), F.col("_script"), F.col("_binary")
     hidden = category == "binary"
     runs = kind.isin(RUNNABLE_TYPES)
-    mismatch = finding(
-        "Extension mismatch",
-        F.when(hidden, "critical").otherwise("medium"),
-        F.concat(F.lit('The filename claims ".'), declared, F.lit('" but the content is '), label),
-        F.concat(F.lit("Declared ."), declared, F.lit(" · Detected "), kind, F.lit(" ("), number(F.col("detection.confidence")), F.lit("% confidence)")),
-        F.when(hidden, "Executable content hidden behind a harmless extension is a strong malware indicator. Do not open.").otherwise(F.concat(F.lit("Rename to ."), F.col("detection.extension"), F.lit(" and open with the matching application."))),
-        F.when(hidden, 45).otherwise(18),
-    )
+    claim = filled("Declared .{} · Detected {} ({}% confidence)", declared, kind, number(F.col("detection.confidence")))
+    right = (F.col("detection.extension"),)
+    mismatch = F.when(hidden, noted("R5a", claim, declared, label)).otherwise(noted("R5b", claim, declared, label, advice=right))
+    runnable = filled("Detected type: {}", kind)
     urls = suspicious_urls(script)
     apis = F.filter(F.array(*(F.when(F.contains(binary, F.lit(a.encode())), F.lit(a)) for a in API_NAMES)), lambda a: a.isNotNull())
     formula = F.regexp_extract(script, r"(?m)^[=+\-@].{0,60}", 0)
@@ -111,21 +122,21 @@ def _findings() -> tuple[Column, Column]:
     all_rules = [
         *(apply_rule(r, name) for r in NAME_RULES),
         F.when(F.col("extension_match") == F.lit(False), mismatch),
-        F.when(F.col("extension_match").isNull(), finding("Extension", "low", "File has no extension; type was established from content only", name, F.concat(F.lit("Add the extension ."), F.col("detection.extension"), F.lit(" if the detection looks correct.")), 5)),
-        F.when(hidden | is_executable(declared), finding("Executable content", F.when(runs, "high").otherwise("medium"), F.concat(label, F.lit(" contains machine-executable or bytecode content")), F.concat(F.lit("Detected type: "), kind), "Only run software from sources you trust. This platform never executes uploads.", F.when(runs, 40).otherwise(20))),
-        F.when((entropy >= 7.5) & ~kind.isin(COMPRESSED_TYPES), finding("Entropy", "medium", "Very high entropy for this file type — data may be packed, encrypted or obfuscated", F.concat(F.lit("Shannon entropy "), number(entropy), F.lit(" bits/byte")), "High entropy alone is not proof of malice, but combined with executable content it is a packing indicator.", 14)),
-        F.when(kind == "unknown", finding("Unrecognised format", "medium", "The file format could not be identified from its content", F.concat(F.lit("Header bytes: "), F.col("header_hex")), "Unknown does not mean safe. Handle in an isolated environment.", 15)),
+        F.when(F.col("extension_match").isNull(), noted("R6", name, advice=right)),
+        F.when(hidden | is_executable(declared), F.when(runs, noted("R7a", runnable, label)).otherwise(noted("R7b", runnable, label))),
+        F.when((entropy >= 7.5) & ~kind.isin(COMPRESSED_TYPES), noted("R8", F.concat(F.lit("Shannon entropy "), number(entropy), F.lit(" bits/byte")))),
+        F.when(kind == "unknown", noted("R9", F.concat(F.lit("Header bytes: "), F.col("header_hex")))),
         *(apply_rule(r, pdf) for r in PDF_RULES),
         *_zip_findings(),
         *(apply_rule(r, script, 120) for r in SCRIPT_RULES),
-        F.when((kind == "csv") & script.rlike(r"(?m)^[=+\-@]"), finding("CSV injection", "medium", "Cells begin with formula characters (=, +, -, @) — spreadsheet formula injection risk", formula, "Open with formula evaluation disabled.", 14)),
-        F.when(F.size(urls) > 0, finding("Suspicious URL", "medium", F.concat(F.size(urls).cast("string"), F.lit(" suspicious URL(s) found (raw IP, shortener or high-abuse TLD)")), F.substring(F.array_join(F.slice(urls, 1, 3), ", "), 1, 200), "Do not visit these links.", 12)),
-        F.when(F.size(apis) >= 2, finding("Static imports", "high", "Executable references APIs commonly used for injection, persistence or download-and-run", F.array_join(F.slice(apis, 1, 6), ", "), "Analyse in a dedicated malware sandbox, never on a workstation.", 25)),
-        F.when((category == "image") & ~broken & F.contains(F.substring("content", 1, SCRIPT_BYTES), F.lit(b"PK\x03\x04")), finding("Polyglot file", "high", "Image file also contains a complete ZIP archive structure (polyglot)", "ZIP local file header found inside image data", "Polyglot files are used to smuggle payloads past filters.", 30)),
-        F.when(broken, finding("Scan error", "medium", "Part of the security scan could not complete", F.col("zip.error"), "Do not treat this file as safe — the scan is incomplete.", 10)),
+        F.when((kind == "csv") & script.rlike(r"(?m)^[=+\-@]"), noted("C10", formula)),
+        F.when(F.size(urls) > 0, noted("C11", F.substring(F.array_join(F.slice(urls, 1, 3), ", "), 1, 200), F.size(urls).cast("string"))),
+        F.when(F.size(apis) >= 2, noted("X1", F.array_join(F.slice(apis, 1, 6), ", "))),
+        F.when((category == "image") & ~broken & F.contains(F.substring("content", 1, SCRIPT_BYTES), F.lit(b"PK\x03\x04")), noted("Y1", "ZIP local file header found inside image data")),
+        F.when(broken, noted("E1", F.col("zip.error"))),
     ]
     found = F.filter(F.array(*all_rules), lambda x: x.isNotNull())
-    none = F.array(finding("Baseline", "info", "No security rule triggered during static analysis", F.concat(label, F.lit(" · entropy "), number(entropy)), "Static analysis cannot prove a file is safe, only that no known indicator was found.", 0))
+    none = F.array(noted("none", filled("{} · entropy {}", label, number(entropy))))
     return found, none
 
 
