@@ -79,10 +79,10 @@ def lower_words(data: bytes) -> list[bytes]:
     return data.translate(_LOWER).split()
 
 
-def word_table(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All lower-cased words of a text column, flat, and each text's offsets into them (nulls: no words)."""
-    low = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    lists = pc.ascii_split_whitespace(low)
+def word_table(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """All words of a text column, lower-cased unless told otherwise, flat, and each text's offsets into them (nulls: no words)."""
+    plain = pc.fill_null(texts.cast(pa.large_string()), "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(plain) if lower else plain)
     words, at = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
     at = at - at[0]
     full = pc.greater(pc.binary_length(words), 0)
