@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filescope.llm import density, forest, langid, lines, media, mixing, packing, periodic, pitman_yor, simhash, suffixes, whitening
+from filescope.llm import density, forest, jaccard, langid, lines, media, mixing, packing, periodic, pitman_yor, simhash, suffixes, whitening
 from filescope.llm.common import table
 
 
@@ -54,9 +54,13 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
 
 
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_density, op2_pitman_yor, op3_simhash, op4_suffixes, op5_mixing, op6_packing, op7_bigru, op8_lines, op9_forest, op10_jpeg, op11_periodic, op13_whitening)}
-ORACLE: dict[str, str] = {"op8_lines": lines.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_density, op2_pitman_yor, op3_simhash, op4_suffixes, op5_mixing, op6_packing, op7_bigru, op8_lines, op9_forest, op10_jpeg, op11_periodic, op12_jaccard, op13_whitening)}
+ORACLE: dict[str, str] = {"op8_lines": lines.ORACLE, "op12_jaccard": jaccard.ORACLE}
