@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Word separators of the contracts: ASCII white space, which is also what bytes.split() separates by.
@@ -99,6 +99,11 @@ def text_and_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def text_tag(text: Column) -> Column:
+    """64 bits of a text: with its id, what tells a document from others, as ids may be null or repeat."""
+    return F.xxhash64(text.cast("string"))
+
+
 def rows(batches: Iterator[pa.RecordBatch], schema: pa.Schema, each) -> Iterator[pa.RecordBatch]:
     """Yield `each(batch)`, a dict of columns, as batches of `schema`."""
     for batch in batches:

@@ -414,11 +414,11 @@ with recursive words as (
   select min(doc_id) as node, n, s from sets where n > 0 group by n, s
 ), flat as (
   select node, n, unnest(s) as shingle from nodes
-), overlaps as (
-  select a.node as a, b.node as b, any_value(a.n) + any_value(b.n) as total, count(*) as both
+), met as (
+  select a.node as a, b.node as b, any_value(a.n) + any_value(b.n) as total, count(*) as shared
   from flat a join flat b on a.shingle = b.shingle and a.node < b.node and 4 * b.n <= 5 * a.n and 4 * a.n <= 5 * b.n group by 1, 2
 ), edges as (
-  select a, b from overlaps where 100 * both >= {LINK} * (total - both)
+  select a, b from met where 100 * shared >= {LINK} * (total - shared)
 ), both_ways as (
   select a, b from edges union all select b, a from edges
 ), reach as (

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filescope.llm.common import column, materialize, rows, tune
+from filescope.llm.common import column, materialize, rows, text_tag, tune
 
 #: Words of the shortest unit that is compared, and of the shortest run of repeated units that is removed.
 WORDS, RUN = 4, 20
@@ -38,22 +38,22 @@ def normalised(unit):
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id, pos, digest: a row per unit of at least `words` words, by its place in the text; texts stay where they are."""
+    """doc_id, tag, pos, digest: a row per unit of at least `words` words, by its place in the text; texts stay where they are."""
 
     def digest(unit):
         plain = normalised(unit)
         return F.when((plain != "") & (F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) >= words - 1), F.unhex(F.md5(plain)))
 
     found = F.transform(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(UNIT), F.lit(0)), digest)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(found).alias("pos", "digest")).filter("digest is not null")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_tag(F.col(text_col)).alias("tag"), F.posexplode(found).alias("pos", "digest")).filter("digest is not null")
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """doc_id, pos of the units that an earlier one, by doc_id and place, has said. `found` is read twice."""
-    first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
+    """doc_id, tag, pos of the units that an earlier one, by doc_id, tag and place, has said. `found` is read twice."""
+    first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "tag", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
     # Written, so that the join's sides are two exchanges: Spark can then split the tasks of a very common unit.
     first = materialize(first.filter("n > 1").select("digest", "first"))
-    return found.join(first, "digest").filter(~F.struct("doc_id", "pos").eqNullSafe(F.col("first"))).select("doc_id", "pos")
+    return found.join(first, "digest").filter(~F.struct("doc_id", "tag", "pos").eqNullSafe(F.col("first"))).select("doc_id", "tag", "pos")
 
 
 def removed_runs(parts: list[str], again: set[int], words: int, run: int) -> list[tuple[int, int]]:
@@ -76,16 +76,16 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     spans has (start, length) of each run of removed units in code points of the original text, in order; kept_text is what
     is left. Units are compared in lower case with blanks made one; the earliest of equal ones stays, by doc_id (nulls
-    first), then place in the text. A later one goes only in a run of such units of at least `run` words in all, where
+    first), then, of different texts with the same id or none, by the text's hash, then place in the text. A later one goes only in a run of such units of at least `run` words in all, where
     units of fewer than `words` words, which are not compared, may stand between. Null text: no units, null kept_text.
-    Repeated rows, ids included, are one document: all of them keep or lose the same units. Extra columns are not read. An
+    Rows with the same id and text are one document: all of them keep or lose the same units. Extra columns are not read. An
     empty table: no rows.
     """
     tune(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     again = repeated(materialize(units(own, words=words)))
-    again = again.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("again")).withColumnRenamed("doc_id", "_id")
-    both = own.join(again, own["doc_id"].eqNullSafe(again["_id"]), "left").select("doc_id", "text", "again")
+    again = again.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set("pos")).alias("again")).withColumnsRenamed({"doc_id": "_id", "tag": "_tag"})
+    both = own.join(again, own["doc_id"].eqNullSafe(again["_id"]) & (text_tag(F.col("text")) == again["_tag"]), "left").select("doc_id", "text", "again")
     span = pa.struct([("start", pa.int64()), ("length", pa.int64())])
     schema = pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("removed_chars", pa.int64()), ("spans", pa.list_(span)), ("kept_text", pa.string())])
 

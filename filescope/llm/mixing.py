@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filescope.llm.common import WORD, materialize
+from filescope.llm.common import materialize, text_tag, WORD
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -24,10 +24,10 @@ SEED = 42
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, tag, source, size: words by ASCII white space; null text: 0. tag has 31 bits of the text's hash."""
+    """doc_id, tag, source, size: words by ASCII white space; null text: 0. tag has 64 bits of the text's hash."""
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.xxhash64(F.col(text_col).cast("string")).bitwiseAND(0x7FFFFFFF), F.lit(0)).cast("int").alias("tag"),
+        text_tag(F.col(text_col)).alias("tag"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
@@ -150,8 +150,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def apply(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it. Rows that repeat are taken as often as all of them are."""
-    tag = F.coalesce(F.xxhash64(F.col(text_col).cast("string")).bitwiseAND(0x7FFFFFFF), F.lit(0)).cast("int")
-    once = docs.withColumns({"_id": F.col(id_col).cast("long"), "_tag": tag}).dropDuplicates(["_id", "_tag"])
+    once = docs.withColumns({"_id": F.col(id_col).cast("long"), "_tag": text_tag(F.col(text_col))}).dropDuplicates(["_id", "_tag"])
     times = mixed.groupBy("doc_id", "tag").agg(F.sum("times").cast("int").alias("_times")).filter("_times > 0").withColumnsRenamed({"doc_id": "_doc", "tag": "_of"})
     both = once.join(times, once["_id"].eqNullSafe(times["_doc"]) & (once["_tag"] == times["_of"]))
     return both.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filescope.llm.common import column, lower_words, materialize, rows, text_and_id, tidy, tune, utf8
+from filescope.llm.common import column, lower_words, materialize, rows, text_and_id, text_tag, tidy, tune, utf8
 from filescope.llm.components import components
 
 SHINGLE = 4
@@ -48,15 +48,16 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp: each text's fingerprint as a signed long."""
+    """doc_id, tag, fp: each text's fingerprint as a signed long, and its tag."""
     tune(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("fp", pa.int64())])
 
     def each(batch: pa.RecordBatch) -> dict:
         found = np.array([fingerprint(utf8(t), shingle) for t in column(batch, "text").to_pylist()], np.uint64)
-        return {"doc_id": column(batch, "doc_id"), "fp": found.view(np.int64)}
+        return {"doc_id": column(batch, "doc_id"), "tag": column(batch, "tag"), "fp": found.view(np.int64)}
 
-    return text_and_id(docs, id_col, text_col).mapInArrow(lambda it: rows(it, schema, each), "doc_id long, fp long")
+    tagged = text_and_id(docs, id_col, text_col).select("doc_id", text_tag(F.col("text")).alias("tag"), "text")
+    return tagged.mapInArrow(lambda it: rows(it, schema, each), "doc_id long, tag long, fp long")
 
 
 def masks(n: int, distance: int = DISTANCE) -> list[int]:
@@ -89,7 +90,8 @@ def links(distinct: DataFrame, n: int, distance: int = DISTANCE, bucket: int = B
     """(a, b): links between the fingerprints of `distinct` (fp) that connect what close pairs connect."""
     tables = F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks(n, distance))))
     keyed = distinct.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.key")
-    size = keyed.groupBy("t", "key").count().filter("count > 1")
+    # Written, so that the join's sides are two exchanges: Spark can then split the tasks of a large bucket.
+    size = materialize(keyed.groupBy("t", "key").count().filter("count > 1"))
     met = keyed.join(size, ["t", "key"])
     # Chunk c of k goes to each pair of chunks that has c, so that any two fingerprints of the bucket meet.
     chunks = F.ceil(F.col("count") / bucket)
@@ -108,6 +110,15 @@ def links(distinct: DataFrame, n: int, distance: int = DISTANCE, bucket: int = B
     return lists.select("fps").mapInArrow(tidy(verify), "a long, b long")
 
 
+def fingerprint_classes(found: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
+    """fp, root, component_id of each distinct fingerprint of `found` (doc_id, fp): root is the least linked fingerprint."""
+    distinct = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(links(distinct.select("fp"), distinct.count(), distance, bucket))
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.join(ids, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the least doc_id that links reach, itself included.
 
@@ -115,20 +126,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in one component. Null ids keep their rows, and are a component's id only if it has no other. Extra columns are not
     read. An empty table: no rows.
     """
-    found = materialize(fingerprints(docs, id_col, text_col, shingle))
-    distinct = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct.select("fp"), distinct.count(), distance, bucket))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(ids, "root").select("fp", "component_id")
+    found = materialize(fingerprints(docs, id_col, text_col, shingle).select("doc_id", "fp"))
+    classes = fingerprint_classes(found, distance, bucket)
     return found.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs`, all columns, of one document of each component: that whose id is the component's.
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
+    """The rows of `docs`, all columns, of one document of each component: that with the least id, nulls last.
 
-    Of rows that repeat with the same id and text one stays. A component without any id keeps one of its rows by text.
+    Of different texts with that id (or without any) the least by hash stays; of rows that repeat with the same id and
+    text, one.
     """
-    kept = near_duplicates(docs, id_col, text_col, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    own = docs.withColumns({"_id": F.col(id_col).cast("long"), "_h": F.xxhash64(F.col(text_col).cast("string"))})
-    return own.join(kept, own["_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["_id", "_h"]).select(docs.columns)
+    found = materialize(fingerprints(docs, id_col, text_col, shingle))
+    classes = fingerprint_classes(found, distance, bucket)
+    own = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "tag")
+    kept = found.join(classes, "fp").groupBy("root").agg(F.min(own).alias("kept")).select(F.col("kept.doc_id").alias("_kept"), F.col("kept.tag").alias("_of"))
+    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_h": text_tag(F.col(text_col))})
+    return keyed.join(kept, keyed["_id"].eqNullSafe(kept["_kept"]) & (keyed["_h"] == kept["_of"]), "left_semi").dropDuplicates(["_id", "_h"]).select(docs.columns)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filescope.llm.common import column, discard, materialize, rows, tidy, tune, utf8
+from filescope.llm.common import column, discard, materialize, rows, text_tag, tidy, tune, utf8
 
 LENGTH = 200
 GRAM = 64
@@ -239,12 +239,12 @@ def _repeated(text: bytes, at: np.ndarray, windows: np.ndarray, group: np.ndarra
     return order[twice], order[~twice]
 
 
-_RANGES = "doc_id long, tag int, first long, last long"
+_RANGES = "doc_id long, tag long, first long, last long"
 
 
 def _sort_snippets(length: int):
     """Of snippets that come with their gram's group (h, salt) together, emit repeated windows, or open digests."""
-    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("h", pa.int64()), ("digest", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("h", pa.int64()), ("digest", pa.int64())])
 
     def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
         pieces = t.column("snippet").to_pylist()
@@ -307,10 +307,9 @@ def _sort_snippets(length: int):
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, *others) -> DataFrame:
-    """Documents by id and, as ids may repeat, 31 bits of the text's hash."""
+    """Documents by id and, as ids may repeat, 64 bits of the text's hash."""
     text = F.col(text_col).cast("string")
-    tag = F.coalesce(F.xxhash64(text).bitwiseAND(0x7FFFFFFF), F.lit(0)).cast("int")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), tag.alias("tag"), text.alias("text"), *others)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_tag(text).alias("tag"), text.alias("text"), *others)
 
 
 def _same(a: DataFrame, b: DataFrame):
@@ -328,7 +327,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         out = {k: np.concatenate([x[k] for x in found]) for k in ("first", "last", "h", "u")}
         return {"doc_id": column(batch, "doc_id").take(n), "tag": column(batch, "tag").take(n), "first": out["first"], "last": out["last"], "h": out["h"].view(np.int64), "u": out["u"].view(np.int64)}
 
-    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("h", pa.int64()), ("u", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("h", pa.int64()), ("u", pa.int64())])
     found = materialize(keyed.mapInArrow(lambda it: rows(it, schema, find), _RANGES + ", h long, u long"))
     # Written, so that the join's sides are two exchanges: Spark can then split the tasks of a very common gram.
     common = materialize(found.groupBy("h").count().filter("count > 1").select("h"))
@@ -346,7 +345,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     discard(shared, unions)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = [("doc_id", pa.int64()), ("tag", pa.int32()), ("h", pa.int64()), ("salts", pa.int32()), ("kind", pa.int32()), ("first", pa.int64()), ("place", pa.int64()), ("snippet", pa.binary())]
+        fields = [("doc_id", pa.int64()), ("tag", pa.int64()), ("h", pa.int64()), ("salts", pa.int32()), ("kind", pa.int32()), ("first", pa.int64()), ("place", pa.int64()), ("snippet", pa.binary())]
         for batch in batches:
             out: dict[str, list] = {n: [] for n, _ in fields}
             for doc, tag, text, ranges in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "tag", "text", "open")), strict=True):
@@ -361,7 +360,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     open_ = per_doc.select("doc_id", "tag", F.filter("ranges", lambda r: r["kind"] > 0).alias("open")).filter(F.size("open") > 0)
     joined = keyed.join(open_, _same(keyed, open_)).select(keyed["doc_id"], keyed["tag"], "text", "open")
-    snippets = joined.mapInArrow(tidy(cut), "doc_id long, tag int, h long, salts int, kind int, first long, place long, snippet binary")
+    snippets = joined.mapInArrow(tidy(cut), "doc_id long, tag long, h long, salts int, kind int, first long, place long, snippet binary")
     snippets = snippets.withColumn("salt", F.pmod(F.xxhash64("doc_id", "first"), F.col("salts")).cast("int"))
     local = snippets.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(tidy(_sort_snippets(length)), _RANGES + ", h long, digest long")
     local = materialize(local)

@@ -93,3 +93,13 @@ def test_sql(spark, table):
         ours = sorted(tuple(r) for r in lines.digests(lines.deduplicate(docs)).collect())
         con.register("documents", docs.select("doc_id", "text").toPandas())
         assert ours == sorted(con.sql(lines.ORACLE).fetchall())
+
+
+def test_null_and_clashing_ids_with_different_texts(spark):
+    passage, unique = (A + B + C).strip(), "Only this text has these many words of its own and none of them are anywhere else but here in this one line of it all"
+    for key in (None, 7):
+        rows = [(1, f"{passage}\nEnd one."), (key, f"{passage}\nEnd two."), (key, f"{unique}\nEnd three."), (key, f"{unique} too\nEnd four.")]
+        out = sorted(r["kept_text"] for r in lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+        gone = [t.removeprefix(f"{passage}\n") for _, t in rows]
+        # Of the passage the earliest stays: nulls come first, 7 after 1.
+        assert out == sorted([*gone[2:], *([gone[0], rows[1][1]] if key is None else [rows[0][1], gone[1]])])

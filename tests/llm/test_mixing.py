@@ -60,3 +60,10 @@ def test_mix(spark):
 
 def test_empty(spark):
     assert _mix(spark, []) == []
+
+
+def test_texts_without_ids_are_told_apart(spark):
+    rows = [(None, f"text number {i}", "a", "x") for i in range(50)] + [(3, "one", "a", "x"), (3, "another", "a", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, tag string")
+    taken = [r["text"] for r in mixing.apply(df, mixing.mix(df)).collect()]
+    assert set(taken) == {t for _, t, _, _ in rows}

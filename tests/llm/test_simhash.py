@@ -77,3 +77,17 @@ def test_components_of_a_chain_and_a_hub(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(1, 301)) and all(got[1000 + i] == 1000 for i in range(1, 200)) and got[5000] == 1000
     assert 0 not in got and 3 in got
+
+
+def test_representatives_without_ids_and_with_clashing_ones(spark):
+    words = [f"w{i}" for i in range(400)]
+    near = lambda *at: " ".join("other" if i in at else w for i, w in enumerate(words))
+    rows = [(5, near(), "x"), (None, near(200), "x"), (None, near(201), "x"), (None, near(202), "x"), (None, "stays as it is alone", "x"), (9, "one of two texts here", "x"), (9, "and quite another of the same", "x"), (9, "one of two texts here", "x"), (None, None, "x"), (None, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tag string")
+    prints = {r["fp"] for r in simhash.fingerprints(df.limit(4)).collect()}
+    assert len(prints) > 1 and all((a ^ b).bit_count() <= 4 for a in prints for b in prints)
+    kept = [tuple(r) for r in simhash.representatives(df.repartition(3)).collect()]
+    assert sorted(map(repr, kept[:])) == sorted(map(repr, [rows[0], rows[4], rows[5], rows[6], next(k for k in kept if not k[1])]))
+    only = [(None, near(), "x"), (None, near(200), "x"), (7, near(201), "x"), (7, near(202), "x")]
+    assert [r["doc_id"] for r in simhash.representatives(spark.createDataFrame(only, "doc_id long, text string, tag string")).collect()] == [7]
+    assert simhash.representatives(df.limit(0)).count() == 0
