@@ -200,6 +200,7 @@ FINDINGS = {
     "Z6": Noted("Decompression bomb", "critical", 45, "Extreme compression ratio — likely a decompression bomb", "Do not extract this archive."),
     "Z7": Noted("Archive structure", "low", 6, "Archive holds a very large number of entries ({})", "Large archives can exhaust resources during extraction."),
     "Z8": Noted("Remote content", "high", 30, "Document references a remote template or embedded object over the network", "Remote template injection is a known malware delivery technique."),
+    "Z9": Noted("Archive limits", "medium", 20, "Members of the archive were left out at the limits of its analysis", "Unpack it in an isolated environment if its contents matter."),
     "C10": Noted("CSV injection", "medium", 14, "Cells begin with formula characters (=, +, -, @) — spreadsheet formula injection risk", "Open with formula evaluation disabled."),
     "C11": Noted("Suspicious URL", "medium", 12, "{} suspicious URL(s) found (raw IP, shortener or high-abuse TLD)", "Do not visit these links."),
     "X1": Noted("Static imports", "high", 25, "Executable references APIs commonly used for injection, persistence or download-and-run", "Analyse in a dedicated malware sandbox, never on a workstation."),
