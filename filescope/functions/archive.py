@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable
 from typing import NamedTuple
 
 # Limits of the directory scan.
@@ -30,20 +31,33 @@ class ZipError(ValueError):
 
 def directory(data: bytes) -> list[Entry]:
     """The entries of a ZIP file, up to the first broken record."""
-    end = data.rfind(b"PK\x05\x06", max(0, len(data) - EOCD_WINDOW), max(0, len(data) - 18))
+    return directory_of(lambda start, n: data[start : start + n], len(data))
+
+
+def directory_of(read: Callable[[int, int], bytes], size: int, header: Callable[[int, int], bytes] | None = None, starts: bool = True) -> list[Entry]:
+    """The entries of `size` bytes of which read(start, n) gives ranges: the end, the directory, and each entry's header.
+
+    `header` reads the headers, which lie apart, if not `read` itself; without `starts` they are not read, and data_start is 0.
+    """
+    first = max(0, size - EOCD_WINDOW)
+    tail = read(first, size - first)
+    end = tail.rfind(b"PK\x05\x06", 0, max(0, len(tail) - 18))
     if end < 0:
         raise ZipError("ZIP end-of-central-directory record not found")
-    count, at = struct.unpack_from("<H", data, end + 10)[0], struct.unpack_from("<I", data, end + 16)[0]
+    count, at = struct.unpack_from("<H", tail, end + 10)[0], struct.unpack_from("<I", tail, end + 16)[0]
     if at == 0xFFFFFFFF:
         raise ZipError("ZIP64 directories are not read")
     found: list[Entry] = []
-    while len(found) < min(count, MAX_ENTRIES) and at + 46 <= len(data) and data[at : at + 4] == b"PK\x01\x02":
-        flags, method, _, crc, packed, size, n_name, n_extra, n_comment, local = struct.unpack_from("<HHIIIIHHH8xI", data, at + 8)  # noqa: E501
+    while len(found) < min(count, MAX_ENTRIES) and at + 46 <= size:
+        record = read(at, 46)
+        if record[:4] != b"PK\x01\x02":
+            break
+        flags, method, _, crc, packed, full, n_name, n_extra, n_comment, local = struct.unpack_from("<HHIIIIHHH8xI", record, 8)
         start = 0
-        if local + 30 <= len(data) and data[local : local + 4] == b"PK\x03\x04":
-            start = local + 30 + sum(struct.unpack_from("<HH", data, local + 26))
-        name = data[at + 46 : at + 46 + n_name].decode("utf-8", "replace")
-        found.append(Entry(len(found), name, packed, size, method, bool(flags & 1), start, crc))
+        if starts and local + 30 <= size and (own := (header or read)(local, 30))[:4] == b"PK\x03\x04":
+            start = local + 30 + sum(struct.unpack_from("<HH", own, 26))
+        name = read(at + 46, n_name).decode("utf-8", "replace")
+        found.append(Entry(len(found), name, packed, full, method, bool(flags & 1), start, crc))
         at += 46 + n_name + n_extra + n_comment
     return found
 

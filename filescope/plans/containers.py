@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from filescope.operators import archives
 from filescope.plans import fixtures as X
-from filescope.plans.catalogue import query
+from filescope.plans.catalogue import ORACLE, query
+from filescope.sources import shared, ziplist
 
 # --- archives inside of archives ------------------------------------
 
@@ -95,3 +96,16 @@ def archive_stops(spark, sf_dir):
     """The findings of archives whose analysis came to a limit."""
     found = archives.tree(_nested(spark, sf_dir), _LIMITS)
     return found.select("root_id", "path", F.explode("findings").alias("f")).filter("f.category = 'Archive limits'").select("root_id", "path", "f.category", "f.evidence")
+
+
+# --- archives as files ----------------------------------------------
+
+
+@query(ORACLE["zip_entries"])
+def zip_source(spark, sf_dir):
+    """The entries of documents' archives, written as files to the shared folder and listed without reading their bodies."""
+    folder = shared.fresh(spark, "zips")
+    ziplist.save(X.zips(spark, sf_dir), folder)
+    spark.dataSource.register(ziplist.ZipDirectories)
+    found = spark.read.format("zip_directory").option("pathGlobFilter", "*.zip").load(folder)
+    return found.select(F.regexp_extract("path", r"(-?\d+)\.zip$", 1).cast("long").alias("blob_id"), "name", "uncompressed_size", "method", "encrypted")
