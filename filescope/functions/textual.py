@@ -73,5 +73,31 @@ def to_number(value: Column) -> Column:
     return F.when(F.abs(found) < float("inf"), found)
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """The exact value of a double rounded half up, away from zero, to some decimals, as JavaScript's toFixed does.
+
+    x * 10^digits is taken with its rounding error (Dekker's product), so that ties are told from what is next to them.
+    Beyond 2^53 hundredths (or what the digits make of it) a double has no such decimals.
+    """
+    size, scale = F.abs(x), float(10**digits)
+    shifted = size * 134_217_729.0
+    high = shifted - (shifted - size)
+    product = size * scale
+    error = (high * scale - product) + (size - high) * scale
+    below = F.floor(product)
+    part = product - below
+    whole = below + F.when((part > 0.5) | ((part == 0.5) & (error >= 0)), 1).otherwise(0)
+    text = F.lpad(whole.cast("string"), digits + 1, "0") if digits else whole.cast("string")
+    text = F.when(F.length(whole.cast("string")) > digits + 1, whole.cast("string")).otherwise(text)
+    shown = F.concat(text.substr(F.lit(1), F.length(text) - digits), F.lit("."), text.substr(F.length(text) - digits + 1, F.lit(digits))) if digits else text
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.when(product < float(1 << 53), shown).otherwise(F.format_string(f"%.{digits}f", size)))
+
+
+def shortest(x: Column) -> Column:
+    """A double without an exponent: whole ones have no fraction."""
+    text = F.regexp_replace(x.cast("decimal(38,15)").cast("string"), r"0+\z", "")
+    return F.when((x == F.floor(x)) & (F.abs(x) < 1e18), x.cast("decimal(22,0)").cast("string")).when((F.abs(x) >= 1e-3) & (F.abs(x) < 1e7), x.cast("string")).when(F.abs(x) < 1e18, text).otherwise(x.cast("string"))
+
+
 def format_bytes(size: Column) -> Column:
     return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1 << 20, F.format_string("%.1f KB", size / 1024.0)).otherwise(F.format_string("%.2f MB", size / 1048576.0))

@@ -18,8 +18,8 @@ def cells(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.select(F.explode(values).alias("x")).select("x.column", "x.value")
 
 
-def profile(found: DataFrame) -> DataFrame:
-    """column, inferred_type, missing, rows, numeric, min, max, avg, distinct of cells (column, value).
+def profile(found: DataFrame, *keys: str) -> DataFrame:
+    """keys, column, inferred_type, missing, rows, numeric, min, max, avg, distinct of cells (keys, column, value).
 
     min, max and avg are null unless over 60 % of the cells are numbers; blanks count as 0 there.
     """
@@ -27,7 +27,7 @@ def profile(found: DataFrame) -> DataFrame:
     own = found.withColumns(flags | {"x": textual.to_number(F.col("value"))})
     full = ~F.col("blank")
     every = lambda c: F.coalesce(F.bool_and(F.when(full, F.col(c))), F.lit(False))
-    out = own.groupBy("column").agg(
+    out = own.groupBy(*keys, "column").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col("blank")).alias("missing"),
         *(every(c).alias(f"_{c}") for c in ("integer", "number", "boolean", "date")),
@@ -41,4 +41,4 @@ def profile(found: DataFrame) -> DataFrame:
     for c in ("integer", "number", "boolean", "date"):
         kind = kind.when(F.col(f"_{c}"), c)
     much = F.col("numeric") > F.col("rows") * 0.6
-    return out.select("column", kind.otherwise("text").alias("inferred_type"), "missing", "rows", "numeric", *(F.when(much, F.col(c)).alias(c) for c in ("min", "max", "avg")), "distinct")
+    return out.select(*keys, "column", kind.otherwise("text").alias("inferred_type"), "missing", "rows", "numeric", *(F.when(much, F.col(c)).alias(c) for c in ("min", "max", "avg")), "distinct")
