@@ -5,6 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from filescope.functions import pe
+from filescope.functions.registry import API_NAMES
 from filescope.operators import archives
 from filescope.plans import fixtures as X
 from filescope.plans.catalogue import ORACLE, query
@@ -109,3 +111,44 @@ def zip_source(spark, sf_dir):
     spark.dataSource.register(ziplist.ZipDirectories)
     found = spark.read.format("zip_directory").option("pathGlobFilter", "*.zip").load(folder)
     return found.select(F.regexp_extract("path", r"(-?\d+)\.zip$", 1).cast("long").alias("blob_id"), "name", "uncompressed_size", "method", "encrypted")
+
+
+# --- imports and exports of programs --------------------------------
+
+
+def _program(key: int, text: str) -> bytes:
+    """Two libraries or one, functions by name and by ordinal, 32 and 64 bits, with and without the table of names."""
+    libraries = {"KERNEL32.dll": ["VirtualAlloc", f"f{key}", key % 1000], f"user{key % 5}.dll": ["ShellExecuteA"]}
+    if key % 3 == 0:
+        libraries.popitem()
+    return X.pe_file(libraries, [f"run{i}_{key}" for i in range(key % 4)], text.encode(), key % 2 == 1, key % 5 == 0, 0x777777 if key % 7 == 0 else None)
+
+
+def _programs(spark, sf_dir):
+    d = X.table(spark, sf_dir, "documents")
+    make = F.pandas_udf(lambda n, t: pd.Series([_program(*r) for r in zip(n, t, strict=True)]), "binary")
+    return X.source.from_table(d, "doc_id", F.concat(F.lit("doc_"), "doc_id", F.lit(".exe")), make("doc_id", F.coalesce("text", F.lit(""))))
+
+
+@query(
+    """with d as (select doc_id as blob_id from documents where doc_id % 7 <> 0)
+    select blob_id, 'KERNEL32.dll' as library, unnest([0, 1, 2])::integer as place, unnest(['VirtualAlloc', 'f' || blob_id, '#' || (blob_id % 1000)]) as function from d
+    union all select blob_id, 'user' || (blob_id % 5) || '.dll', 0, 'ShellExecuteA' from d where blob_id % 3 <> 0"""
+)
+def pe_imports(spark, sf_dir):
+    """What the programs that documents are forged into import; every seventh has an import table outside of its sections."""
+    return pe.imports(_programs(spark, sf_dir), "blob_id")
+
+
+@query("select doc_id as blob_id, i::integer as place, 'run' || i || '_' || doc_id as name from (select doc_id, unnest(range(doc_id % 4)) as i from documents)")
+def pe_exports(spark, sf_dir):
+    return pe.exports(_programs(spark, sf_dir), "blob_id")
+
+
+@query("select doc_id as blob_id, 'VirtualAlloc' || case when doc_id % 3 <> 0 then ', ShellExecute' else '' end as apis from documents where doc_id % 7 <> 0")
+def pe_imported_apis(spark, sf_dir):
+    """Of the functions that the rule on static imports looks for in a file's bytes, those that its import table has."""
+    known = spark.createDataFrame(list(enumerate(API_NAMES)), "rank int, api string")
+    found = pe.imports(_programs(spark, sf_dir), "blob_id").join(F.broadcast(known), F.col("function").startswith(F.col("api")))
+    by_rank = F.array_sort(F.collect_set(F.struct("rank", "api")))
+    return found.groupBy("blob_id").agg(F.array_join(F.transform(by_rank, lambda x: x["api"]), ", ").alias("apis"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from filescope.functions import registry as R
-from filescope.operators import analyze, catalog, detect, extract, prompts
+from filescope.operators import analyze, catalog, delimited, detect, extract, prompts
 from filescope.plans import fixtures as X
 from filescope.plans.catalogue import _ALERTS, _FORGED_EXT, _FORGED_RISK, _PAGE_SCORE, _STRIPPED, _URLS, ORACLE, QUERIES, _level, query
 from filescope.streaming import stream
@@ -377,7 +377,7 @@ def delimited_extract(spark, sf_dir):
     n = F.col("c_custkey")
     rows = [line(F.lit("name"), F.lit(""), F.lit("when")), line(F.col("c_name"), n.cast("string"), F.lit("2024-01-02")), line(F.concat(F.lit('"a ""b""'), mark, F.lit(' c"')), F.lit(" "), F.lit("2024-02-03")), line(F.lit("z"), F.floor(n / 2).cast("string"), F.lit("2024-02-03"))]
     text = F.concat_ws("\n", *(F.substring(r, 2, 1 << 20) for r in rows))
-    e = extract.with_extraction(c.select(n.alias("blob_id"), F.encode(text, "UTF-8").alias("content"), F.struct(X.pick(["csv", "tsv", "csv"], n).alias("type"), F.lit("x").alias("label"), F.lit("data").alias("category"), F.lit(None).cast("string").alias("container")).alias("detection")))
+    e = delimited.extract(c.select(n.alias("blob_id"), F.encode(text, "UTF-8").alias("content"), F.struct(X.pick(["csv", "tsv", "csv"], n).alias("type"), F.lit("x").alias("label"), F.lit("data").alias("category"), F.lit(None).cast("string").alias("container")).alias("detection")))
     s, t = e["extraction.stats"], e["extraction.tables"]
     profile = F.array_join(F.transform(t[0]["rows"], lambda r: F.concat(r[0], F.lit(": "), r[1], F.lit(", "), r[2], F.lit(" missing, "), r[3])), "; ")
     return e.select("blob_id", "detection.type", s["Delimiter"].alias("delimiter"), s["Rows"].alias("n_rows"), s["Columns"].alias("n_columns"), profile.alias("profile"), F.array_join(t[1]["rows"][0], " | ").alias("first_row"))

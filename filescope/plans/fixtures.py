@@ -178,3 +178,41 @@ def zips(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("doc_id")
     data = packed(F.concat(F.lit("f"), key), F.col("text"), pick(ZIP_EXTRAS, key), key % 7 == 0)
     return source.from_table(d, "doc_id", F.concat(F.lit("doc_"), key, F.lit(".zip")), data)
+
+
+def pe_file(imports: dict[str, list[str | int]], exports: list[str], tail: bytes = b"", wide: bool = False, bound: bool = False, import_at: int | None = None) -> bytes:
+    """A PE file that no system would run: its header, sections, import and export tables, and `tail` in a section.
+
+    Functions are names or ordinals. `bound`: without the table of names. import_at: another address of the import table.
+    """
+    base, size = 0x3000, 8 if wide else 4
+    top = 1 << (8 * size - 1)
+    table = bytearray(20 * (len(imports) + 1))
+
+    def put(data: bytes) -> int:
+        table.extend(data)
+        return base + len(table) - len(data)
+
+    for i, (library, functions) in enumerate(imports.items()):
+        entries = [top | f if isinstance(f, int) else put(b"\0\0" + f.encode() + b"\0") for f in functions]
+        thunks = put(b"".join(e.to_bytes(size, "little") for e in [*entries, 0]))
+        struct.pack_into("<IIIII", table, 20 * i, 0 if bound else thunks, 0, 0, put(library.encode() + b"\0"), thunks)
+    base_out = 0x100000
+    out = bytearray(40)
+    named = []
+    for e in exports:
+        named.append(base_out + len(out))
+        out += e.encode() + b"\0"
+    struct.pack_into("<II", out, 24, len(named), 0)
+    struct.pack_into("<I", out, 32, base_out + len(out))
+    out += b"".join(struct.pack("<I", n) for n in named)
+    directories = struct.pack("<IIII", base_out if exports else 0, len(out), base if import_at is None else import_at, len(table)) + bytes(14 * 8)
+    optional = struct.pack("<H", 0x20B if wide else 0x10B) + bytes(110 if wide else 94) + directories
+    parts = [(b".text", 0x1000, tail), (b".idata", base, bytes(table)), (b".edata", base_out, bytes(out))]
+    head = b"MZ" + bytes(58) + struct.pack("<I", 0x80) + bytes(0x80 - 64) + b"PE\0\0" + struct.pack("<HHIIIHH", 0x8664 if wide else 0x14C, len(parts), 0, 0, 0, len(optional), 0x102) + optional
+    raw = len(head) + 40 * len(parts)
+    rows, bodies = b"", b""
+    for name, address, data in parts:
+        rows += name.ljust(8, b"\0") + struct.pack("<IIII", min(len(data), 0x2000) if name == b".text" else len(data), address, len(data) if name != b".text" else 0, raw + len(bodies)) + bytes(12) + struct.pack("<I", 0x40000000)
+        bodies += data
+    return head + rows + bodies
