@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filescope.functions.registry import ALERT_LEVELS, RISK_LABELS, RISK_ORDER
+from filescope.sources import shared
 
 
 def file_id(user: Column, sha256: Column, name: Column) -> Column:
@@ -102,7 +103,8 @@ def recent(files: DataFrame, n: int = 8) -> DataFrame:
 def duplicates(files: DataFrame) -> DataFrame:
     """Files whose content their user has had before, with the earlier one's id."""
     seen = files.groupBy("user_id", "sha256").agg(F.min(F.struct("created_at", "id")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    both = files.join(seen.select("user_id", "sha256", "_first"), ["user_id", "sha256"])
+    # Written, so that the join's sides are two exchanges: Spark can then split the tasks of a content that a user has very often.
+    both = files.join(shared.written(seen.select("user_id", "sha256", "_first")), ["user_id", "sha256"])
     return both.filter(F.struct("created_at", "id") != F.col("_first")).withColumn("duplicate_of", F.col("_first.id")).drop("_first").select(*files.columns, "duplicate_of")
 
 
@@ -130,6 +132,12 @@ def one(df: DataFrame, condition: Column, required: bool = True):
     return found[0] if found else None
 
 
+def only(df: DataFrame, condition: Column) -> DataFrame:
+    """The only row that meets a condition, or none, as a table; more than one: the query fails when it runs."""
+    found = df.filter(condition).limit(2).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
+    return found.filter(F.when(F.col("_n") > 1, F.raise_error(F.lit("several rows where one is wanted"))).otherwise(F.lit(True)).cast("boolean")).drop("_n")
+
+
 def banner(files: DataFrame, findings: DataFrame, n: int = 5) -> DataFrame:
     """The first high or critical findings by points of each file at level HIGH or CRITICAL."""
     own = of_files(findings, files.filter(F.col("risk_level").isin("HIGH", "CRITICAL"))).filter(F.col("severity").isin("high", "critical"))

@@ -382,13 +382,15 @@ def chat_prompt(spark, sf_dir):
 _DELETED = "deleted as (select id from f where cast(id as bigint) % 5 = 0)"
 
 
-@query(f"{_FINDINGS}, {_DELETED} select 'files' as t, count(*) as n from f where id not in (select id from deleted) union all select 'findings', count(*) from findings where file_id not in (select id from deleted) union all select 'messages', count(*) from conversations where cast(conv_id as varchar) not in (select id from deleted)")
+@query(f"{_FINDINGS}, {_DELETED} select 'files' as t, count(*) as n from f where id not in (select id from deleted) union all select 'findings', count(*) from findings where file_id not in (select id from deleted) union all select 'messages', count(*) from conversations where cast(conv_id as varchar) not in (select id from deleted) union all select 'analyses', count(*) from pages where page_id % 5 <> 0 or cast(page_id as varchar) not in (select id from f)")
 def cascade_delete(spark, sf_dir):
     f = X.catalogue(spark, sf_dir)
     dead = f.filter(F.col("id").cast("long") % 5 == 0)
     counted = lambda name, df: df.agg(F.lit(name).alias("t"), F.count(F.lit(1)).alias("n")).select("t", "n")
     parts = [counted("files", catalog.without(f, dead)), counted("findings", catalog.without(X.findings(spark, sf_dir), dead, "file_id")), counted("messages", catalog.without(X.messages(spark, sf_dir), dead, "file_id"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    analyses = X.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("file_id"))
+    parts.append(counted("analyses", catalog.without(analyses, dead, "file_id")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query(f"with {X.CATALOGUE_SQL} select cast(created_at as date) as day, risk_level, count(*) as n from f group by all")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import pandas as pd
@@ -113,9 +112,8 @@ def stream_trend(spark, sf_dir):
     files = spark.readStream.schema(X.table(spark, sf_dir, "pages").schema).parquet(f"{sf_dir}/page[s].parquet")
     blobs = X.source.from_table(files, "page_id", F.concat(F.lit("page_"), "page_id", F.lit(".html")), F.col("html"))
     counted = stream.trend(analyze.assess(blobs.withColumn("arrived", F.timestamp_seconds(F.col("blob_id") * 3600))))
-    name = f"trend_{uuid.uuid4().hex}"
-    counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.to_date("window.start").alias("day"), "risk_level", F.col("count").alias("n"))
+    found = stream.bounded(counted, "complete")
+    return found.select(F.to_date("window.start").alias("day"), "risk_level", F.col("count").alias("n"))
 
 
 @query("select cast(conv_id as varchar) as file_id, role, sha256(concat_ws(chr(31), cast(conv_id as varchar), role, cast(turn as varchar), text)) as id, text as content, turn as created_at from conversations where role in ('user', 'assistant')")
@@ -135,8 +133,7 @@ def latest_summaries(spark, sf_dir):
 
 @query(f"with {X.CATALOGUE_SQL} select id, detected_type, risk_level from f where id = '5'")
 def point_lookup(spark, sf_dir):
-    found = catalog.one(X.catalogue(spark, sf_dir).select("id", "detected_type", "risk_level"), F.col("id") == "5")
-    return spark.createDataFrame([found])
+    return catalog.only(X.catalogue(spark, sf_dir).select("id", "detected_type", "risk_level"), F.col("id") == "5")
 
 
 @query(

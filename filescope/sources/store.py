@@ -15,7 +15,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: The catalogue's tables, by the column that names the file a row belongs to.
 TABLES = {"files": "id", "findings": "file_id", "analyses": "file_id", "messages": "file_id"}
@@ -91,7 +91,8 @@ class Store:
         changes, schemas = [], dict(state["schemas"])
         for name, df in tables.items():
             rows = df.filter("id is not null").dropDuplicates(["id"])
-            if schemas.setdefault(name, df.schema.json()) != df.schema.json():
+            plain = StructType([StructField(f.name, f.dataType) for f in df.schema]).json()  # nulls are allowed everywhere
+            if schemas.setdefault(name, plain) != plain:
                 raise ValueError(f"{name} has other columns in the store")
             changes.append({"table": name, "folder": self._write(rows, self.tables[name])})
         return self._commit(state | {"changes": [*state["changes"], {"version": state["version"] + 1, "rows": changes}], "schemas": schemas})
