@@ -458,7 +458,7 @@ _PACKED = [("1F8B08", "GZIP Compressed Data"), ("425A68", "BZIP2 Compressed Data
 
 @query(
     f"""select doc_id as blob_id, {X.pick_sql([label for _, label in _PACKED], "doc_id")} as format, true as unsupported, printf('%.1f KB', floor((octet_length(encode(text)) + ([3, 3, 6, 6])[doc_id % 4 + 1]) / 1024.0 * 10 + 0.5) / 10) as size,
-      {X.pick_sql([label for _, label in _PACKED], "doc_id")} || ' cannot be decompressed safely in this environment, so its contents were not listed.' as note from documents"""
+      {X.pick_sql([label for _, label in _PACKED], "doc_id")} || ' is not opened here: its entries are not listed.' as note from documents"""
 )
 def opaque_archives(spark, sf_dir):
     d = X.table(spark, sf_dir, "documents")

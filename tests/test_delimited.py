@@ -15,7 +15,7 @@ def both(spark, contents):
     rows = [(i, c, (kind, "x", "data", None)) for i, (kind, c) in enumerate(contents)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     ours = {r["blob_id"]: r["extraction"] for r in delimited.extract(df).collect()}
-    plain = {i: extract.extract(c, extract.Found(kind, "x", "data")).row() for i, (kind, c) in enumerate(contents)}
+    plain = {i: extract.read(extract.delimited, c, extract.Found(kind, "x", "data")).row() for i, (kind, c) in enumerate(contents)}
     return ours, plain
 
 
