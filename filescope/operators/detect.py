@@ -228,7 +228,8 @@ def _expressions() -> dict[str, Column]:
         "zip": zip_scan(F.when(at("zip"), data)),
         "_probe": text_kind(own_text, json_kind("_text")),
         "_delimited": F.when(own_text.isNotNull() & F.col("_probe").isNull(), delimiter(own_text)),
-        "_key": key,
+        # Never null, for the planner too: a filter on the type would else test the key below, where it is built once more.
+        "_key": F.coalesce(key, F.lit("unknown")),
         "_varying": varying,
         "detection": detection,
     }
