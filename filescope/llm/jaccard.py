@@ -10,10 +10,12 @@ the square of its sets, so that tiles are keyed besides:
 
 1. By each of three least hashes of the set. A tile's sets gather around leaders, the tiles' leaders again, so that large
    groups of near copies take no pairs; links are verified exactly, and make first components.
-2. By each hash in the set's prefix: of all hashes in one order for all sets, the first fifth of a set's hashes and one
-   more. Sets that link share a hash there. Very frequent hashes come last in that order, so that what many texts say is
-   in few prefixes. Hashes all of whose sets are in one component need no tile. In a tile, each set meets the nearest one
-   of each other component first; once those links are verified, all pairs that are left between components.
+2. By each hash in the set's prefix, its first three tenths in the order of hashes. Of the set whose prefix ends first, a
+   fifth at most is not in the other: the rest of that prefix, over a tenth of its size, is in both prefixes. Hashes all of
+   whose sets are in one component count for nothing then; a set with no more others than that tenth of the least size
+   that may link with it has no link left to find, and one that has more may leave out half of it, those that most sets
+   have. Keys with the same sets make one tile. In a tile, each set first proposes the nearest one of other components;
+   once those links are verified, all pairs that are left between components.
 
 Nothing is left out: the first step only spares the second work.
 """
@@ -24,19 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filescope.llm.common import column, materialize, rows, text_and_id, tidy, tune, word_table
+from filescope.llm.common import column, discard, materialize, rows, text_and_id, tidy, tune
 from filescope.llm.components import components
 
 SHINGLE = 5
 #: Overlaps of LINK of the union's elements (in hundredths) link; a ninth of both sizes is what such sets differ in.
 LINK = 80
-#: Shingles that occur FREQUENT times, as far as tasks have seen them SEEN times in CHUNK, come last in the order of
-#: prefixes: the RANKED most frequent of them, which are sent to all tasks. Which these are changes no result.
-FREQUENT, SEEN, CHUNK, RANKED = 64, 4, 1 << 21, 131_072
 #: Sets in a tile; larger ones are split.
 TILE = 4096
 #: Bits of the filter that spares to build arrays of sets that no candidate has.
@@ -45,6 +45,15 @@ FILTER_BITS = 1 << 24
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _LEAST = np.array([0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _SHORT = np.uint64(0x1D8E4E27C47D124F)
+#: The base of word hashes, its inverse modulo 2^64, and a random number for each byte.
+_BASE = 0x9FB21C651E98DF25
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_BYTES = np.random.default_rng(12).integers(0, 1 << 64, 256, np.uint64)
+_BYTES[65:91] = _BYTES[97:123]  # A-Z as a-z
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+#: Words that are hashed at once.
+WORDS_AT_ONCE = 1 << 17
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -53,12 +62,43 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each lower-cased word of a text column, flat, and each text's offsets into them (nulls: no words)."""
+    plain = pc.fill_null(texts.cast(pa.large_string()), "")
+    if not len(plain):
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    edge = np.frombuffer(plain.buffers()[1], np.int64)[plain.offset : plain.offset + len(plain) + 1]
+    data = np.frombuffer(plain.buffers()[2] or b"", np.uint8)[edge[0] : edge[-1]]
+    edge = edge - edge[0]
+    inside = ~_SPACE[data]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    within = edge[(edge > 0) & (edge < len(data))]
+    begins[within] = inside[within]
+    ends[within - 1] = inside[within - 1]
+    begin, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    out = np.empty(len(begin), np.uint64)
+    for a in range(0, len(begin), WORDS_AT_ONCE):
+        first, last = begin[a : a + WORDS_AT_ONCE], end[a : a + WORDS_AT_ONCE]
+        zero, n = int(first[0]), int(last[-1] - first[0])
+        total = np.zeros(n + 1, np.uint64)
+        np.add.accumulate(_BYTES[data[zero : zero + n]] * _powers(_BASE, n), out=total[1:])
+        # Sums from a word's begin on, with the power of the base that stands at its begin taken out.
+        own = (total[last - zero] - total[first - zero]) * _powers(_INVERSE, n)[first - zero]
+        out[a : a + WORDS_AT_ONCE] = own + (last - first).astype(np.uint64) * _SHORT
+    return _mixed(out), np.searchsorted(begin, edge)
+
+
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """Each text's set: sorted 64-bit hashes of its distinct shingles; the whole sequence where it has fewer words."""
-    words, at = word_table(texts)
-    coded = words.dictionary_encode()
-    own = np.array([xxhash.xxh3_64_intdigest(w.as_buffer()) for w in coded.dictionary], np.uint64)
-    w = own[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64)
+    w, at = word_hashes(texts)
     whole = np.zeros(max(0, len(w) - SHINGLE + 1), np.uint64)
     for j in range(SHINGLE):
         whole += w[j : j + len(whole)] * _STEPS[j]
@@ -78,15 +118,13 @@ def node_of(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
 
 
-def prefix(found: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The hashes of which a set that links has one: the first in order, `common` (sorted hashes, ranks) ones last."""
-    n = len(found) // 5 + 1
-    if not len(common[0]):
-        return found[:n]
-    place = np.searchsorted(common[0], found).clip(max=len(common[0]) - 1)
-    late = common[0][place] == found
-    rare = found[~late]
-    return rare[:n] if len(rare) >= n else np.concatenate([rare, found[late][np.argsort(common[1][place[late]], kind="stable")]])[:n]
+def prefix(found: np.ndarray) -> np.ndarray:
+    """The first hashes: a fifth, which a set that links may miss, a tenth, and one more."""
+    return found[: len(found) // 5 + len(found) // 10 + 1]
+
+
+#: Sets that link share more keys than this: a tenth, as in prefix(), of the least size that links with n.
+SPARE = "(4 * n + 4) div 5 div 10"
 
 
 def bitmap(found: np.ndarray) -> bytes:
@@ -101,59 +139,23 @@ def fold(bits: np.ndarray) -> np.ndarray:
     return bits[..., :half] ^ bits[..., half:]
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, n, node of each document (node null where n is 0); and rows with shingle, seen for what tasks see often."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("shingle", pa.int64()), ("seen", pa.int64())])
-
-    def often(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        value, count = np.unique(np.concatenate(held), return_counts=True)
-        value, count = value[count >= SEEN].view(np.int64), count[count >= SEEN]
-        if len(value):
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(value), pa.int64()) for _ in range(3)), pa.array(value), pa.array(count)], schema=schema)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            sets = shingle_sets(column(batch, "text"))
-            n = [len(s) for s in sets]
-            if not n:
-                continue
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(n, pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), *(pa.nulls(len(n), pa.int64()) for _ in range(2))], schema=schema)
-            held, size = held + sets, size + sum(n)
-            if size >= CHUNK:
-                yield from often(held)
-                held, size = [], 0
-        if size:
-            yield from often(held)
-
-    return docs.mapInArrow(tidy(scan), "doc_id long, n long, node long, shingle long, seen long")
-
-
-def frequent(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, sorted, with their ranks: at most RANKED."""
-    top = scan.filter("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= FREQUENT)
-    found = top.orderBy(F.desc("seen"), "shingle").limit(RANKED).toArrow()
-    value, seen = (found.column(c).to_numpy() for c in ("shingle", "seen"))
-    order = np.argsort(value.view(np.uint64))
-    return value.view(np.uint64)[order], seen[order]
-
-
-def signed_sets(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """node, n, bits, least, keys: each distinct set with its bitmap, three least hashes and its prefix."""
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("least", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
-    sent = docs.sparkSession.sparkContext.broadcast(common)
+def signed(docs: DataFrame) -> DataFrame:
+    """doc_id, n, node, bits, least, keys: each document's set with its bitmap, three least hashes and its prefix."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bits", pa.binary()), ("least", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 
     def each(batch: pa.RecordBatch) -> dict:
-        sets = [s for s in shingle_sets(column(batch, "text")) if len(s)]
+        sets = shingle_sets(column(batch, "text"))
+        whole = lambda f: [f(s) if len(s) else None for s in sets]
         return {
-            "node": [node_of(s) for s in sets],
+            "doc_id": column(batch, "doc_id"),
             "n": [len(s) for s in sets],
-            "bits": [bitmap(s) for s in sets],
-            "least": [(s[:, None] * _LEAST).min(0).view(np.int64) for s in sets],
-            "keys": [prefix(s, sent.value).view(np.int64) for s in sets],
+            "node": whole(node_of),
+            "bits": whole(bitmap),
+            "least": whole(lambda s: (s[:, None] * _LEAST).min(0).view(np.int64)),
+            "keys": whole(lambda s: prefix(s).view(np.int64)),
         }
 
-    return docs.mapInArrow(lambda it: rows(it, schema, each), "node long, n long, bits binary, least array<long>, keys array<long>").dropDuplicates(["node"])
+    return docs.mapInArrow(lambda it: rows(it, schema, each), "doc_id long, n long, node long, bits binary, least array<long>, keys array<long>")
 
 
 class Tile:
@@ -208,22 +210,33 @@ def gathered(tile: Tile) -> tuple[list[tuple[int, int]], np.ndarray]:
     return out, tile.order[lead]
 
 
-def between(tile: Tile, comps: np.ndarray, nearest: bool) -> list[tuple[int, int]]:
-    """Candidates of different components; with `nearest`, of each set and component only the one that differs least.
+def fit(a: bytes, b: bytes, total: int) -> bool:
+    """Whether two bitmaps allow their sets, of `total` hashes together, to link."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < len(b):
+        half = len(b) // 2
+        x = int.from_bytes(b[:half]) ^ int.from_bytes(b[half:]) ^ int.from_bytes(a)
+    else:
+        x = int.from_bytes(a) ^ int.from_bytes(b)
+    return 9 * x.bit_count() <= total
+
+
+def between(tile: Tile, comps: np.ndarray, guests: np.ndarray, nearest: bool) -> list[tuple[int, int]]:
+    """Candidates of different components, not both guests; with `nearest`, of each set only the one that differs least.
 
     The largest component's sets are only met by the others.
     """
-    comp = comps[tile.order]
+    comp, guest = comps[tile.order], guests[tile.order]
     value, count = np.unique(comp, return_counts=True)
     most = comp == value[count.argmax()]
     free, out = np.ones(len(comp), bool), []
     for i in np.flatnonzero(~most).tolist():
         free[i] = False  # met all that it may meet
-        at, differ = tile.near(i, free & (comp != comp[i]), smaller=True)
+        other = free & (comp != comp[i])
+        at, differ = tile.near(i, other & ~guest if guest[i] else other, smaller=True)
         if nearest and len(at) > 1:
-            order = np.lexsort((differ, comp[at]))
-            at = at[order]
-            at = at[np.concatenate([[True], comp[at][1:] != comp[at][:-1]])]
+            at = at[differ.argmin() :][:1]
         out += [(int(tile.node[i]), x) for x in tile.node[at].tolist()]
     return out
 
@@ -236,9 +249,13 @@ def _tiles(members: DataFrame, keys: list[str], size: int, pairs: bool, shift=0)
     chunks is a list, so that any two members whose sizes fit are together in one. Else chunks are lists of their own.
     """
     band = F.floor(F.log("n") / F.log(F.lit(1.25)) + shift).cast("int")
-    banded = members.withColumn("band", F.explode(F.array(band, band - 1)) if pairs else band)
+    if pairs:
+        banded = members.withColumn("x", F.explode(F.array(F.struct(band.alias("band"), F.lit(False).alias("guest")), F.struct((band - 1).alias("band"), F.lit(True).alias("guest")))))
+        banded = banded.select("*", "x.band", "x.guest").drop("x")
+    else:
+        banded = members.withColumns({"band": band, "guest": F.lit(False)})
     # Written, so that the join's sides are two exchanges: Spark can then split the tasks of a key with very many sets.
-    count = materialize(banded.groupBy(*keys, "band").agg(F.count(F.lit(1)).alias("in_tile")).filter("in_tile > 1"))
+    count = materialize(banded.groupBy(*keys, "band").agg(F.count(F.lit(1)).alias("in_tile"), F.bool_and("guest").alias("all")).filter("in_tile > 1 and not all").drop("all"))
     met = banded.join(count, [*keys, "band"])
     chunks = F.ceil(F.col("in_tile") / size)
     met = met.withColumn("c", F.pmod(F.xxhash64("node"), chunks).cast("int"))
@@ -247,18 +264,18 @@ def _tiles(members: DataFrame, keys: list[str], size: int, pairs: bool, shift=0)
         met = met.withColumns({"c": F.least("c", "d"), "d": F.greatest("c", "d")})
     else:
         met = met.withColumn("d", F.lit(0))
-    return met.groupBy(*keys, "band", "c", "d").agg(F.first(chunks > 1).alias("split"), F.collect_list(F.struct("node", "n", "comp", "bits")).alias("sets")).select(*keys, "split", "sets")
+    return met.groupBy(*keys, "band", "c", "d").agg(F.first(chunks > 1).alias("split"), F.collect_list(F.struct("node", "n", "comp", "guest", "bits")).alias("sets")).select(*keys, "split", "sets")
 
 
 def _opened(batch: pa.RecordBatch):
-    """(row, tile, comps) of each list of a batch with two sets at least."""
+    """(row, place, nodes, sizes, components, guests, bitmaps) of each list of a batch with two sets at least."""
     sets = column(batch, "sets")
     flat, at = sets.flatten(), sets.offsets.to_numpy() - sets.offsets[0].as_py()
     node, n, comp = (flat.field(c).to_numpy() for c in ("node", "n", "comp"))
-    bits = flat.field("bits")
+    guest, bits = flat.field("guest").to_numpy(zero_copy_only=False), flat.field("bits")
     for row, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
         if b - a > 1:
-            yield row, a, Tile(node[a:b], n[a:b], bits.slice(a, b - a).to_pylist()), comp[a:b]
+            yield row, a, node[a:b], n[a:b], comp[a:b], guest[a:b], bits.slice(a, b - a).to_pylist()
 
 
 def _pairs(found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
@@ -280,8 +297,8 @@ def around_leaders(sets: DataFrame, tile: int = TILE) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, which, key, split = column(batch, "sets").flatten(), *(column(batch, c).to_pylist() for c in ("which", "key", "split"))
-            for row, a, t, _ in _opened(batch):
-                found, leaders = gathered(t)
+            for row, a, node, n, _, _, bits in _opened(batch):
+                found, leaders = gathered(Tile(node, n, bits))
                 if found:
                     yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in zip(*found, strict=True)), *(pa.nulls(len(found), f.type) for f in list(schema)[2:])], schema=schema)
                 if split[row]:
@@ -307,8 +324,13 @@ def across(members: DataFrame, nearest: bool, tile: int = TILE) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, t, comps in _opened(batch):
-                yield from _pairs(between(t, comps, nearest))
+            out = []
+            for _, _, node, n, comp, guest, bits in _opened(batch):
+                if len(node) > 2:
+                    out += between(Tile(node, n, bits), comp, guest, nearest)
+                elif comp[0] != comp[1] and not guest.all() and 4 * n.max() <= 5 * n.min() and fit(*bits, int(n.sum())):
+                    out.append((int(node[0]), int(node[1])))
+            yield from _pairs(out)
 
     return _tiles(members, ["key"], tile, True).mapInArrow(tidy(meet), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -323,27 +345,31 @@ def _filter(nodes: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def verified(docs: DataFrame, candidates: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """Those of the candidates (a, b) whose sets, built again from the texts, meet the threshold. `candidates` is read thrice.
+def arrays(docs: DataFrame, nodes: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame | None:
+    """node, hashes: the whole sets of `nodes` (node), built again from the texts; None if there are no nodes.
 
-    The filter only spares work: sets that pass by chance meet no candidate.
+    A filter of bounded size spares to hand on most others; what passes it by chance meets no candidate.
     """
-    nodes = candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node")))
     seen = _filter(nodes, filter_bits)
     if not seen.any():
-        return candidates.limit(0)
+        return None
     sent = docs.sparkSession.sparkContext.broadcast(seen)
     schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
 
     def build(batch: pa.RecordBatch) -> dict:
         sets = [(node_of(s), s) for s in shingle_sets(column(batch, "text")) if len(s)]
-        spot = [(x & (filter_bits - 1)) for x, _ in sets]
-        wanted = [x for x, i in zip(sets, spot, strict=True) if int(sent.value[i >> 6]) >> (i & 63) & 1]
+        wanted = [(x, s) for x, s in sets if int(sent.value[(x & (filter_bits - 1)) >> 6]) >> (x & 63) & 1]
         return {"node": [x for x, _ in wanted], "hashes": [s.tobytes() for _, s in wanted]}
 
-    arrays = materialize(docs.mapInArrow(lambda it: rows(it, schema, build), "node long, hashes binary").dropDuplicates(["node"]))
-    one = candidates.join(arrays.withColumnsRenamed({"node": "a", "hashes": "ha"}), "a")
-    both = one.join(arrays.withColumnsRenamed({"node": "b", "hashes": "hb"}), "b").select("a", "b", "ha", "hb")
+    return materialize(docs.mapInArrow(lambda it: rows(it, schema, build), "node long, hashes binary").dropDuplicates(["node"]))
+
+
+def verified(candidates: DataFrame, sets: DataFrame | None) -> DataFrame:
+    """Those of the candidates (a, b) whose sets, as `sets` (node, hashes) has them, meet the threshold."""
+    if sets is None:
+        return candidates.limit(0)
+    one = candidates.join(sets.withColumnsRenamed({"node": "a", "hashes": "ha"}), "a")
+    both = one.join(sets.withColumnsRenamed({"node": "b", "hashes": "hb"}), "b").select("a", "b", "ha", "hb")
     link_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def meet(batch: pa.RecordBatch) -> dict:
@@ -357,27 +383,52 @@ def verified(docs: DataFrame, candidates: DataFrame, filter_bits: int = FILTER_B
     return both.mapInArrow(lambda it: rows(it, link_schema, meet), "a long, b long")
 
 
+def open_members(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, node, n, bits, comp of the sets that may link with one of another component, by the keys they must meet under.
+
+    A key is open if its sets are of several components. A set without more than SPARE open keys has no link left; one
+    that has may leave out half of SPARE of them, as any two sets that link still share one then.
+    """
+    rooted = materialize(sets.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root", "least"))
+    discard(sets)
+    keyed = rooted.select("node", "n", "comp", F.explode("keys").alias("key"))
+    count = materialize(keyed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("k")).filter("least < most").select("key", "k"))
+    own = keyed.join(count, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("k", "key"))).alias("keys"))
+    kept = own.withColumn("spare", F.expr(SPARE).cast("int")).filter("size(keys) > spare").select("node", F.explode(F.expr("slice(keys, 1, size(keys) - spare div 2)")).alias("x"))
+    kept = materialize(kept.select("node", "x.key"))
+    # Keys that have the same sets, by two hashes of them and their number, are one: tiles of both would tell the same.
+    same = kept.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("k > 1")
+    first = materialize(same.groupBy("k", "x", "y").agg(F.min("key").alias("key")).select("key"))
+    return materialize(kept.join(first, "key").join(rooted.select("node", "n", "bits", "comp"), "node"))
+
+
+def _of_components(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes as links between their components, whose names are those of `roots` (node, root)."""
+    own = lambda end: roots.withColumnsRenamed({"node": end, "root": f"root_{end}"})
+    both = links.join(own("a"), "a", "left").join(own("b"), "b", "left")
+    return both.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+
+
 def linked(docs: DataFrame, sets: DataFrame, tile: int = TILE) -> DataFrame:
-    """(node, root) of the distinct sets that link with another: root is the least node that links reach."""
-    links = materialize(verified(docs, materialize(around_leaders(sets, tile))))
-    roots = components(links)
-    rooted = sets.join(roots, "node", "left").select("node", "n", "bits", "keys", F.coalesce("root", "node").alias("comp"))
-    rooted = materialize(rooted)
-    keyed = rooted.select("node", "comp", F.explode("keys").alias("key"))
-    open_keys = materialize(keyed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("key"))
-    met = keyed.join(open_keys, "key").select("key", "node")
-    members = materialize(met.join(rooted.select("node", "n", "bits", "comp"), "node"))
-    for nearest in (True, False):
-        found = materialize(across(members, nearest, tile))
-        more = materialize(verified(docs, found))
-        if not more.limit(1).count() and (not nearest or not found.limit(1).count()):
-            break
-        links = materialize(links.unionByName(more))
-        roots = components(links)
-        if nearest:
-            fresh = roots.withColumnsRenamed({"root": "new"})
-            members = materialize(members.join(fresh, "node", "left").withColumn("comp", F.coalesce("new", "node")).drop("new"))
-    return roots
+    """(node, root) of the distinct sets that link with another: root is the name of the component that links make.
+
+    `sets` is discarded.
+    """
+    near = materialize(around_leaders(sets, tile))
+    ends = lambda pairs: pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    roots = components(materialize(verified(near, arrays(docs, ends(near)))))
+    members = open_members(sets, roots)
+    whole = arrays(docs, members.select("node"))
+    first = materialize(verified(materialize(across(members, True, tile)), whole))
+    # What is linked by now need not be one component for the next step; it only spares pairs that are known to be linked.
+    merged = _of_components(first, roots).select(F.greatest("a", "b").alias("comp"), F.least("a", "b").alias("new")).groupBy("comp").agg(F.min("new").alias("new"))
+    members = materialize(members.join(materialize(merged), "comp", "left").withColumn("comp", F.coalesce("new", "comp")).drop("new"))
+    rest = materialize(verified(materialize(across(members, False, tile)), whole))
+    joined = components(materialize(_of_components(first.unionByName(rest), roots))).withColumnsRenamed({"node": "_of", "root": "_to"})
+    both = roots.select("node", "root").unionByName(ends(first.unionByName(rest)).distinct().join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
+    # A component's own name may lead to another one's, too.
+    both = both.unionByName(joined.select(F.col("_of").alias("node"), F.col("_of").alias("root")).join(both.select("node"), "node", "left_anti"))
+    return both.join(joined, both["root"] == joined["_of"], "left").select("node", F.coalesce("_to", "root").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
@@ -390,9 +441,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     tune(docs.sparkSession)
     own = text_and_id(docs, id_col, text_col)
-    scan = materialize(scanned(own))
-    found = scan.filter("shingle is null").select("doc_id", "n", "node")
-    sets = materialize(signed_sets(own.select("text"), frequent(scan)))
+    every = materialize(signed(own))
+    found = materialize(every.select("doc_id", "n", "node"))
+    sets = materialize(every.filter("n > 0").drop("doc_id").dropDuplicates(["node"]))
+    discard(every)
     roots = linked(own.select("text"), sets, tile)
     least = materialize(found.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")))
     rooted = least.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))

@@ -74,9 +74,7 @@ def test_join_against_brute_force(spark):
     assert len(want) * 0.3 < linked < len(want) * 0.8
 
 
-def test_split_tiles_and_frequent_shingles(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "FREQUENT", 3)
-    monkeypatch.setattr(jaccard, "SEEN", 2)
+def test_split_tiles(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "_LEAST", jaccard._LEAST[:1])  # the prefixes must find what one least hash does not
     data = corpus(1)
     assert run(spark, data, tile=3) == brute(data)
@@ -106,7 +104,7 @@ def test_bitmaps_bound_the_overlap():
         both = len(np.intersect1d(x, y))
         assert (differ <= len(x) + len(y) - 2 * both).all()
         if 100 * both >= 80 * (len(x) + len(y) - both):
-            assert len(at) == 1
+            assert len(at) == 1 and jaccard.fit(jaccard.bitmap(x), jaccard.bitmap(y), len(x) + len(y))
             assert len(t.near(1, np.array([True, False]), smaller=True)[0]) == 1
 
 
@@ -115,3 +113,40 @@ def test_sets_by_definition():
     sets = jaccard.shingle_sets(pa.array(texts))
     assert [len(s) for s in sets] == [len(brute_set(t)) for t in texts] and (sets[0] == sets[1]).all()
     assert len({s.tobytes() for s in sets[2:6]}) == 4
+
+
+def test_word_hashes(monkeypatch):
+    rng = random.Random(1)
+    texts = ["", None, "a", " a", "a b", "b a", "\x0b", "é", "ab", "ba", "", "A\tb\nC"] + ["".join(rng.choice("aAbB é\n\x1f") for _ in range(rng.randrange(40))) for _ in range(300)]
+    for size in (1 << 17, 3):
+        monkeypatch.setattr(jaccard, "WORDS_AT_ONCE", size)
+        for cut in (0, 5):
+            some = texts[cut:]
+            w, at = jaccard.word_hashes(pa.array(texts).slice(cut))
+            words = [re.findall(rb"[^\x20\x09-\x0D]+", bytes(b + 32 if 65 <= b <= 90 else b for b in (t or "").encode())) for t in some]
+            assert np.diff(at).tolist() == [len(x) for x in words]
+            flat = [x for y in words for x in y]
+            assert len(set(zip(flat, w.tolist(), strict=True))) == len(set(flat)) == len(set(w.tolist()))
+
+
+def test_linked_sets_share_more_prefix_keys_than_are_spared():
+    rng = np.random.default_rng(3)
+    spare = lambda n: (4 * n + 4) // 5 // 10
+    assert jaccard.SPARE == "(4 * n + 4) div 5 div 10"
+    least = []
+    for _ in range(2000):
+        n = int(rng.integers(1, 300))
+        both = rng.integers(0, 1 << 63, n)
+        low = int(rng.integers(0, 2)) * (1 << 62)  # what only one set has may come first in the order
+        extra = rng.integers(0, (1 << 63) - low, n * 100 // 80 - n)
+        part = int(rng.integers(0, len(extra) + 1))
+        x, y = (np.unique(np.concatenate([both, e]).astype(np.uint64)) for e in (extra[:part], extra[part:]))
+        assert 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))
+        shared = len(np.intersect1d(jaccard.prefix(x), jaccard.prefix(y)))
+        least.append(shared - max(spare(len(x)), spare(len(y))))
+    assert min(least) >= 1
+    for n in (10, 50, 99, 100, 101, 250):  # the worst case: all that only one set has comes first
+        both = np.arange(1000, 1000 + n, dtype=np.uint64)
+        x = np.concatenate([np.arange(n * 100 // 80 - n, dtype=np.uint64), both])
+        shared = len(np.intersect1d(jaccard.prefix(x), jaccard.prefix(both)))
+        assert shared > max(spare(len(x)), spare(n))
