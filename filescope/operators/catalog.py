@@ -44,6 +44,21 @@ def analyses_table(reports: DataFrame, user: Column, created_at: Column) -> Data
     return reports.select(F.sha2(F.concat_ws("\x1f", fid, F.lit("analysis")), 256).alias("id"), fid.alias("file_id"), extracted.alias("extracted_content"), known.alias("metadata"), created_at.alias("created_at"))
 
 
+def as_variants(analyses: DataFrame) -> DataFrame:
+    """Analyses whose two structs are VARIANT columns: JSON of any shape, stored in binary and read by path."""
+    return analyses.withColumns({c: F.parse_json(F.to_json(c)) for c in ("extracted_content", "metadata")})
+
+
+def by_path(df: DataFrame, column: str, paths: dict[str, tuple[str, str]], *keys: str) -> DataFrame:
+    """keys, and a column for each path (name: path, type) of a VARIANT column; null where a row has no such path or type."""
+    return df.select(*keys, *(F.try_variant_get(column, path, kind).alias(name) for name, (path, kind) in paths.items()))
+
+
+def shapes(df: DataFrame, column: str, *keys: str) -> DataFrame:
+    """keys, n, shape: the one schema that all values of a VARIANT column fit, by partial aggregation."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.schema_of_variant_agg(column).alias("shape"))
+
+
 def messages_table(said: DataFrame, role: str, content: Column, created_at: Column) -> DataFrame:
     """Rows of messages about files (file_id): `user` for questions, `assistant` for answers."""
     stamp = F.concat_ws("\x1f", "file_id", F.lit(role), created_at.cast("string"), content)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from filescope.operators import analyze, catalog
+from filescope.plans import engine
 from filescope.plans import fixtures as X
 from filescope.plans.catalogue import ORACLE, query
 from filescope.sources import shared, store
@@ -60,6 +62,31 @@ def mutable_compacted(spark, sf_dir):
     return out.groupBy("t").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n").cast("decimal(38,0)").alias("n"))
 
 
+# --- JSON columns ---------------------------------------------------
+
+_PATHS = {"title": ("$.metadata.Title", "string"), "lines": ("$.stats.Lines", "string"), "evidence": ("$.evidence[0]", "string"), "header_hex": ("$.headerHex", "string"), "absent": ("$.stats.Pages", "int")}
+
+
+@query("with a as (" + ORACLE["analyses_from_analysis"] + ") select file_id, title, lines, evidence, header_hex, cast(null as integer) as absent from a")
+def analyses_by_path(spark, sf_dir):
+    """Analyses of all pages, written with VARIANT columns, read again and queried by path."""
+    reports = analyze.analyze(X.pages(spark, sf_dir))
+    kept = shared.written(catalog.as_variants(catalog.analyses_table(reports, *engine._stored(reports))))
+    return catalog.by_path(kept, "metadata", _PATHS, "file_id")
+
+
+@query(
+    """select event_id % 4 as part, count(*) as n, case event_id % 4 when 0 then 'OBJECT<k: BIGINT>' when 1 then 'OBJECT<k: BIGINT, s: ARRAY<STRING>>' when 2 then 'OBJECT<k: BIGINT, o: OBJECT<x: BOOLEAN>>' else 'OBJECT<k: BIGINT, s: STRING>' end as shape
+      from events group by 1, 3"""
+)
+def json_shapes(spark, sf_dir):
+    """The schema that the properties of events have in common, after fields were put into some of them."""
+    e = X.table(spark, sf_dir, "events")
+    more = F.when(F.col("event_id") % 4 == 1, ', "s": ["a", "b"]}').when(F.col("event_id") % 4 == 2, ', "o": {"x": true}}').when((F.col("event_id") % 4 == 3) & (F.col("event_id") % 8 == 3), ', "s": "t"}').otherwise("}")
+    text = F.concat(F.regexp_replace("props", r"\}\s*$", ""), more)
+    return catalog.shapes(e.select((F.col("event_id") % 4).alias("part"), F.parse_json(text).alias("v")), "v", "part")
+
+
 # --- streams --------------------------------------------------------
 
 
