@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from filescope.operators import analyze, catalog
+from filescope.operators import analyze, asking, catalog
 from filescope.plans import engine
 from filescope.plans import fixtures as X
 from filescope.plans.catalogue import ORACLE, query
@@ -87,6 +87,34 @@ def json_shapes(spark, sf_dir):
     return catalog.shapes(e.select((F.col("event_id") % 4).alias("part"), F.parse_json(text).alias("v")), "v", "part")
 
 
+# --- answers --------------------------------------------------------
+
+
+def _every_third_fails(system: str, prompt: str) -> str:
+    """A provider that fails on three kinds of prompts, by the number that they end in."""
+    match int(prompt.rpartition(" ")[2]) % 9:
+        case 2:
+            raise asking.Busy
+        case 5:
+            raise asking.OutOfCredit
+        case 8:
+            raise ValueError("it broke")
+    return prompt.upper()
+
+
+@query(
+    """select doc_id, case when k % 9 not in (2, 5, 8) then 'ABOUT ' || k end as first_answer, case k % 9 when 2 then 'busy' when 5 then 'no credit' when 8 then 'failed: it broke' end as error,
+      case when k % 9 in (2, 5, 8) then 'about ' || k else 'ABOUT ' || k end as then_answer from (select doc_id, doc_id // 2 as k from documents)"""
+)
+def kept_answers(spark, sf_dir):
+    """Two rows a prompt; a provider that fails every third, and another that is only asked what the first did not answer."""
+    d = X.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("about "), F.floor(F.col("doc_id") / 2).cast("string")).alias("prompt"))
+    first, kept = asking.answered(d, "s", _every_third_fails)
+    then, _ = asking.answered(d.withColumnRenamed("doc_id", "_doc"), "s", lambda system, prompt: prompt, kept)
+    both = first.join(then.select("_doc", F.col("answer").alias("then_answer")), F.col("doc_id") == F.col("_doc"))
+    return both.select("doc_id", F.col("answer").alias("first_answer"), "error", "then_answer")
+
+
 # --- streams --------------------------------------------------------
 
 
