@@ -402,6 +402,10 @@ def open_members(sets: DataFrame, roots: DataFrame) -> DataFrame:
     return materialize(kept.join(first, "key").join(rooted.select("node", "n", "bits", "comp"), "node"))
 
 
+#: Rounds in which sets propose their nearest ones, before all pairs between components are proposed.
+ROUNDS = 2
+
+
 def _of_components(links: DataFrame, roots: DataFrame) -> DataFrame:
     """Links (a, b) between nodes as links between their components, whose names are those of `roots` (node, root)."""
     own = lambda end: roots.withColumnsRenamed({"node": end, "root": f"root_{end}"})
@@ -414,18 +418,23 @@ def linked(docs: DataFrame, sets: DataFrame, tile: int = TILE) -> DataFrame:
 
     `sets` is discarded.
     """
+    spark = docs.sparkSession
     near = materialize(around_leaders(sets, tile))
     ends = lambda pairs: pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     roots = components(materialize(verified(near, arrays(docs, ends(near)))))
-    members = open_members(sets, roots)
+    members = open_members(sets, roots).withColumn("first", F.col("comp"))
     whole = arrays(docs, members.select("node"))
-    first = materialize(verified(materialize(across(members, True, tile)), whole))
-    # What is linked by now need not be one component for the next step; it only spares pairs that are known to be linked.
-    merged = _of_components(first, roots).select(F.greatest("a", "b").alias("comp"), F.least("a", "b").alias("new")).groupBy("comp").agg(F.min("new").alias("new"))
-    members = materialize(members.join(materialize(merged), "comp", "left").withColumn("comp", F.coalesce("new", "comp")).drop("new"))
-    rest = materialize(verified(materialize(across(members, False, tile)), whole))
-    joined = components(materialize(_of_components(first.unionByName(rest), roots))).withColumnsRenamed({"node": "_of", "root": "_to"})
-    both = roots.select("node", "root").unionByName(ends(first.unionByName(rest)).distinct().join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
+    # What the first step has linked is one end of links from here on, so that only these few are joined anew.
+    more, joined = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "_of long, _to long")
+    for nearest in (True,) * ROUNDS + (False,):
+        found = materialize(verified(materialize(across(members, nearest, tile)), whole))
+        if found.isEmpty():
+            continue
+        more = materialize(more.unionByName(found))
+        joined = components(materialize(_of_components(more, roots))).withColumnsRenamed({"node": "_of", "root": "_to"})
+        if nearest:
+            members = materialize(members.join(joined, members["first"] == joined["_of"], "left").withColumn("comp", F.coalesce("_to", "first")).drop("_of", "_to"))
+    both = roots.select("node", "root").unionByName(ends(more).distinct().join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
     # A component's own name may lead to another one's, too.
     both = both.unionByName(joined.select(F.col("_of").alias("node"), F.col("_of").alias("root")).join(both.select("node"), "node", "left_anti"))
     return both.join(joined, both["root"] == joined["_of"], "left").select("node", F.coalesce("_to", "root").alias("root"))
