@@ -14,7 +14,7 @@ from filescope.functions import content, textual
 from filescope.functions.names import trimmed
 from filescope.functions.registry import EXTRACT_BYTES
 from filescope.operators import profile
-from filescope.operators.extract import DELIMITED_LINES, PREVIEW_ROWS, STRUCT, TEXT_ROWS
+from filescope.operators.extract import DELIMITED_LINES, LINES_LEFT_OUT, PREVIEW_ROWS, STRUCT, TEXT_ROWS
 
 #: Stands between cells in the meantime: no character. In a file it is shown as the replacement character.
 _SEPARATOR = "﷐"
@@ -95,7 +95,7 @@ def extract(blobs: DataFrame) -> DataFrame:
     result = F.struct(
         text, cut, strings(Rows=rows.cast("string"), Columns=n.cast("string"), Delimiter=F.when(F.col("mark") == "\t", "tab").otherwise(F.col("mark"))), strings(Encoding=F.lit("UTF-8 (assumed)")),
         F.array(table("Column profile", F.array(*map(F.lit, ("Column", "Inferred type", "Missing values", "Statistics"))), F.transform("columns", profiled), F.lit(False)), table("Data preview", F.col("columns"), preview, rows > PREVIEW_ROWS)),
-        F.array(), F.when(F.size("lines") >= DELIMITED_LINES, F.array(F.lit("Only the first 5,000 rows were parsed."))).otherwise(F.array()), F.lit(False), F.lit(None),
+        F.array(), F.when(F.size("lines") >= DELIMITED_LINES, F.array(F.lit(LINES_LEFT_OUT))).otherwise(F.array()), F.lit(False), F.lit(None),
     )
     return both.select(*blobs.columns, result.cast(STRUCT).alias("extraction"))
 

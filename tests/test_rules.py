@@ -4,6 +4,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from filescope.functions import registry
 from filescope.functions.registry import SCRIPT_RULES
 from filescope.operators.analyze import assess
 from filescope.operators.rules import apply_rule
@@ -84,3 +85,20 @@ def test_pipelines_are_found_as_by_the_pattern(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", apply_rule(rule, F.col("t"), 120)["evidence"].alias("e"))
     want = [(m := re.search(rule.pattern, t)) and m[0][:120] for t in texts]
     assert [r["e"] for r in df.orderBy("i").collect()] == want
+
+
+def test_points_and_severities_as_they_are_specified():
+    """Written out, so that a number that is wrong in the registry is not right in a query's SQL as well."""
+    patterns = {
+        "R1": ("high", 25), "R2": ("high", 25), "R3": ("high", 25), "R4": ("high", 25),
+        "P1": ("high", 28), "P2": ("high", 22), "P3": ("medium", 14), "P4": ("critical", 34), "P5": ("medium", 16), "P6": ("medium", 12), "P7": ("low", 4), "P8": ("info", 0), "P9": ("low", 6),
+        "C1": ("high", 20), "C2": ("medium", 12), "C3": ("critical", 30), "C4": ("high", 22), "C5": ("critical", 30), "C6": ("low", 6), "C7": ("low", 5), "C8": ("medium", 12), "C9": ("medium", 10),
+    }
+    noted = {
+        "R5a": ("critical", 45), "R5b": ("medium", 18), "R6": ("low", 5), "R7a": ("high", 40), "R7b": ("medium", 20), "R8": ("medium", 14), "R9": ("medium", 15),
+        "Z1": ("high", 35), "Z2": ("critical", 40), "Z3": ("medium", 15), "Z4": ("medium", 20), "Z5": ("critical", 45), "Z6": ("critical", 45), "Z7": ("low", 6), "Z8": ("high", 30), "Z9": ("medium", 20),
+        "C10": ("medium", 14), "C11": ("medium", 12), "X1": ("high", 25), "Y1": ("high", 30), "E1": ("medium", 10), "none": ("info", 0),
+    }
+    assert {r.id: (r.severity, r.points) for r in (*registry.NAME_RULES, *registry.PDF_RULES, *registry.SCRIPT_RULES)} == patterns
+    assert {k: (f.severity, f.points) for k, f in registry.FINDINGS.items()} == noted
+    assert registry.RISK_LEVELS == [(80, "CRITICAL"), (60, "HIGH"), (35, "MEDIUM"), (12, "LOW"), (0, "SAFE")]
