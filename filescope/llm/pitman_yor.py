@@ -1,20 +1,25 @@
 """A hierarchical Pitman-Yor language model over words, and log probabilities of texts under it.
 
-The restaurant of a context has the words that follow it as dishes. A context is the word before where that is one of the
-corpus' most common words, of a bounded number (OWN); the other words before share the contexts of CLASSES classes (a hash of
-their last two bytes; class 0 is the start of a text). All context restaurants share one parent, the restaurant of all
-words, whose base is uniform over the vocabulary and one unknown word: a table in a context's restaurant is a customer of
-the parent.
+The restaurant of a context has the words that follow it as dishes. The context is the word before, whatever word that is,
+or the start of a text. All context restaurants share one parent, the restaurant of all words, whose base is uniform over
+the vocabulary and one unknown word: a table in a context's restaurant is a customer of the parent.
 
 Seating is sampled by blocked Gibbs sweeps: a sweep takes each dish's customers of each restaurant out and seats them
 anew, one at a time, by the Chinese-restaurant probabilities given all else. Given the restaurants' totals, dishes are
 independent, so each word's row is sampled where it lies and only totals (a few numbers a context) meet, once a round.
 After burn-in, each sweep is a sample, and a text's probability is by the samples' averaged predictive probabilities.
 Random numbers are hashes of the word, the context, the sweep and the customer, so that they do not depend on which rows
-a task has.
+a task has. A cell is a word after a context, with its count. The totals of contexts with most cells, of a
+bounded number, are sent to all tasks; those of all others meet their cells by a join. Cells are dealt by word; a word with
+more than MANY tokens is dealt over tasks, and its count in the parent then is as the round before left it, as the
+restaurants' totals are. Words and cells are told apart by 64 bits.
 
-To score, the words with most tokens, of a bounded number, are sent to all tasks; tokens of all other words meet their
-word's row by a join. Both give the same probabilities.
+To score, the cells with most tokens, of a bounded number, are sent to all tasks; tokens of all other cells meet theirs by a
+join. Both give the same probabilities.
+
+A smaller model (`own_contexts`) has a bounded number of contexts: the corpus' most common words, and CLASSES classes (a hash
+of the last two bytes; class 0 is the start of a text) that all other words before share. There words with most tokens are
+sent, and a probability is by each sample's tables, not by their mean.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 
 from filescope.llm.common import column, discard, materialize, text_and_id, text_tag, tidy, tune, word_table
 
-#: Words that are contexts of their own at most, and classes of the others; together no more than 1 << SHIFT.
+#: Of the smaller model: words that are contexts of their own, and classes of the others; together no more than 1 << SHIFT.
 OWN, CLASSES, SHIFT = 224, 32, 12
 #: As many contexts have numbers of SHIFT bits.
 MOST_OWN = (1 << SHIFT) - CLASSES
@@ -42,8 +47,12 @@ ROUNDS, BURN_IN, SAMPLES = 1, 2, 4
 CONCENTRATION = 1.0
 #: What bounds the broadcast: most words, of which length in bytes, with how many cells; words with a dense row each.
 HEAD, HEAD_BYTES, HEAD_CELLS, DENSE = 1 << 17, 48, 1 << 24, 8192
+#: Cells and contexts that are broadcast at most; a word with more tokens than MANY is dealt over tasks.
+HEAD_PAIRS, HEAD_CONTEXTS, MANY = 1 << 22, 1 << 21, 1 << 19
 #: Rows and cells that a task works on at once.
 GATHER = 1 << 16
+#: The context at the start of a text; no word has a space.
+START = " "
 SEED = 7
 _G, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -269,16 +278,28 @@ def sample(t: pa.Table, totals: dict, discounts: tuple[float, float], sweeps: in
     cells, row = _flat(t, "cells")
     ctx, count = cells & ((1 << SHIFT) - 1), (cells >> SHIFT).astype(np.float64)
     ids = word_ids(t.column("word").combine_chunks())
+    weight = (CONCENTRATION + discounts[0] * totals["tables"])[ctx]
+    return row, ctx, count, *sit(ids, row, count, weight, ctx.astype(np.uint64), totals, discounts, sweeps, keep, first)
+
+
+def sit(ids: np.ndarray, row: np.ndarray, count: np.ndarray, weight: np.ndarray, ctx: np.ndarray, totals: dict, discounts: tuple[float, float], sweeps: int, keep: int, first: int, fixed: tuple | None = None) -> tuple[np.ndarray, ...]:
+    """Tables of each cell, and each word's customers and tables in the parent, in the last `keep` sweeps.
+
+    A cell is of word `row`, in context `ctx` (numbers that tell contexts apart) whose new tables weigh `weight`. `fixed`
+    has the customers and tables in the parent of words (else nan) of which not all cells are here.
+    """
     d, d1 = discounts
     base = 1 / (totals["words"] + 1)
-    weight = (CONCENTRATION + d * totals["tables"])[ctx]
-    tables = np.ones(len(cells))
+    tables = np.ones(len(count))
+    known = np.isnan(fixed[0]) if fixed is not None else np.ones(len(ids), bool)
     root, root_tables = np.bincount(row, tables, len(ids)), np.ones(len(ids))
     open_ = np.flatnonzero(count > 1)
     own = row[open_]
-    keys = mixed(ids[own] ^ mixed(ctx[open_].astype(np.uint64) + np.uint64(SEED)))
+    keys = mixed(ids[own] ^ mixed(ctx[open_] + np.uint64(SEED)))
     out: list[list[np.ndarray]] = [[], [], []]
     for k in range(sweeps):
+        if fixed is not None:
+            root, root_tables = np.where(known, root, fixed[0]), np.where(known, root_tables, fixed[1])
         sweep = mixed(np.array([first + k + 1], np.uint64))
         parent = np.maximum(root[own] - tables[open_] - d1 * root_tables[own], 0) + (CONCENTRATION + d1 * totals["root_tables"]) * base
         tables = tables.copy()
@@ -288,7 +309,12 @@ def sample(t: pa.Table, totals: dict, discounts: tuple[float, float], sweeps: in
         if k >= sweeps - keep:
             for o, x in zip(out, (tables, root, root_tables), strict=True):
                 o.append(x)
-    return row, ctx, count, *(np.array(o).reshape(keep, -1) for o in out)
+    return tuple(np.array(o).reshape(keep, -1) for o in out)
+
+
+def ney(n1: int, n2: int) -> float:
+    """A discount by how many dishes have one customer and how many have two."""
+    return min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
 
 
 def train(docs: DataFrame, own: list[str], rounds: int = ROUNDS, burn_in: int = BURN_IN, samples: int = SAMPLES) -> tuple[DataFrame, dict, tuple[float, float]]:
@@ -310,7 +336,6 @@ def train(docs: DataFrame, own: list[str], rounds: int = ROUNDS, burn_in: int =
     size = F.size("cells")
     w = counted.agg(F.count(F.lit(1)).alias("v"), F.count_if(size == 1).alias("n1"), F.count_if(size == 2).alias("n2")).first()
     totals |= {"words": float(w["v"]), "root_customers": float(totals["tables"].sum()), "root_tables": float(w["v"])}
-    ney = lambda n1, n2: min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
     discounts = ney(sum(r["n1"] for r in by_ctx), sum(r["n2"] for r in by_ctx)), ney(w["n1"], w["n2"])
 
     def totalled(batches: Iterator[pa.RecordBatch], now: dict, k: int) -> Iterator[pa.RecordBatch]:
@@ -490,29 +515,433 @@ def score(docs: DataFrame, own: list[str], words: DataFrame, totals: dict, disco
         F.when(token, F.log10(F.coalesce("c", F.lit(0)) + 0.1) - float(norm)).otherwise(F.col("base")).alias("base"),
         F.when(token, F.log10(p)).otherwise(F.col("score")).alias("score"),
     )
-    sums = out.groupBy("doc_id", "tag").agg(*(F.sum(c).alias(c) for c in ("n_rows", "n_tokens", "known", "base", "score")))
+    return _each_text(out)
+
+
+def _each_text(parts: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score: sums of a text's parts; n_rows is how many rows have the text."""
+    sums = parts.groupBy("doc_id", "tag").agg(*(F.sum(c).alias(c) for c in ("n_rows", "n_tokens", "known", "base", "score")))
     # Rows that repeat have met: each gets its share.
     each = sums.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))))
     whole = [F.expr(f"{c} div n_rows").cast("long").alias(a) for c, a in (("n_tokens", "n_tokens"), ("known", "n_known"))]
     return each.select("doc_id", *whole, (F.col("base") / F.col("n_rows")).alias("base_score"), (F.col("score") / F.col("n_rows")).alias("score"))
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own_contexts: int = OWN, **options) -> DataFrame:
+def cell_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64-bit digests of cells by the digests of context and word."""
+    return mixed(mixed(u) ^ w).view(np.int64)
+
+
+def word_pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(contexts, words, each token's place among these two, each text's offsets), the first two digests of distinct cells."""
+    words, at = word_table(texts)
+    coded = words.dictionary_encode()
+    ids = np.concatenate([word_ids(coded.dictionary), word_ids(pa.array([END, START]))])
+    m, n = len(ids), len(at) - 1
+    offsets = at + np.arange(n + 1)
+    inner = np.ones(len(words) + n, bool)
+    inner[offsets[1:] - 1] = False
+    word = np.full(len(inner), m - 2, np.int64)
+    word[inner] = coded.indices.to_numpy()
+    code = np.full(len(word), m - 1, np.int64)
+    code[1:] = word[:-1]
+    code[offsets[:-1]] = m - 1
+    code, cell = np.unique(code * m + word, return_inverse=True)
+    return ids[code // m], ids[code % m], cell, offsets
+
+
+_ROWS = pa.schema([("w", pa.int64()), ("part", pa.int32()), ("cells", pa.binary())])
+_ROW_TYPES = "w long, part int, cells binary"
+
+
+def _packed(row: np.ndarray, n_rows: int, *values: np.ndarray) -> pa.Array:
+    """For each row, a binary value of its first values of 8 bytes, then its second ones, and so on; `row` ascends."""
+    size = np.bincount(row, minlength=n_rows)
+    start = np.cumsum(size) - size
+    place = np.arange(len(row)) + (len(values) - 1) * start[row]
+    out = np.empty(len(row) * len(values), np.int64)
+    for i, x in enumerate(values):
+        out[place + i * size[row]] = x.view(np.int64)
+    offsets = np.append(0, np.cumsum(size) * 8 * len(values)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), n_rows, [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def _unpacked(t: pa.Table, n_values: int) -> tuple[np.ndarray, ...]:
+    """The row of each cell, and its values."""
+    cells = t.column("cells").combine_chunks()
+    offsets = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1].astype(np.int64)
+    data = np.frombuffer(cells.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.int64) if offsets[-1] > offsets[0] else np.empty(0, np.int64)
+    size = np.diff(offsets) // (8 * n_values)
+    row, start = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+    place = np.arange(len(row)) + (n_values - 1) * start[row]
+    return row, *(data[place + i * size[row]] for i in range(n_values))
+
+
+def _as_rows(w: np.ndarray, part: np.ndarray, u: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of cells, those with the same w, part and u added up."""
+    by = np.lexsort((u, part, w) if part.any() else (u, w))
+    w, part, u, n = w[by], part[by], u[by], n[by]
+    row = np.append(True, (w[1:] != w[:-1]) | (part[1:] != part[:-1]))
+    start = np.flatnonzero(row | np.append(True, u[1:] != u[:-1]))
+    n, u, row = np.add.reduceat(n, start), u[start], np.cumsum(row)[start] - 1
+    first = start[np.append(True, row[1:] != row[:-1])]
+    batch = pa.RecordBatch.from_arrays([pa.array(w[first]), pa.array(part[first]), _packed(row, len(first), u, n)], schema=_ROWS)
+    for i in range(0, batch.num_rows, GATHER):
+        yield batch.slice(i, GATHER)
+
+
+def _cells(batches: Iterator[pa.RecordBatch], size: int = 1 << 18) -> Iterator[pa.Table]:
+    """Tables of rows with some `size` cells."""
+    held, n = [], 0
+    for batch in batches:
+        for i in range(0, batch.num_rows, 4096):
+            some = batch.slice(i, 4096)
+            held.append(some)
+            n += pc.sum(pc.binary_length(column(some, "cells"))).as_py() or 0
+            if n >= 16 * size:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def count_pairs(docs: DataFrame, many: int = MANY) -> DataFrame:
+    """w, part, cells: a row per distinct word of `docs` (text, held), with the contexts it follows and its count in each.
+
+    Counts are of texts that are not held; they may be 0. A word with more than `many` tokens in all texts has rows of some
+    `many` cells at most, whose part is above 0.
+    """
+
+    def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each word's tokens in the texts of a task."""
+        held, size = [], 0
+
+        def summed() -> pa.RecordBatch:
+            ids, of = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+            k = np.bincount(of, np.concatenate([x[1] for x in held])).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(k)], names=["w", "k"])
+
+        for batch in batches:
+            pairs = word_table(column(batch, "text"))[0].value_counts()
+            held.append((word_ids(pairs.field("values")), pairs.field("counts").to_numpy()))
+            held.append((word_ids(pa.array([END])), np.array([batch.num_rows])))
+            size += len(pairs)
+            if size > 2_000_000:
+                yield summed()
+                held, size = [], 0
+        if held:
+            yield summed()
+
+    sizes = docs.select("text").mapInArrow(tidy(occur), "w long, k long").groupBy("w").agg(F.sum("k").alias("n")).filter(F.col("n") > many).collect()
+    large = np.array(sorted(r["w"] for r in sizes), np.int64)
+    parts = np.array([-(-r["n"] // many) for r in sorted(sizes, key=lambda r: r["w"])], np.int64)
+
+    def as_dealt(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        w, u, n = map(np.concatenate, zip(*held, strict=True))
+        part, at = np.zeros(len(w), np.int32), np.flatnonzero(np.isin(w, large))
+        part[at] = 1 + (mixed(u[at].view(np.uint64)) % parts[np.searchsorted(large, w[at])].astype(np.uint64)).astype(np.int32)
+        yield from _as_rows(w, part, u, n)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            u, w, cell, at = word_pairs(column(batch, "text"))
+            learned = np.repeat(~column(batch, "held").to_numpy(zero_copy_only=False), np.diff(at))
+            held.append((w.view(np.int64), u.view(np.int64), np.bincount(cell[learned], minlength=len(u))))
+            size += len(u)
+            if size > 2_000_000:
+                yield from as_dealt(held)
+                held, size = [], 0
+        if held:
+            yield from as_dealt(held)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by word and part: all but the last are complete."""
+        rest: list[tuple] = []
+        for t in _cells(batches):
+            row, u, n = _unpacked(t, 2)
+            w, part = t.column("w").to_numpy(), t.column("part").to_numpy()
+            rest.append((w[row], part[row], u, n))
+            all_ = [np.concatenate(x) for x in zip(*rest, strict=True)]
+            done = (all_[0] != w[-1]) | (all_[1] != part[-1])
+            if done.any():
+                yield from _as_rows(*(x[done] for x in all_))
+            rest = [tuple(x[~done] for x in all_)]
+        if rest and len(rest[0][0]):
+            yield from _as_rows(*rest[0])
+
+    dealt = docs.select("text", "held").mapInArrow(tidy(count), _ROW_TYPES).repartition("w", "part")
+    return materialize(dealt.sortWithinPartitions("w", "part").mapInArrow(tidy(merge), _ROW_TYPES))
+
+
+class Contexts:
+    """Customers and tables of the contexts with most cells, of a bounded number, as a task has them."""
+
+    def __init__(self, frame: DataFrame, most: int) -> None:
+        """frame: u, customers, types, tables. `whole` is whether all of its contexts are here."""
+        level, least, n = F.floor(F.log2("types") * 16), None, 0
+        self.whole = True
+        for r in frame.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+            n += r["count"]
+            if n > most:
+                self.whole = False
+                break
+            least = r["level"]
+        t = frame.filter(level >= least if least is not None else F.lit(False)).select("u", "customers", "tables").toArrow()
+        by = np.argsort(t.column("u").to_numpy())
+        self.u, self.customers, self.tables = (t.column(a).to_numpy()[by] for a in ("u", "customers", "tables"))
+
+    def find(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, which contexts are here)."""
+        if not len(self.u):
+            return np.zeros(len(u), np.int64), np.zeros(len(u), bool)
+        i = np.minimum(np.searchsorted(self.u, u), len(self.u) - 1)
+        return i, self.u[i] == u
+
+
+def train_pairs(docs: DataFrame, rounds: int = ROUNDS, burn_in: int = BURN_IN, samples: int = SAMPLES, many: int = MANY, head: int = HEAD_CONTEXTS) -> tuple[DataFrame, dict]:
+    """(cells, totals) from `docs` (text, held): key, n (count in training), c (that of the word), score (log10 probability).
+
+    Cells of held texts only are among them, with n = 0. `totals` has the numbers of tokens and of words. Probabilities are
+    by the mean tables of the last round's samples. A word with more than `many` tokens is dealt over tasks. At most `head`
+    contexts' totals are broadcast; those of all others meet their cells by a join.
+    """
+    spark = docs.sparkSession
+    tune(spark)
+    pairs, sweeps = count_pairs(docs, many), burn_in + samples
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """id, a, b, what: customers and dishes of contexts (0), cells and tokens of words that are dealt (1), other sums (2 to 4)."""
+        sums = np.zeros((3, 2), np.int64)
+        for t in _cells(batches):
+            row, u, n = _unpacked(t, 2)
+            w, part = t.column("w").to_numpy(), t.column("part").to_numpy()
+            cells, tokens = (np.bincount(row[n > 0], x, len(w)).astype(np.int64) for x in (None, n[n > 0]))
+            one = (part == 0) & (tokens > 0)
+            sums += [[n.sum(), one.sum()], [(n == 1).sum(), (n == 2).sum()], [(cells[one] == 1).sum(), (cells[one] == 2).sum()]]
+            context, of = np.unique(u[n > 0], return_inverse=True)
+            yield rows_of(context, np.bincount(of, n[n > 0]), np.bincount(of), 0)
+            yield rows_of(w[part > 0], cells[part > 0], tokens[part > 0], 1)
+        for i in range(3):
+            yield rows_of(np.zeros(1, np.int64), sums[i, :1], sums[i, 1:], 2 + i)
+
+    def rows_of(ids: np.ndarray, a: np.ndarray, b: np.ndarray, what: int) -> pa.RecordBatch:
+        cols = [pa.array(ids, pa.int64()), pa.array(a.astype(np.float64)), pa.array(b.astype(np.float64)), pa.array(np.full(len(ids), what, np.int32))]
+        return pa.RecordBatch.from_arrays(cols, names=["id", "a", "b", "what"])
+
+    def added(df: DataFrame, run) -> DataFrame:
+        found = df.mapInArrow(tidy(run), "id long, a double, b double, what int")
+        return materialize(found.groupBy("what", "id").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
+
+    found = added(pairs, counted)
+    sums = {(r["what"], r["id"]): (r["a"], r["b"]) for r in found.filter("what > 0").collect()}
+    (n, v), cell12, word12 = (sums.get((k, 0), (0.0, 0.0)) for k in (2, 3, 4))
+    # Words that are dealt: customers and tables in the parent are as the round before left them.
+    fixed = {w: [cells, float(c > 0), int(c)] for (what, w), (cells, c) in sums.items() if what == 1}
+    ones = [x[0] for x in fixed.values() if x[2]]
+    word12 = word12[0] + ones.count(1), word12[1] + ones.count(2)
+    v += len(ones)
+    d, d1 = discounts = ney(*cell12), ney(*word12)
+    contexts = found.filter("what = 0").select(F.col("id").alias("u"), F.col("a").alias("customers"), F.col("b").alias("types"), F.col("b").alias("tables"))
+    customers = contexts.agg(F.sum("types").alias("n")).first()["n"] or 0.0
+    totals = {"tokens": int(n), "words": v, "root_customers": customers, "root_tables": v}
+    seat_schema = pa.schema([*_ROWS, ("g", pa.float64()), ("c", pa.int64()), ("root_tables", pa.float64())])
+
+    def others(shipped, frame: DataFrame) -> DataFrame:
+        """`pairs` and, of contexts that are not sent, the tables."""
+        if shipped.value.whole:
+            return pairs
+
+        def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in _cells(batches):
+                row, u, n = _unpacked(t, 2)
+                at = np.flatnonzero((n > 0) & ~shipped.value.find(u)[1])
+                yield pa.RecordBatch.from_arrays([pa.array(t.column(a).to_numpy()[row[at]]) for a in ("w", "part")] + [pa.array(u[at])], names=["w", "part", "u"])
+
+        lists = pairs.mapInArrow(tidy(far), "w long, part int, u long").join(frame.select("u", "tables"), "u").groupBy("w", "part").agg(F.collect_list(F.struct("u", "tables")).alias("far"))
+        return pairs.join(lists, ["w", "part"], "left")
+
+    def seated(batches: Iterator[pa.RecordBatch], now: dict, given: dict, first: int, shipped) -> Iterator[pa.RecordBatch]:
+        """Each cell's mean tables, and each word's count and, in the parent, customers less discounts and tables."""
+        for x in _cells(batches):
+            row, u, n = _unpacked(x, 2)
+            w, part = x.column("w").to_numpy(), x.column("part").to_numpy()
+            place, here = shipped.value.find(u)
+            tables = np.zeros(len(u))
+            tables[here] = shipped.value.tables[place[here]]
+            if "far" in x.column_names:
+                lists = x.column("far").combine_chunks().flatten()
+                of, index = np.unique(lists.field(0).to_numpy(), return_index=True)
+                at = np.flatnonzero(~here & (n > 0))
+                tables[at] = lists.field(1).to_numpy()[index[np.searchsorted(of, u[at])]] if len(at) else 0
+            known = np.array([given[i][:2] if p else (np.nan, np.nan) for i, p in zip(w.tolist(), part.tolist(), strict=True)])
+            at = np.flatnonzero(n)
+            got, customers, parent_tables = sit(w.view(np.uint64), row[at], n[at].astype(np.float64), CONCENTRATION + d * tables[at], u[at].view(np.uint64), now, discounts, sweeps, samples, first, known.T)
+            t = np.zeros(len(n))
+            t[at] = got.mean(axis=0)
+            root_tables = np.where(part > 0, 0.0, parent_tables.mean(axis=0))
+            g = customers.mean(axis=0) - d1 * root_tables
+            c = np.bincount(row, n, len(w)).astype(np.int64)
+            out = [pa.array(w), pa.array(part), _packed(row, len(w), u, n, t), pa.array(g, mask=part > 0), pa.array(c), pa.array(root_tables)]
+            yield pa.RecordBatch.from_arrays(out, schema=seat_schema)
+
+    def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """id, a, b, what: tables that contexts have beyond one a dish (0), tables of words that are dealt (1), all and the parent's (2)."""
+        sums = np.zeros(2)
+        for x in _cells(batches):
+            row, u, _, t = _unpacked(x, 3)
+            w, part, t = x.column("w").to_numpy(), x.column("part").to_numpy(), t.view(np.float64)
+            context, of = np.unique(u[t > 1], return_inverse=True)
+            yield rows_of(context, np.bincount(of, t[t > 1] - 1, len(context)), np.zeros(len(context)), 0)
+            large = np.bincount(row, t, len(w))[part > 0]
+            yield rows_of(w[part > 0], large, np.zeros(len(large)), 1)
+            sums += [t.sum(), x.column("root_tables").to_numpy().sum()]
+        yield rows_of(np.zeros(1, np.int64), sums[:1], sums[1:], 2)
+
+    types = f"{_ROW_TYPES}, g double, c long, root_tables double"
+    for k in range(rounds + 1):
+        shipped = spark.sparkContext.broadcast(Contexts(contexts, head))
+        rows = others(shipped, contexts)
+        run = tidy(lambda it, now=totals, given=fixed, first=k * sweeps, shipped=shipped: seated(it, now, given, first, shipped))
+        seats = materialize(rows.mapInArrow(run, types))
+        shipped.destroy()
+        tables = added(seats, more)
+        sums = {(r["what"], r["id"]): (r["a"], r["b"]) for r in tables.filter("what > 0").collect()}
+        if fixed:
+            ids, root = np.array(list(fixed), np.int64).view(np.uint64), np.array([sums[1, w][0] for w in fixed])
+            new = np.full(len(ids), (CONCENTRATION + d1 * totals["root_tables"]) / (totals["words"] + 1))
+            own = seat(np.rint(root), new, d1, mixed(ids + np.uint64(k)))
+            fixed = {w: [r, float(t), x[2]] for (w, x), r, t in zip(fixed.items(), root, own, strict=True)}
+        all_, parent = sums.get((2, 0), (0.0, 0.0))
+        totals = totals | {"root_customers": all_, "root_tables": parent + sum(x[1] for x in fixed.values())}
+        beyond = tables.filter("what = 0").select(F.col("id").alias("u"), "a")
+        before, contexts = contexts, contexts.select("u", "customers", "types").join(beyond, "u", "left").withColumn("tables", F.col("types") + F.coalesce("a", F.lit(0.0))).drop("a")
+        contexts = materialize(contexts)
+        discard(tables, *[seats] * (k < rounds), found if k == 0 else before)
+    discard(pairs)
+    sent = Contexts(contexts, head)
+    shipped, large = spark.sparkContext.broadcast(sent), fixed
+    base_mass = (CONCENTRATION + d1 * totals["root_tables"]) / (totals["words"] + 1)
+    parent_size, whole = CONCENTRATION + totals["root_customers"], sent.whole
+    cell_schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("score", pa.float32()), ("u", pa.int64()), ("own", pa.float64()), ("p1", pa.float64())])
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells; of contexts that are not sent, u, customers less discounts and the word's share of the parent instead of scores."""
+        for x in _cells(batches):
+            row, u, n, t = _unpacked(x, 3)
+            w, part, g, c = (x.column(a).to_numpy().copy() for a in ("w", "part", "g", "c"))
+            for i in np.flatnonzero(part > 0):
+                r, s, c[i] = large[int(w[i])]
+                g[i] = r - d1 * s
+            p1, own = ((g + base_mass) / parent_size)[row], n - d * t.view(np.float64)
+            place, here = shipped.value.find(u)
+            customers, tables = (np.zeros(len(u)) for _ in range(2))
+            customers[here], tables[here] = shipped.value.customers[place[here]], shipped.value.tables[place[here]]
+            score = np.log10((own + (CONCENTRATION + d * tables) * p1) / (CONCENTRATION + customers))
+            done = here | whole
+            out = [pa.array(cell_keys(u.view(np.uint64), w[row].view(np.uint64))), pa.array(n), pa.array(c[row]), pa.array(score.astype(np.float32), mask=~done), *(pa.array(y, mask=done) for y in (u, own, p1))]
+            batch = pa.RecordBatch.from_arrays(out, schema=cell_schema)
+            for i in range(0, batch.num_rows, GATHER):
+                yield batch.slice(i, GATHER)
+
+    cells = seats.mapInArrow(tidy(scored), "key long, n long, c long, score float, u long, own double, p1 double")
+    names = ["key", "n", "c", "score"]
+    if whole:
+        cells = materialize(cells.select(*names))
+    else:
+        parts = materialize(cells)
+        left = parts.filter("u is not null").drop("score").join(contexts, "u", "left")
+        share = CONCENTRATION + F.lit(d) * F.coalesce("tables", F.lit(0.0))
+        left = left.withColumn("score", F.log10((F.col("own") + share * F.col("p1")) / (CONCENTRATION + F.coalesce("customers", F.lit(0.0)))).cast("float"))
+        cells = materialize(parts.filter("u is null").select(*names).unionByName(left.select(*names)))
+        discard(parts)
+    shipped.destroy()
+    discard(seats, contexts)
+    return cells, totals
+
+
+def score_pairs(docs: DataFrame, cells: DataFrame, totals: dict, head: int = HEAD_PAIRS) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score of each row of `docs` (doc_id, text), whose cells all are in `cells`.
+
+    At most `head` cells are broadcast.
+    """
+    norm = float(np.log10(totals["tokens"] + 0.1 * (totals["words"] + 1)))
+    level, least, n = F.floor(F.log2("n") * 16), None, 0
+    for r in cells.filter("n > 0").groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        n += r["count"]
+        if n > head:
+            break
+        least = r["level"]
+    in_head = (F.col("n") > 0) & (level >= least) if least is not None else F.lit(False)
+    top = cells.filter(in_head).select("key", "c", "score").toArrow()
+    by = np.argsort(top.column("key").to_numpy())
+    counts, of = np.unique(top.column("c").to_numpy()[by], return_inverse=True)
+    sent = (top.column("key").to_numpy()[by], np.log10(counts + 0.1) - norm, of.astype(np.int32), top.column("score").to_numpy()[by])
+    del top, by
+    shipped = docs.sparkSession.sparkContext.broadcast(sent)
+    del sent
+    fields = [("doc_id", pa.int64()), ("tag", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("key", pa.int64())]
+    schema = pa.schema(fields)
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text with what its broadcast cells give, and one for each other token."""
+        keys, base, count, logs = shipped.value
+        for batch in batches:
+            n = batch.num_rows
+            u, w, cell, at = word_pairs(column(batch, "text"))
+            own = cell_keys(u, w)
+            i = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
+            hit = keys[i] == own if len(keys) else np.zeros(len(own), bool)
+            doc, found = np.repeat(np.arange(n), np.diff(at)), hit[cell]
+            place = i[cell[found]]
+            sums = [np.bincount(doc[found], x, n) for x in (None, base[count[place]], logs[place])]
+            ident, tag = column(batch, "doc_id"), column(batch, "tag")
+            # These rows meet no cell, and are dealt evenly.
+            even = mixed(tag.to_numpy().view(np.uint64) ^ mixed(pc.fill_null(ident, 0).to_numpy().view(np.uint64))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([ident, tag, pa.array(np.diff(at)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), pa.array(even)], schema=schema)
+            miss = np.flatnonzero(~found)
+            for j in range(0, len(miss), GATHER):
+                some = miss[j : j + GATHER]
+                at_doc = pa.array(doc[some])
+                empty = [pa.nulls(len(some), t) for _, t in fields[2:6]]
+                yield pa.RecordBatch.from_arrays([ident.take(at_doc), tag.take(at_doc), *empty, pa.array(own[cell[some]])], schema=schema)
+
+    keyed = docs.select("doc_id", text_tag(F.col("text")).alias("tag"), "text")
+    rows = keyed.mapInArrow(tidy(look_up), "doc_id long, tag long, n_tokens long, known long, base double, score double, key long")
+    tail = cells.filter(~in_head).select(F.col("key").alias("k"), "c", F.col("score").alias("s"))
+    token, c = F.col("n_tokens").isNull(), F.col("c")
+    parts = rows.join(tail, rows["key"] == tail["k"], "left").select(
+        "doc_id",
+        "tag",
+        F.when(token, 0).otherwise(1).alias("n_rows"),
+        "n_tokens",
+        F.when(token, (c > 0).cast("long")).otherwise(F.col("known")).alias("known"),
+        F.when(token, F.log10(c + 0.1) - norm).otherwise(F.col("base")).alias("base"),
+        F.when(token, F.col("s").cast("double")).otherwise(F.col("score")).alias("score"),
+    )
+    return _each_text(parts)
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own_contexts: int | None = None, **options) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity; a model of those not held out.
 
-    A word's context is the word before it where that is one of the `own_contexts` most common ones, else its class. Held
-    out: crc32 of the id as text is divisible by 10; a null id counts as empty text, and is held out. Null texts are empty
-    and have the end token only. Extra columns are not read. Without training texts every probability is 1. Rows may come
-    in any order. An empty table: no rows. `own_contexts` is at most MOST_OWN.
+    A word's context is the word before it. With `own_contexts` it is that only where the word before is one of as many
+    most common ones, else its class: a smaller model. Held out: crc32 of the id as text is divisible by 10; a null id
+    counts as empty text, and is held out. Null texts are empty and have the end token only. Extra columns are not read.
+    Without training texts every probability is 1. Rows may come in any order. An empty table: no rows. `own_contexts` is
+    at most MOST_OWN.
     """
-    if not 0 <= own_contexts <= MOST_OWN:
+    if own_contexts is not None and not 0 <= own_contexts <= MOST_OWN:
         raise ValueError(f"own_contexts is between 0 and {MOST_OWN}")
     tune(docs.sparkSession)
     own = text_and_id(docs, id_col, text_col)
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
-    learned = own.filter(~held)
-    contexts = common_words(learned, own_contexts)
-    model = train(learned, contexts)
-    out = score(own, contexts, *model, **options)
-    n = int(model[1]["customers"].sum())
+    if own_contexts is None:
+        cells, totals = train_pairs(own.select("text", held.alias("held")))
+        out, n = score_pairs(own, cells, totals, **options), totals["tokens"]
+    else:
+        learned = own.filter(~held)
+        contexts = common_words(learned, own_contexts)
+        model = train(learned, contexts)
+        out, n = score(own, contexts, *model, **options), int(model[1]["customers"].sum())
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

@@ -136,3 +136,62 @@ def test_more_contexts_than_numbers_are_refused(spark):
     for n in (-1, py.MOST_OWN + 1):
         with pytest.raises(ValueError, match="own_contexts"):
             py.score_documents(docs, own_contexts=n)
+
+
+def pairs_of(texts):
+    return Counter(p for t in texts for ws in [[*words_of(t), ""]] for p in zip([py.START, *ws], ws))
+
+
+def cell_of(*pairs):
+    u, w = (py.word_ids(pa.array(list(x), pa.large_string())) for x in zip(*pairs, strict=True))
+    return py.cell_keys(u, w).tolist()
+
+
+def test_every_word_before_is_a_context(spark):
+    # A thousand words before, more than the smaller model has contexts of their own, all end alike, and each has one word after it.
+    rows = [(i, " ".join(f"w{j}xx next{j}" for j in range(k, k + 500))) for i, k in enumerate([0, 500] * 20)]
+    rows = [r for r in rows if not held(r[0])]
+    test = [i for i in range(1000, 3000) if held(i)][:60]
+    rows += [(i, f"w{j}xx next{j if k else 999 - j}") for i, (j, k) in zip(test, [(j, k) for j in range(10, 310, 10) for k in (0, 1)])]
+    out = {r["doc_id"]: r["score"] for r in py.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[b] > out[a] + 2 for a, b in zip(test[::2], test[1::2]))
+
+
+@pytest.mark.parametrize(("many", "most"), [(py.MANY, py.HEAD_CONTEXTS), (40, 100), (1, 0)])
+def test_cells_of_all_words(spark, docs, many, most):
+    df = spark.createDataFrame([(i, t, held(i)) for i, t, _ in docs], "doc_id long, text string, held boolean").repartition(3)
+    cells, totals = py.train_pairs(df, many=many, head=most)
+    by = {r["key"]: r for r in cells.collect()}
+    n, every = pairs_of(t for i, t, _ in docs if not held(i)), pairs_of(t for _, t, _ in docs)
+    c, keys = Counter(), dict(zip(every, cell_of(*every), strict=True))
+    for (_, w), k in n.items():
+        c[w] += k
+    assert by.keys() == set(keys.values()) and (totals["tokens"], totals["words"]) == (sum(n.values()), len(c))
+    assert all((by[k]["n"], by[k]["c"]) == (n[p], c[p[1]]) and by[k]["score"] < 0 for p, k in keys.items())
+    scores = [{(r["doc_id"], r["n_tokens"]): r["score"] for r in py.score_pairs(df, cells, totals, head=h).collect()} for h in (py.HEAD_PAIRS, 3000, 0)]
+    for i, t, _ in docs:
+        ws = [*words_of(t), ""]
+        want = sum(by[keys[p]]["score"] for p in zip([py.START, *ws], ws))
+        assert all(abs(s[i, len(ws)] - want) < 1e-6 for s in scores)
+
+
+def test_probabilities_after_every_word_sum_to_one(spark):
+    # Held texts have every pair of the words, and one that no text that is learned has.
+    words = ["a", "b", "c", "d", "e", "f"]
+    learned = [" ".join(words[(i * j + i) % 5] for j in range(30)) for i in range(40)]
+    rows = [(i, t, False) for i, t in enumerate(learned)] + [(-1, " ".join(f"{u} {w}" for u in words for w in words), True), *((-2, w, True) for w in words), (-3, "", True)]
+    for many in (py.MANY, 3):
+        cells, totals = py.train_pairs(spark.createDataFrame(rows, "doc_id long, text string, held boolean"), many=many)
+        by = {r["key"]: 10 ** r["score"] for r in cells.collect()}
+        assert totals["words"] == 6
+        for u in [py.START, *words]:
+            # Words, the end; "f" has what an unknown word has.
+            assert abs(sum(by[k] for k in cell_of(*((u, w) for w in [*words, ""]))) - 1) < 1e-3
+
+
+def test_large_words_are_seated_as_small_ones_and_contexts_need_not_be_sent(spark, docs):
+    df = spark.createDataFrame([(i, t, held(i)) for i, t, _ in docs], "doc_id long, text string, held boolean")
+    form = ((2, py.MANY, py.HEAD_CONTEXTS), (3, py.MANY, 50), (2, 30, py.HEAD_CONTEXTS), (5, 30, 0))
+    a, e, b, c = ({r["key"]: r["score"] for r in py.train_pairs(df.repartition(n), many=m, head=h)[0].collect()} for n, m, h in form)
+    assert all(abs(b[k] - c[k]) < 1e-9 for k in b) and all(abs(a[k] - e[k]) < 1e-9 for k in a)
+    assert abs(np.mean([a[k] - b[k] for k in a])) < 0.01 and max(abs(a[k] - b[k]) for k in a) < 0.3
