@@ -12,10 +12,11 @@ Random numbers are hashes of the word, the context, the sweep and the customer,
 a task has. A cell is a word after a context, with its count. The totals of contexts with most cells, of a
 bounded number, are sent to all tasks; those of all others meet their cells by a join. Cells are dealt by word; a word with
 more than MANY tokens is dealt over tasks, and its count in the parent then is as the round before left it, as the
-restaurants' totals are. Words and cells are told apart by 64 bits.
+restaurants' totals are. Words and cells are told apart by 64 bits. Cells of whole words lie together in blocks, a row
+each, of compressed numbers.
 
-To score, the cells with most tokens, of a bounded number, are sent to all tasks; tokens of all other cells meet theirs by a
-join. Both give the same probabilities.
+To score, the cells with most tokens, of a bounded number, are sent to all tasks; for tokens of all other cells a chunk of
+texts asks where these are, by bucket of their digests. Both give the same probabilities.
 
 A smaller model (`own_contexts`) has a bounded number of contexts: the corpus' most common words, and CLASSES classes (a hash
 of the last two bytes; class 0 is the start of a text) that all other words before share. There words with most tokens are
@@ -24,13 +25,16 @@ sent, and a probability is by each sample's tables, not by their mean.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pandas.util import hash_array
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,12 +58,42 @@ GATHER = 1 << 16
 #: The context at the start of a text; no word has a space.
 START = " "
 SEED = 7
+#: Bytes of text, and cells of whole words, that a task works on at once; buckets of digests a task; bytes of long words.
+CHUNK, BLOCK, PER_TASK, LONG = 8 << 20, 1 << 18, 4, 256
 _G, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+#: The low bytes of eight.
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def word_ids(words: pa.Array) -> np.ndarray:
-    """64-bit digests of words."""
-    return hash_array(np.array(words.cast(pa.large_binary()).to_pylist(), dtype=object), categorize=False)
+    """64-bit digests of words, eight bytes at a time."""
+    words = words.cast(pa.large_binary())
+    if not len(words):
+        return np.empty(0, np.uint64)
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.zeros(offsets[-1] - offsets[0] + 8, np.uint8)
+    if len(data) > 8:
+        data[:-8] = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    eight = np.ndarray(len(data) - 7, np.dtype("<u8"), data, strides=(1,))
+    start, left = offsets[:-1] - offsets[0], np.diff(offsets)
+    out = left.astype(np.uint64) * _G
+    at = None
+    for _ in range(LONG // 8):
+        x = eight[start] & _LOW[np.minimum(left, 8)]
+        h = ((out if at is None else out[at]) ^ x) * _M1
+        h ^= h >> np.uint64(32)
+        if at is None:
+            out, at = h, np.flatnonzero(left > 8)
+            start, left = start[at] + 8, left[at] - 8
+        else:
+            out[at] = h
+            more = left > 8
+            at, start, left = at[more], start[more] + 8, left[more] - 8
+        if not len(at):
+            break
+    for i in at.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(words[i].as_py(), digest_size=8).digest(), "little")
+    return mixed(out)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -532,209 +566,357 @@ def cell_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mixed(mixed(u) ^ w).view(np.int64)
 
 
-def word_pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(contexts, words, each token's place among these two, each text's offsets), the first two digests of distinct cells."""
+def token_ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digests of each token's context and word, and each text's offsets; every text ends with END."""
     words, at = word_table(texts)
-    coded = words.dictionary_encode()
-    ids = np.concatenate([word_ids(coded.dictionary), word_ids(pa.array([END, START]))])
-    m, n = len(ids), len(at) - 1
-    offsets = at + np.arange(n + 1)
-    inner = np.ones(len(words) + n, bool)
+    offsets = at + np.arange(len(at))
+    inner = np.ones(len(words) + len(at) - 1, bool)
     inner[offsets[1:] - 1] = False
-    word = np.full(len(inner), m - 2, np.int64)
-    word[inner] = coded.indices.to_numpy()
-    code = np.full(len(word), m - 1, np.int64)
-    code[1:] = word[:-1]
-    code[offsets[:-1]] = m - 1
-    code, cell = np.unique(code * m + word, return_inverse=True)
-    return ids[code // m], ids[code % m], cell, offsets
-
-
-_ROWS = pa.schema([("w", pa.int64()), ("part", pa.int32()), ("cells", pa.binary())])
-_ROW_TYPES = "w long, part int, cells binary"
-
-
-def _packed(row: np.ndarray, n_rows: int, *values: np.ndarray) -> pa.Array:
-    """For each row, a binary value of its first values of 8 bytes, then its second ones, and so on; `row` ascends."""
-    size = np.bincount(row, minlength=n_rows)
-    start = np.cumsum(size) - size
-    place = np.arange(len(row)) + (len(values) - 1) * start[row]
-    out = np.empty(len(row) * len(values), np.int64)
-    for i, x in enumerate(values):
-        out[place + i * size[row]] = x.view(np.int64)
-    offsets = np.append(0, np.cumsum(size) * 8 * len(values)).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), n_rows, [None, pa.py_buffer(offsets), pa.py_buffer(out)])
-
-
-def _unpacked(t: pa.Table, n_values: int) -> tuple[np.ndarray, ...]:
-    """The row of each cell, and its values."""
-    cells = t.column("cells").combine_chunks()
-    offsets = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1].astype(np.int64)
-    data = np.frombuffer(cells.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.int64) if offsets[-1] > offsets[0] else np.empty(0, np.int64)
-    size = np.diff(offsets) // (8 * n_values)
-    row, start = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
-    place = np.arange(len(row)) + (n_values - 1) * start[row]
-    return row, *(data[place + i * size[row]] for i in range(n_values))
-
-
-def _as_rows(w: np.ndarray, part: np.ndarray, u: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of cells, those with the same w, part and u added up."""
-    by = np.lexsort((u, part, w) if part.any() else (u, w))
-    w, part, u, n = w[by], part[by], u[by], n[by]
-    row = np.append(True, (w[1:] != w[:-1]) | (part[1:] != part[:-1]))
-    start = np.flatnonzero(row | np.append(True, u[1:] != u[:-1]))
-    n, u, row = np.add.reduceat(n, start), u[start], np.cumsum(row)[start] - 1
-    first = start[np.append(True, row[1:] != row[:-1])]
-    batch = pa.RecordBatch.from_arrays([pa.array(w[first]), pa.array(part[first]), _packed(row, len(first), u, n)], schema=_ROWS)
-    for i in range(0, batch.num_rows, GATHER):
-        yield batch.slice(i, GATHER)
-
-
-def _cells(batches: Iterator[pa.RecordBatch], size: int = 1 << 18) -> Iterator[pa.Table]:
-    """Tables of rows with some `size` cells."""
-    held, n = [], 0
+    end, start = word_ids(pa.array([END, START], pa.large_string()))
+    w = np.full(len(inner), end, np.uint64)
+    w[inner] = word_ids(words)
+    u = np.roll(w, 1)
+    u[offsets[:-1]] = start
+    return u, w, offsets
+
+
+def packed(x: np.ndarray, ascending: bool = False) -> bytes:
+    """Numbers as compressed bytes, all first bytes before all second ones; ascending ones by their differences."""
+    if ascending and len(x):
+        x = np.append(x[:1], np.diff(x))
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return len(x).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(pa.py_buffer(planes), asbytes=True)
+
+
+def unpacked(data: bytes, kind: type, ascending: bool = False) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.Codec("zstd").decompress(pa.py_buffer(data)[8:], n * width), np.uint8) if n else np.empty(0, np.uint8)
+    x = np.ascontiguousarray(planes.reshape(width, n).T).view(kind).reshape(n)
+    return np.cumsum(x, dtype=kind) if ascending else x
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows with some CHUNK bytes of text at a time, one at least."""
+    held, size = [], 0
     for batch in batches:
-        for i in range(0, batch.num_rows, 4096):
-            some = batch.slice(i, 4096)
-            held.append(some)
-            n += pc.sum(pc.binary_length(column(some, "cells"))).as_py() or 0
-            if n >= 16 * size:
-                yield pa.Table.from_batches(held)
-                held, n = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
+        held.append(batch)
+        size += batch.nbytes
+        if size >= CHUNK:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
-def count_pairs(docs: DataFrame, many: int = MANY) -> DataFrame:
-    """w, part, cells: a row per distinct word of `docs` (text, held), with the contexts it follows and its count in each.
+def only(t: pa.Table, name: str) -> pa.Array:
+    x = t.column(name)
+    return x.chunk(0) if x.num_chunks == 1 else pa.concat_arrays(x.chunks)
 
-    Counts are of texts that are not held; they may be 0. A word with more than `many` tokens in all texts has rows of some
-    `many` cells at most, whose part is above 0.
-    """
 
-    def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each word's tokens in the texts of a task."""
-        held, size = [], 0
+def as_batches(rows: list[tuple], schema: pa.Schema, size: int = 256) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows), size):
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[i : i + size], strict=True), schema, strict=True)], schema=schema)
 
-        def summed() -> pa.RecordBatch:
-            ids, of = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
-            k = np.bincount(of, np.concatenate([x[1] for x in held])).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(k)], names=["w", "k"])
 
-        for batch in batches:
-            pairs = word_table(column(batch, "text"))[0].value_counts()
-            held.append((word_ids(pairs.field("values")), pairs.field("counts").to_numpy()))
-            held.append((word_ids(pa.array([END])), np.array([batch.num_rows])))
-            size += len(pairs)
-            if size > 2_000_000:
-                yield summed()
-                held, size = [], 0
-        if held:
-            yield summed()
+def as_dicts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
 
-    sizes = docs.select("text").mapInArrow(tidy(occur), "w long, k long").groupBy("w").agg(F.sum("k").alias("n")).filter(F.col("n") > many).collect()
-    large = np.array(sorted(r["w"] for r in sizes), np.int64)
-    parts = np.array([-(-r["n"] // many) for r in sorted(sizes, key=lambda r: r["w"])], np.int64)
 
-    def as_dealt(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        w, u, n = map(np.concatenate, zip(*held, strict=True))
-        part, at = np.zeros(len(w), np.int32), np.flatnonzero(np.isin(w, large))
-        part[at] = 1 + (mixed(u[at].view(np.uint64)) % parts[np.searchsorted(large, w[at])].astype(np.uint64)).astype(np.int32)
-        yield from _as_rows(w, part, u, n)
+def bucket_count(df: DataFrame) -> int:
+    return PER_TASK * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def slices(digests: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """The buckets of ascending digests that have any, and where these are."""
+    if not len(digests):
+        return
+    of = (digests >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    found, first = np.unique(of, return_index=True)
+    for b, i, j in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(of)], strict=True):
+        yield b, slice(i, j)
+
+
+def dealt(df: DataFrame, buckets: int, *order: str) -> DataFrame:
+    """Rows by `bucket`, PER_TASK consecutive ones a task."""
+    return df.repartitionById(buckets // PER_TASK, F.floor(F.col("bucket") / PER_TASK).cast("int")).sortWithinPartitions("bucket", *order)
+
+
+_SUMS = pa.schema([("bucket", pa.int32()), ("key", pa.binary()), ("x", pa.binary())])
+_SUM_TYPES = "bucket int, key binary, x binary"
+
+
+def added_up(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct keys, and the sums of the rows of `x`."""
+    by = np.argsort(keys)
+    keys = keys[by]
+    start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    return keys[start], np.add.reduceat(x[:, by], start, axis=1) if len(start) else x[:, :0]
+
+
+def sums_by_key(df: DataFrame, each, also: DataFrame | None = None) -> DataFrame:
+    """bucket, key, x: sums by 64-bit key of the (keys, rows of numbers) that `each` makes of batches, and of the frame `also`."""
+    buckets = bucket_count(df)
+
+    def as_rows(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        keys, x = added_up(np.concatenate([k for k, _ in held]), np.concatenate([x for _, x in held], axis=1))
+        yield from as_batches([(b, packed(keys[at], True), packed(x[:, at].ravel())) for b, at in slices(keys, buckets)], _SUMS)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
-            u, w, cell, at = word_pairs(column(batch, "text"))
-            learned = np.repeat(~column(batch, "held").to_numpy(zero_copy_only=False), np.diff(at))
-            held.append((w.view(np.int64), u.view(np.int64), np.bincount(cell[learned], minlength=len(u))))
-            size += len(u)
-            if size > 2_000_000:
-                yield from as_dealt(held)
+        for keys, x in each(batches):
+            held.append(added_up(keys, x))
+            size += len(held[-1][0])
+            if size > 1_000_000:
+                yield from as_rows(held)
                 held, size = [], 0
         if held:
-            yield from as_dealt(held)
+            yield from as_rows(held)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, rows in groupby(as_dicts(batches), lambda r: r["bucket"]):
+            keys, x = added_up(*(np.concatenate(y, axis=-1) for y in zip(*map(keyed, rows), strict=True)))
+            yield from as_batches([(b, packed(keys, True), packed(x.ravel()))], _SUMS)
+
+    parts = df.mapInArrow(tidy(make), _SUM_TYPES)
+    return dealt(parts.unionByName(also) if also is not None else parts, buckets).mapInArrow(tidy(merge), _SUM_TYPES)
+
+
+def keyed(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The keys and numbers of a row of sums_by_key()."""
+    keys = unpacked(r["key"], np.uint64, True)
+    return keys, unpacked(r["x"], np.float64).reshape(-1, len(keys)) if len(keys) else np.empty((0, 0))
+
+
+#: Cells of whole words: the words' digests (or those of parts of words that are dealt) with their numbers of cells, and
+#: for each cell the place of its context among the ascending `us`, and its count. `t` has tables, all samples' together.
+_BLOCK = pa.schema([("block", pa.int64()), ("w", pa.binary()), ("size", pa.binary()), ("us", pa.binary()), ("at", pa.binary()), ("n", pa.binary())])
+_BLOCK_TYPES = "block long, w binary, size binary, us binary, at binary, n binary"
+
+
+class Dealt:
+    """Words that are dealt over tasks: each part has a digest of its own."""
+
+    def __init__(self, sizes: dict[int, int], many: int) -> None:
+        self.words = np.array(sorted(sizes), np.uint64)
+        self.parts = np.array([-(-sizes[w] // many) for w in self.words.tolist()], np.uint64)
+        # Parts are numbered from 1.
+        number = np.concatenate([np.arange(1, p + 1, dtype=np.uint64) for p in self.parts.tolist()] or [np.empty(0, np.uint64)])
+        whole = np.repeat(self.words, self.parts.astype(np.int64))
+        ids = mixed(whole + number * _G)
+        by = np.argsort(ids)
+        self.ids, self.whole = ids[by], whole[by]
+
+    def deal(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """`w`, or of words that are dealt the digest of the part for context `u`."""
+        i = _places(self.words, w)
+        at = np.flatnonzero(i >= 0)
+        out = w.copy()
+        out[at] = mixed(w[at] + (mixed(u[at]) % self.parts[i[at]] + np.uint64(1)) * _G)
+        return out
+
+    def find(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whole words, which of `w` are parts)."""
+        i = _places(self.ids, w)
+        out = w.copy()
+        out[i >= 0] = self.whole[i[i >= 0]]
+        return out, i >= 0
+
+
+def _places(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places of `x` among the ascending `known`; -1: not there."""
+    if not len(known):
+        return np.full(len(x), -1)
+    i = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return np.where(known[i] == x, i, -1)
+
+
+def _cells(r: dict) -> tuple[np.ndarray, ...]:
+    """(words, each cell's row, contexts, each cell's place among these, counts) of a block."""
+    w = unpacked(r["w"], np.uint64)
+    return w, np.repeat(np.arange(len(w)), unpacked(r["size"], np.int32)), unpacked(r["us"], np.uint64, True), unpacked(r["at"], np.int32), unpacked(r["n"], np.int64)
+
+
+def count_pairs(docs: DataFrame, many: int = MANY) -> tuple[DataFrame, Dealt]:
+    """Blocks of the cells of `docs` (text, held), each with its count in texts that are not held, which may be 0.
+
+    A word with more than `many` tokens in all texts is dealt: each part has some `many` tokens.
+    """
+
+    def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for t in chunks(batches):
+            ids = np.sort(token_ids(only(t, "text"))[1])
+            start = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            yield ids[start], np.diff(np.append(start, len(ids)))[None].astype(np.float64)
+
+    def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in as_dicts(batches):
+            keys, (k,) = keyed(r)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[k > many].view(np.int64)), pa.array(k[k > many].astype(np.int64))], names=["w", "n"])
+
+    sizes = sums_by_key(docs.select("text"), occur).mapInArrow(tidy(above), "w long, n long").collect()
+    large = Dealt({r["w"] & (1 << 64) - 1: r["n"] for r in sizes}, many)
+    buckets = bucket_count(docs)
+    schema = pa.schema([("bucket", pa.int32()), ("w", pa.binary()), ("size", pa.binary()), ("u", pa.binary()), ("n", pa.binary())])
+    high = np.uint64(32)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in chunks(batches):
+            u, w, at = token_ids(only(t, "text"))
+            w = large.deal(u, w)
+            learned = np.repeat(~only(t, "held").to_numpy(zero_copy_only=False), np.diff(at))
+            # By halves of the digests: cells that these do not tell apart may come twice, and are added up later.
+            by = np.argsort(w >> high << high | u >> high)
+            u, w, seen = u[by], w[by], np.append(0, np.cumsum(learned[by]))
+            start = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (u[1:] != u[:-1])))
+            n = np.diff(seen[np.append(start, len(w))])
+            u, w = u[start], w[start]
+            out = []
+            for b, i in slices(w, buckets):
+                first = np.flatnonzero(np.append(True, w[i][1:] != w[i][:-1]))
+                out.append((b, packed(w[i][first]), packed(np.diff(np.append(first, len(w[i]))).astype(np.int32)), packed(u[i]), packed(n[i])))
+            yield from as_batches(out, schema)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by word and part: all but the last are complete."""
-        rest: list[tuple] = []
-        for t in _cells(batches):
-            row, u, n = _unpacked(t, 2)
-            w, part = t.column("w").to_numpy(), t.column("part").to_numpy()
-            rest.append((w[row], part[row], u, n))
-            all_ = [np.concatenate(x) for x in zip(*rest, strict=True)]
-            done = (all_[0] != w[-1]) | (all_[1] != part[-1])
-            if done.any():
-                yield from _as_rows(*(x[done] for x in all_))
-            rest = [tuple(x[~done] for x in all_)]
-        if rest and len(rest[0][0]):
-            yield from _as_rows(*rest[0])
-
-    dealt = docs.select("text", "held").mapInArrow(tidy(count), _ROW_TYPES).repartition("w", "part")
-    return materialize(dealt.sortWithinPartitions("w", "part").mapInArrow(tidy(merge), _ROW_TYPES))
+        for b, rows in groupby(as_dicts(batches), lambda r: r["bucket"]):
+            parts = [(np.repeat(unpacked(r["w"], np.uint64), unpacked(r["size"], np.int32)), unpacked(r["u"], np.uint64), unpacked(r["n"], np.int64)) for r in rows]
+            w, u, n = map(np.concatenate, zip(*parts, strict=True))
+            del parts
+            by = np.lexsort((u, w))
+            w, u, n = w[by], u[by], n[by]
+            start = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (u[1:] != u[:-1])))
+            w, u, n = w[start], u[start], np.add.reduceat(n, start)
+            first = np.append(np.flatnonzero(np.append(True, w[1:] != w[:-1])), len(w))
+            i, k = 0, 0
+            while i < len(first) - 1:
+                j = max(i + 1, int(np.searchsorted(first, first[i] + BLOCK, "right")) - 1)
+                cells = slice(first[i], first[j])
+                us, at = np.unique(u[cells], return_inverse=True)
+                yield from as_batches([(b << 24 | k, packed(w[first[i:j]]), packed(np.diff(first[i : j + 1]).astype(np.int32)), packed(us, True), packed(at.astype(np.int32)), packed(n[cells]))], _BLOCK)
+                i, k = j, k + 1
+
+    found = docs.select("text", "held").mapInArrow(tidy(count), "bucket int, w binary, size binary, u binary, n binary")
+    return materialize(dealt(found, buckets).mapInArrow(tidy(merge), _BLOCK_TYPES)), large
 
 
 class Contexts:
     """Customers and tables of the contexts with most cells, of a bounded number, as a task has them."""
 
-    def __init__(self, frame: DataFrame, most: int) -> None:
-        """frame: u, customers, types, tables. `whole` is whether all of its contexts are here."""
-        level, least, n = F.floor(F.log2("types") * 16), None, 0
-        self.whole = True
-        for r in frame.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
-            n += r["count"]
+    def __init__(self, frame: DataFrame, most: int, seated: bool = False) -> None:
+        """frame: customers, cells, and tables beyond one a cell, by context. `whole` is whether all of its contexts are here.
+
+        With `seated`, only contexts with a cell of two customers or more count: elsewhere there is nothing to seat.
+        """
+
+        def some(r: dict, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            keys, x = keyed(r)
+            level = np.floor(np.log2(np.maximum(x[1], 1)) * 16)
+            at = (level >= least) & ((x[0] > x[1]) | (not seated))
+            return keys[at], x[:, at], level[at].astype(np.int64)
+
+        def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for r in as_dicts(batches):
+                level, n = np.unique(some(r, 0)[2], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(level), pa.array(n)], names=["level", "n"])
+
+        least, n, self.whole = None, 0, True
+        for r in frame.mapInArrow(tidy(levels), "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect():
+            n += r["n"]
             if n > most:
                 self.whole = False
                 break
             least = r["level"]
-        t = frame.filter(level >= least if least is not None else F.lit(False)).select("u", "customers", "tables").toArrow()
-        by = np.argsort(t.column("u").to_numpy())
-        self.u, self.customers, self.tables = (t.column(a).to_numpy()[by] for a in ("u", "customers", "tables"))
+        self.u, self.customers, self.tables = np.empty(0, np.uint64), np.empty(0), np.empty(0)
+        if least is None:
+            return
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for r in as_dicts(batches):
+                keys, x, _ = some(r, least)
+                yield from as_batches([(r["bucket"], packed(keys, True), packed(x.ravel()))], _SUMS)
+
+        rows = [keyed(r) for r in as_dicts(frame.mapInArrow(tidy(keep), _SUM_TYPES).toArrow().to_batches())]
+        rows = [r for r in rows if len(r[0])]
+        u, x = np.concatenate([k for k, _ in rows]), np.concatenate([x for _, x in rows], axis=1)
+        by = np.argsort(u)
+        self.u, self.customers, self.tables = u[by], x[0][by], (x[1] + x[2])[by]
+
+    def find(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(customers, tables, which contexts are here); both are 0 elsewhere."""
+        i = _places(self.u, u)
+        here = i >= 0
+        customers, tables = np.zeros(len(u)), np.zeros(len(u))
+        customers[here], tables[here] = self.customers[i[here]], self.tables[i[here]]
+        return customers, tables, here
+
 
-    def find(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, which contexts are here)."""
-        if not len(self.u):
-            return np.zeros(len(u), np.int64), np.zeros(len(u), bool)
-        i = np.minimum(np.searchsorted(self.u, u), len(self.u) - 1)
-        return i, self.u[i] == u
+def context_rows(frame: DataFrame) -> DataFrame:
+    """u, customers, tables: a row for each context."""
 
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in as_dicts(batches):
+            u, x = keyed(r)
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(x[0]), pa.array(x[1] + x[2])], names=["u", "customers", "tables"])
 
-def train_pairs(docs: DataFrame, rounds: int = ROUNDS, burn_in: int = BURN_IN, samples: int = SAMPLES, many: int = MANY, head: int = HEAD_CONTEXTS) -> tuple[DataFrame, dict]:
-    """(cells, totals) from `docs` (text, held): key, n (count in training), c (that of the word), score (log10 probability).
+    return frame.mapInArrow(tidy(expand), "u long, customers double, tables double")
 
-    Cells of held texts only are among them, with n = 0. `totals` has the numbers of tokens and of words. Probabilities are
+
+#: Frames of cells, each with a function that makes (keys, counts, words' counts, scores) of its batches.
+Sources = list[tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]]]]
+
+
+def learn(docs: DataFrame, rounds: int = ROUNDS, burn_in: int = BURN_IN, samples: int = SAMPLES, many: int = MANY, head: int = HEAD_CONTEXTS) -> tuple[Sources, dict, list[DataFrame]]:
+    """(cells, totals, what to discard after them) from `docs` (text, held).
+
+    Cells of held texts only are among them, with count 0. `totals` has the numbers of tokens and of words. Probabilities are
     by the mean tables of the last round's samples. A word with more than `many` tokens is dealt over tasks. At most `head`
     contexts' totals are broadcast; those of all others meet their cells by a join.
     """
     spark = docs.sparkSession
     tune(spark)
-    pairs, sweeps = count_pairs(docs, many), burn_in + samples
+    (pairs, large), sweeps = count_pairs(docs, many), burn_in + samples
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """id, a, b, what: customers and dishes of contexts (0), cells and tokens of words that are dealt (1), other sums (2 to 4)."""
+    def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells and tokens of words that are dealt (1), other sums (2 to 4)."""
         sums = np.zeros((3, 2), np.int64)
-        for t in _cells(batches):
-            row, u, n = _unpacked(t, 2)
-            w, part = t.column("w").to_numpy(), t.column("part").to_numpy()
+        for r in as_dicts(batches):
+            w, size, n = unpacked(r["w"], np.uint64), unpacked(r["size"], np.int32), unpacked(r["n"], np.int64)
+            row = np.repeat(np.arange(len(w)), size)
+            whole, part = large.find(w)
             cells, tokens = (np.bincount(row[n > 0], x, len(w)).astype(np.int64) for x in (None, n[n > 0]))
-            one = (part == 0) & (tokens > 0)
+            one = ~part & (tokens > 0)
             sums += [[n.sum(), one.sum()], [(n == 1).sum(), (n == 2).sum()], [(cells[one] == 1).sum(), (cells[one] == 2).sum()]]
-            context, of = np.unique(u[n > 0], return_inverse=True)
-            yield rows_of(context, np.bincount(of, n[n > 0]), np.bincount(of), 0)
-            yield rows_of(w[part > 0], cells[part > 0], tokens[part > 0], 1)
+            yield rows_of(whole[part], cells[part], tokens[part], 1)
         for i in range(3):
-            yield rows_of(np.zeros(1, np.int64), sums[i, :1], sums[i, 1:], 2 + i)
+            yield rows_of(np.zeros(1, np.uint64), sums[i, :1], sums[i, 1:], 2 + i)
 
     def rows_of(ids: np.ndarray, a: np.ndarray, b: np.ndarray, what: int) -> pa.RecordBatch:
-        cols = [pa.array(ids, pa.int64()), pa.array(a.astype(np.float64)), pa.array(b.astype(np.float64)), pa.array(np.full(len(ids), what, np.int32))]
+        cols = [pa.array(ids.view(np.int64)), pa.array(a.astype(np.float64)), pa.array(b.astype(np.float64)), pa.array(np.full(len(ids), what, np.int32))]
         return pa.RecordBatch.from_arrays(cols, names=["id", "a", "b", "what"])
 
-    def added(df: DataFrame, run) -> DataFrame:
-        found = df.mapInArrow(tidy(run), "id long, a double, b double, what int")
-        return materialize(found.groupBy("what", "id").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
-
-    found = added(pairs, counted)
-    sums = {(r["what"], r["id"]): (r["a"], r["b"]) for r in found.filter("what > 0").collect()}
+    def sums_of(df: DataFrame, run) -> dict:
+        found = df.mapInArrow(tidy(run), "id long, a double, b double, what int").groupBy("what", "id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        return {(r["what"], r["id"] & (1 << 64) - 1): (r["a"], r["b"]) for r in found.collect()}
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Customers and cells of contexts."""
+        for r in as_dicts(batches):
+            us, at, n = unpacked(r["us"], np.uint64, True), unpacked(r["at"], np.int32), unpacked(r["n"], np.int64)
+            cells = np.bincount(at[n > 0], minlength=len(us))
+            x = np.array([np.bincount(at, n, len(us)), cells, np.zeros(len(us))])
+            yield us[cells > 0], x[:, cells > 0]
+
+    def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Tables that contexts have beyond one a cell."""
+        for r in as_dicts(batches):
+            us, at, t = unpacked(r["us"], np.uint64, True), unpacked(r["at"], np.int32), unpacked(r["t"], np.int32) / samples
+            more = np.bincount(at[t > 1], t[t > 1] - 1, len(us))
+            x = np.zeros((3, len(us)))
+            x[2] = more
+            yield us[more > 0], x[:, more > 0]
+
+    sums = sums_of(pairs.select("w", "size", "n"), stats)
     (n, v), cell12, word12 = (sums.get((k, 0), (0.0, 0.0)) for k in (2, 3, 4))
     # Words that are dealt: customers and tables in the parent are as the round before left them.
     fixed = {w: [cells, float(c > 0), int(c)] for (what, w), (cells, c) in sums.items() if what == 1}
@@ -742,184 +924,307 @@ def train_pairs(docs: DataFrame, rounds: int = ROUNDS, burn_in: int = BURN_IN, s
     word12 = word12[0] + ones.count(1), word12[1] + ones.count(2)
     v += len(ones)
     d, d1 = discounts = ney(*cell12), ney(*word12)
-    contexts = found.filter("what = 0").select(F.col("id").alias("u"), F.col("a").alias("customers"), F.col("b").alias("types"), F.col("b").alias("tables"))
-    customers = contexts.agg(F.sum("types").alias("n")).first()["n"] or 0.0
-    totals = {"tokens": int(n), "words": v, "root_customers": customers, "root_tables": v}
-    seat_schema = pa.schema([*_ROWS, ("g", pa.float64()), ("c", pa.int64()), ("root_tables", pa.float64())])
+    first_contexts = contexts = materialize(sums_by_key(pairs.select("us", "at", "n"), counted))
+
+    def customers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([sum((keyed(r)[1][1].sum() for r in as_dicts(batches)), 0.0)])], names=["x"])
+
+    dishes = contexts.mapInArrow(tidy(customers), "x double").agg(F.sum("x").alias("x")).first()["x"] or 0.0
+    totals = {"tokens": int(n), "words": v, "root_customers": dishes, "root_tables": v}
+    seat_schema = pa.schema([*_BLOCK, ("t", pa.binary()), ("g", pa.binary()), ("root_tables", pa.binary())])
 
     def others(shipped, frame: DataFrame) -> DataFrame:
-        """`pairs` and, of contexts that are not sent, the tables."""
+        """`pairs` and, of contexts that are not sent and have cells to seat, the tables."""
         if shipped.value.whole:
             return pairs
 
         def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in _cells(batches):
-                row, u, n = _unpacked(t, 2)
-                at = np.flatnonzero((n > 0) & ~shipped.value.find(u)[1])
-                yield pa.RecordBatch.from_arrays([pa.array(t.column(a).to_numpy()[row[at]]) for a in ("w", "part")] + [pa.array(u[at])], names=["w", "part", "u"])
+            for r in as_dicts(batches):
+                us, at, n = unpacked(r["us"], np.uint64, True), unpacked(r["at"], np.int32), unpacked(r["n"], np.int64)
+                seated = np.bincount(at[n > 1], minlength=len(us)) > 0
+                u = us[seated & ~shipped.value.find(us)[2]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), r["block"])), pa.array(u.view(np.int64))], names=["block", "u"])
 
-        lists = pairs.mapInArrow(tidy(far), "w long, part int, u long").join(frame.select("u", "tables"), "u").groupBy("w", "part").agg(F.collect_list(F.struct("u", "tables")).alias("far"))
-        return pairs.join(lists, ["w", "part"], "left")
+        lists = pairs.select("block", "us", "at", "n").mapInArrow(tidy(far), "block long, u long").join(context_rows(frame).select("u", "tables"), "u")
+        return pairs.join(lists.groupBy("block").agg(F.collect_list(F.struct("u", "tables")).alias("far")), "block", "left")
 
     def seated(batches: Iterator[pa.RecordBatch], now: dict, given: dict, first: int, shipped) -> Iterator[pa.RecordBatch]:
-        """Each cell's mean tables, and each word's count and, in the parent, customers less discounts and tables."""
-        for x in _cells(batches):
-            row, u, n = _unpacked(x, 2)
-            w, part = x.column("w").to_numpy(), x.column("part").to_numpy()
-            place, here = shipped.value.find(u)
-            tables = np.zeros(len(u))
-            tables[here] = shipped.value.tables[place[here]]
-            if "far" in x.column_names:
-                lists = x.column("far").combine_chunks().flatten()
-                of, index = np.unique(lists.field(0).to_numpy(), return_index=True)
-                at = np.flatnonzero(~here & (n > 0))
-                tables[at] = lists.field(1).to_numpy()[index[np.searchsorted(of, u[at])]] if len(at) else 0
-            known = np.array([given[i][:2] if p else (np.nan, np.nan) for i, p in zip(w.tolist(), part.tolist(), strict=True)])
-            at = np.flatnonzero(n)
-            got, customers, parent_tables = sit(w.view(np.uint64), row[at], n[at].astype(np.float64), CONCENTRATION + d * tables[at], u[at].view(np.uint64), now, discounts, sweeps, samples, first, known.T)
-            t = np.zeros(len(n))
-            t[at] = got.mean(axis=0)
-            root_tables = np.where(part > 0, 0.0, parent_tables.mean(axis=0))
-            g = customers.mean(axis=0) - d1 * root_tables
-            c = np.bincount(row, n, len(w)).astype(np.int64)
-            out = [pa.array(w), pa.array(part), _packed(row, len(w), u, n, t), pa.array(g, mask=part > 0), pa.array(c), pa.array(root_tables)]
-            yield pa.RecordBatch.from_arrays(out, schema=seat_schema)
-
-    def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """id, a, b, what: tables that contexts have beyond one a dish (0), tables of words that are dealt (1), all and the parent's (2)."""
+        """Each cell's tables and, of each word, customers less discounts and tables in the parent."""
+        for r in as_dicts(batches):
+            w, row, us, at, n = _cells(r)
+            whole, part = large.find(w)
+            tables = shipped.value.find(us)[1]
+            for x in r.get("far") or []:
+                tables[np.searchsorted(us, np.uint64(x["u"] & (1 << 64) - 1))] = x["tables"]
+            known = np.full((2, len(w)), np.nan)
+            for i in np.flatnonzero(part):
+                known[:, i] = given[int(whole[i])][:2]
+            own = np.flatnonzero(n)
+            got, root, parent_tables = sit(whole, row[own], n[own].astype(np.float64), CONCENTRATION + d * tables[at[own]], us[at[own]], now, discounts, sweeps, samples, first, known)
+            t = np.zeros(len(n), np.int32)
+            t[own] = got.sum(axis=0)
+            root_tables = np.where(part, 0.0, parent_tables.mean(axis=0))
+            yield from as_batches([(*(r[f.name] for f in _BLOCK), packed(t), packed(root.mean(axis=0) - d1 * root_tables), packed(root_tables))], seat_schema)
+
+    def all_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tables of words that are dealt (1), all and the parent's (2)."""
         sums = np.zeros(2)
-        for x in _cells(batches):
-            row, u, _, t = _unpacked(x, 3)
-            w, part, t = x.column("w").to_numpy(), x.column("part").to_numpy(), t.view(np.float64)
-            context, of = np.unique(u[t > 1], return_inverse=True)
-            yield rows_of(context, np.bincount(of, t[t > 1] - 1, len(context)), np.zeros(len(context)), 0)
-            large = np.bincount(row, t, len(w))[part > 0]
-            yield rows_of(w[part > 0], large, np.zeros(len(large)), 1)
-            sums += [t.sum(), x.column("root_tables").to_numpy().sum()]
-        yield rows_of(np.zeros(1, np.int64), sums[:1], sums[1:], 2)
-
-    types = f"{_ROW_TYPES}, g double, c long, root_tables double"
+        for r in as_dicts(batches):
+            w, size, t = unpacked(r["w"], np.uint64), unpacked(r["size"], np.int32), unpacked(r["t"], np.int32) / samples
+            whole, part = large.find(w)
+            dealt_tables = np.bincount(np.repeat(np.arange(len(w)), size), t, len(w))[part]
+            yield rows_of(whole[part], dealt_tables, np.zeros(len(dealt_tables)), 1)
+            sums += [t.sum(), unpacked(r["root_tables"], np.float64).sum()]
+        yield rows_of(np.zeros(1, np.uint64), sums[:1], sums[1:], 2)
+
     for k in range(rounds + 1):
-        shipped = spark.sparkContext.broadcast(Contexts(contexts, head))
-        rows = others(shipped, contexts)
+        shipped = spark.sparkContext.broadcast(Contexts(contexts, head, seated=True))
         run = tidy(lambda it, now=totals, given=fixed, first=k * sweeps, shipped=shipped: seated(it, now, given, first, shipped))
-        seats = materialize(rows.mapInArrow(run, types))
+        seats = materialize(others(shipped, contexts).mapInArrow(run, f"{_BLOCK_TYPES}, t binary, g binary, root_tables binary"))
         shipped.destroy()
-        tables = added(seats, more)
-        sums = {(r["what"], r["id"]): (r["a"], r["b"]) for r in tables.filter("what > 0").collect()}
+        sums = sums_of(seats.select("w", "size", "t", "root_tables"), all_tables)
         if fixed:
-            ids, root = np.array(list(fixed), np.int64).view(np.uint64), np.array([sums[1, w][0] for w in fixed])
+            ids, root = np.array(list(fixed), np.uint64), np.array([sums[1, w][0] for w in fixed])
             new = np.full(len(ids), (CONCENTRATION + d1 * totals["root_tables"]) / (totals["words"] + 1))
             own = seat(np.rint(root), new, d1, mixed(ids + np.uint64(k)))
             fixed = {w: [r, float(t), x[2]] for (w, x), r, t in zip(fixed.items(), root, own, strict=True)}
         all_, parent = sums.get((2, 0), (0.0, 0.0))
         totals = totals | {"root_customers": all_, "root_tables": parent + sum(x[1] for x in fixed.values())}
-        beyond = tables.filter("what = 0").select(F.col("id").alias("u"), "a")
-        before, contexts = contexts, contexts.select("u", "customers", "types").join(beyond, "u", "left").withColumn("tables", F.col("types") + F.coalesce("a", F.lit(0.0))).drop("a")
-        contexts = materialize(contexts)
-        discard(tables, *[seats] * (k < rounds), found if k == 0 else before)
-    discard(pairs)
+        before, contexts = contexts, materialize(sums_by_key(seats.select("us", "at", "t"), beyond, first_contexts))
+        discard(*[seats] * (k < rounds), *[before] * (k > 0))
+    discard(pairs, first_contexts)
     sent = Contexts(contexts, head)
-    shipped, large = spark.sparkContext.broadcast(sent), fixed
+    shipped, dealt_words, whole = spark.sparkContext.broadcast(sent), fixed, sent.whole
     base_mass = (CONCENTRATION + d1 * totals["root_tables"]) / (totals["words"] + 1)
-    parent_size, whole = CONCENTRATION + totals["root_customers"], sent.whole
-    cell_schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("score", pa.float32()), ("u", pa.int64()), ("own", pa.float64()), ("p1", pa.float64())])
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Cells; of contexts that are not sent, u, customers less discounts and the word's share of the parent instead of scores."""
-        for x in _cells(batches):
-            row, u, n, t = _unpacked(x, 3)
-            w, part, g, c = (x.column(a).to_numpy().copy() for a in ("w", "part", "g", "c"))
-            for i in np.flatnonzero(part > 0):
-                r, s, c[i] = large[int(w[i])]
-                g[i] = r - d1 * s
-            p1, own = ((g + base_mass) / parent_size)[row], n - d * t.view(np.float64)
-            place, here = shipped.value.find(u)
-            customers, tables = (np.zeros(len(u)) for _ in range(2))
-            customers[here], tables[here] = shipped.value.customers[place[here]], shipped.value.tables[place[here]]
-            score = np.log10((own + (CONCENTRATION + d * tables) * p1) / (CONCENTRATION + customers))
-            done = here | whole
-            out = [pa.array(cell_keys(u.view(np.uint64), w[row].view(np.uint64))), pa.array(n), pa.array(c[row]), pa.array(score.astype(np.float32), mask=~done), *(pa.array(y, mask=done) for y in (u, own, p1))]
-            batch = pa.RecordBatch.from_arrays(out, schema=cell_schema)
-            for i in range(0, batch.num_rows, GATHER):
-                yield batch.slice(i, GATHER)
-
-    cells = seats.mapInArrow(tidy(scored), "key long, n long, c long, score float, u long, own double, p1 double")
-    names = ["key", "n", "c", "score"]
-    if whole:
-        cells = materialize(cells.select(*names))
-    else:
-        parts = materialize(cells)
-        left = parts.filter("u is not null").drop("score").join(contexts, "u", "left")
+    parent_size = CONCENTRATION + totals["root_customers"]
+
+    def each(r: dict) -> tuple[np.ndarray, ...]:
+        """keys, counts, words' counts, customers less discounts, words' shares of the parent, contexts, places among them."""
+        w, row, us, at, n = _cells(r)
+        words, part = large.find(w)
+        g, c = unpacked(r["g"], np.float64).copy(), np.bincount(row, n, len(w)).astype(np.int64)
+        for i in np.flatnonzero(part):
+            root, tables, c[i] = dealt_words[int(words[i])]
+            g[i] = root - d1 * tables
+        own = n - d * (unpacked(r["t"], np.int32) / samples)
+        return cell_keys(us[at], words[row]).view(np.uint64), n, c[row], own, ((g + base_mass) / parent_size)[row], us, at
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Cells of contexts that are sent."""
+        for r in as_dicts(batches):
+            key, n, c, own, p1, us, at = each(r)
+            customers, tables, here = shipped.value.find(us)
+            score = np.log10((own + (CONCENTRATION + d * tables)[at] * p1) / (CONCENTRATION + customers)[at]).astype(np.float32)
+            done = slice(None) if whole else here[at]
+            yield key[done], n[done], c[done], score[done]
+
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in as_dicts(batches):
+            key, n, c, own, p1, us, at = each(r)
+            some = np.flatnonzero(~shipped.value.find(us)[2][at])
+            cols = [pa.array(key[some].view(np.int64)), *(pa.array(x[some]) for x in (n, c, own, p1)), pa.array(us[at[some]].view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "n", "c", "own", "p1", "u"])
+
+    cells, files = [(seats.select("w", "size", "us", "at", "n", "t", "g"), near)], [seats]
+    if not whole:
+        left = cells[0][0].mapInArrow(tidy(far), "key long, n long, c long, own double, p1 double, u long").join(context_rows(contexts), "u", "left")
         share = CONCENTRATION + F.lit(d) * F.coalesce("tables", F.lit(0.0))
-        left = left.withColumn("score", F.log10((F.col("own") + share * F.col("p1")) / (CONCENTRATION + F.coalesce("customers", F.lit(0.0)))).cast("float"))
-        cells = materialize(parts.filter("u is null").select(*names).unionByName(left.select(*names)))
-        discard(parts)
-    shipped.destroy()
-    discard(seats, contexts)
+        score = F.log10((F.col("own") + share * F.col("p1")) / (CONCENTRATION + F.coalesce("customers", F.lit(0.0)))).cast("float")
+        cells.append((materialize(left.select("key", "n", "c", score.alias("score"))), by_rows))
+        files.append(cells[1][0])
+    discard(contexts)
+    return cells, totals, files
+
+
+def by_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Cells by rows of key, n, c, score."""
+    for t in gathered(batches, 1 << 18):
+        yield tuple(only(t, a).to_numpy().view(k) for a, k in (("key", np.uint64), ("n", np.int64), ("c", np.int64), ("score", np.float32)))
+
+
+def train_pairs(docs: DataFrame, **options) -> tuple[DataFrame, dict]:
+    """(cells, totals) of learn(): key, n (count in training), c (that of the word), score (log10 probability)."""
+    sources, totals, files = learn(docs, **options)
+
+    def expand(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
+        for key, *x in make(batches):
+            for i in range(0, len(key), GATHER):
+                yield pa.RecordBatch.from_arrays([pa.array(key[i : i + GATHER].view(np.int64)), *(pa.array(y[i : i + GATHER]) for y in x)], names=["key", "n", "c", "score"])
+
+    frames = [df.mapInArrow(tidy(lambda it, make=make: expand(it, make)), "key long, n long, c long, score float") for df, make in sources]
+    cells = materialize(reduce(DataFrame.unionByName, frames))
+    discard(*files)
     return cells, totals
 
 
-def score_pairs(docs: DataFrame, cells: DataFrame, totals: dict, head: int = HEAD_PAIRS) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score of each row of `docs` (doc_id, text), whose cells all are in `cells`.
+class Cells:
+    """Cells that are sent, found by the first bits of their keys."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        """Keys ascend."""
+        self.keys, self.shift = keys, np.uint64(64 - max(1, int(len(keys)).bit_length()))
+        slots = 1 << 64 - int(self.shift)
+        self.start = np.append(0, np.cumsum(np.bincount((keys >> self.shift).astype(np.int64), minlength=slots))).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places; -1: not there."""
+        out, slot = np.full(len(keys), -1, np.int64), (keys >> self.shift).astype(np.int64)
+        place, end = self.start[slot], self.start[slot + 1]
+        open_ = np.flatnonzero(place < end)
+        while len(open_):
+            i = place[open_]
+            known = self.keys[i]
+            hit = known == keys[open_]
+            out[open_[hit]] = i[hit]
+            # Keys of a slot ascend.
+            more = (known < keys[open_]) & (i + 1 < end[open_])
+            open_ = open_[more]
+            place[open_] += 1
+        return out
+
+
+_FLOW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("key", pa.binary()), ("x", pa.binary()), ("y", pa.binary())])
+_FLOW_TYPES = "bucket int, kind int, chunk long, key binary, x binary, y binary"
+#: Cells, what a chunk of texts asks, and the chunk itself.
+CELLS, ASKED, TEXTS = range(3)
+
+
+def score_cells(docs: DataFrame, sources: Sources, totals: dict, head: int = HEAD_PAIRS) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score of each row of `docs` (doc_id, text), whose cells all are in `sources`.
 
-    At most `head` cells are broadcast.
+    At most `head` cells are broadcast. The others are asked for: a chunk of texts sends the keys of their tokens, with the
+    text's place in the chunk, to where these cells are, and gets sums by text.
     """
+    buckets = bucket_count(docs)
     norm = float(np.log10(totals["tokens"] + 0.1 * (totals["words"] + 1)))
-    level, least, n = F.floor(F.log2("n") * 16), None, 0
-    for r in cells.filter("n > 0").groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
-        n += r["count"]
+    level_of = lambda n: np.floor(np.log2(np.maximum(n, 1)) * 16).astype(np.int64)
+
+    def levels(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
+        for _, n, *_ in make(batches):
+            level, k = np.unique(level_of(n[n > 0]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(level), pa.array(k)], names=["level", "n"])
+
+    def of_all(run, types: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, [df.mapInArrow(tidy(lambda it, make=make: run(it, make)), types) for df, make in sources])
+
+    least, n = np.inf, 0
+    for r in of_all(levels, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect():
+        n += r["n"]
         if n > head:
             break
         least = r["level"]
-    in_head = (F.col("n") > 0) & (level >= least) if least is not None else F.lit(False)
-    top = cells.filter(in_head).select("key", "c", "score").toArrow()
-    by = np.argsort(top.column("key").to_numpy())
-    counts, of = np.unique(top.column("c").to_numpy()[by], return_inverse=True)
-    sent = (top.column("key").to_numpy()[by], np.log10(counts + 0.1) - norm, of.astype(np.int32), top.column("score").to_numpy()[by])
-    del top, by
+    in_head = lambda n: (n > 0) & (level_of(n) >= least)
+
+    def keep(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
+        for key, n, c, score in make(batches):
+            at = np.flatnonzero(in_head(n))
+            at = at[np.argsort(key[at])]
+            yield from as_batches([(0, CELLS, 0, packed(key[at], True), packed(c[at]), packed(score[at]))], _FLOW)
+
+    top = [(unpacked(r["key"], np.uint64, True), unpacked(r["x"], np.int64), unpacked(r["y"], np.float32)) for r in as_dicts(of_all(keep, _FLOW_TYPES).toArrow().to_batches())]
+    key, c, s = map(np.concatenate, zip(*top, strict=True)) if top else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.float32))
+    del top
+    by = np.argsort(key)
+    counts, of = np.unique(c[by], return_inverse=True)
+    sent = (key[by], np.log10(counts + 0.1) - norm, of.astype(np.int32), s[by])
+    del key, c, s, by, of
     shipped = docs.sparkSession.sparkContext.broadcast(sent)
     del sent
-    fields = [("doc_id", pa.int64()), ("tag", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("key", pa.int64())]
-    schema = pa.schema(fields)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text with what its broadcast cells give, and one for each other token."""
         keys, base, count, logs = shipped.value
-        for batch in batches:
-            n = batch.num_rows
-            u, w, cell, at = word_pairs(column(batch, "text"))
-            own = cell_keys(u, w)
-            i = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-            hit = keys[i] == own if len(keys) else np.zeros(len(own), bool)
-            doc, found = np.repeat(np.arange(n), np.diff(at)), hit[cell]
-            place = i[cell[found]]
-            sums = [np.bincount(doc[found], x, n) for x in (None, base[count[place]], logs[place])]
-            ident, tag = column(batch, "doc_id"), column(batch, "tag")
-            # These rows meet no cell, and are dealt evenly.
-            even = mixed(tag.to_numpy().view(np.uint64) ^ mixed(pc.fill_null(ident, 0).to_numpy().view(np.uint64))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([ident, tag, pa.array(np.diff(at)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), pa.array(even)], schema=schema)
-            miss = np.flatnonzero(~found)
-            for j in range(0, len(miss), GATHER):
-                some = miss[j : j + GATHER]
-                at_doc = pa.array(doc[some])
-                empty = [pa.nulls(len(some), t) for _, t in fields[2:6]]
-                yield pa.RecordBatch.from_arrays([ident.take(at_doc), tag.take(at_doc), *empty, pa.array(own[cell[some]])], schema=schema)
+        cells, task = Cells(keys), TaskContext.get().partitionId()
+        for i, t in enumerate(chunks(batches)):
+            u, w, at = token_ids(only(t, "text"))
+            n, own = t.num_rows, cell_keys(u, w).view(np.uint64)
+            del u, w
+            doc, place = np.repeat(np.arange(n, dtype=np.int32), np.diff(at)), cells.find(own)
+            found, miss = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+            here, place = doc[found], place[found]
+            sums = [np.bincount(here, x, n).astype(np.float64) for x in (None, base[count[place]], logs[place])]
+            ident, tag = only(t, "doc_id"), only(t, "tag").to_numpy()
+            ids = pc.fill_null(ident, 0).to_numpy().view(np.uint64)
+            chunk = int(mixed(np.bitwise_xor.reduce(mixed(mixed(ids ^ mixed(tag.view(np.uint64))) + np.arange(n, dtype=np.uint64)), keepdims=True) ^ mixed(np.array([task << 32 | i], np.uint64))).view(np.int64)[0])
+            null = ident.is_null().to_numpy(zero_copy_only=False).astype(np.int64)
+            out = [(chunk % buckets, TEXTS, chunk, packed(np.concatenate([ids.view(np.int64), null, np.diff(at)])), packed(np.concatenate(sums)), len(miss).to_bytes(8, "little"))]
+            own, doc = own[miss], doc[miss]
+            by = np.argsort(own)
+            own, doc = own[by], doc[by]
+            out += [(b, ASKED, chunk, packed(own[j], True), packed(doc[j]), None) for b, j in slices(own, buckets)]
+            yield from as_batches(out, _FLOW)
+
+    def others(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
-    keyed = docs.select("doc_id", text_tag(F.col("text")).alias("tag"), "text")
-    rows = keyed.mapInArrow(tidy(look_up), "doc_id long, tag long, n_tokens long, known long, base double, score double, key long")
-    tail = cells.filter(~in_head).select(F.col("key").alias("k"), "c", F.col("score").alias("s"))
-    token, c = F.col("n_tokens").isNull(), F.col("c")
-    parts = rows.join(tail, rows["key"] == tail["k"], "left").select(
-        "doc_id",
-        "tag",
-        F.when(token, 0).otherwise(1).alias("n_rows"),
-        "n_tokens",
-        F.when(token, (c > 0).cast("long")).otherwise(F.col("known")).alias("known"),
-        F.when(token, F.log10(c + 0.1) - norm).otherwise(F.col("base")).alias("base"),
-        F.when(token, F.col("s").cast("double")).otherwise(F.col("score")).alias("score"),
-    )
-    return _each_text(parts)
+        def as_rows() -> Iterator[pa.RecordBatch]:
+            key, c, score = map(np.concatenate, zip(*held, strict=True))
+            by = np.argsort(key)
+            key, c, score = key[by], c[by], score[by]
+            yield from as_batches([(b, CELLS, 0, packed(key[i], True), packed(c[i]), packed(score[i])) for b, i in slices(key, buckets)], _FLOW)
+
+        for key, n, c, score in make(batches):
+            at = np.flatnonzero(~in_head(n))
+            held.append((key[at], c[at], score[at]))
+            size += len(at)
+            if size > 1_000_000:
+                yield from as_rows()
+                held, size = [], 0
+        if size:
+            yield from as_rows()
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a bucket come first its cells, then what is asked; chunks of texts pass by."""
+        for _, rows in groupby(as_dicts(batches), lambda r: r["bucket"]):
+            held, known = [], None
+            for r in rows:
+                if r["kind"] == CELLS:
+                    held.append((unpacked(r["key"], np.uint64, True), unpacked(r["x"], np.int64), unpacked(r["y"], np.float32)))
+                    continue
+                if r["kind"] == TEXTS:
+                    yield from as_batches([tuple(r[f.name] for f in _FLOW)], _FLOW)
+                    continue
+                if known is None:
+                    if not held:
+                        raise ValueError("a text's cells are not among those learned")
+                    keys, c, score = map(np.concatenate, zip(*held, strict=True))
+                    by = np.argsort(keys)
+                    known, c, score = keys[by], c[by], score[by]
+                    base, held = np.log10(c + 0.1) - norm, []
+                place, doc = _places(known, unpacked(r["key"], np.uint64, True)), unpacked(r["x"], np.int32)
+                if (place < 0).any():
+                    raise ValueError("a text's cells are not among those learned")
+                n = np.bincount(doc)
+                at = np.flatnonzero(n)
+                x = [n[at].astype(np.float64), *(np.bincount(doc, y)[at] for y in ((c > 0)[place], base[place], score[place]))]
+                yield from as_batches([(r["bucket"], ASKED, r["chunk"], packed(at.astype(np.int32), True), packed(np.concatenate(x)), None)], _FLOW)
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a chunk come first its texts, then the answers."""
+        for _, rows in groupby(as_dicts(batches), lambda r: r["chunk"]):
+            texts = next(rows)
+            if texts["kind"] != TEXTS:
+                raise ValueError("texts came in another order when a task was repeated")
+            ids, null, n_tokens = unpacked(texts["key"], np.int64).reshape(3, -1)
+            sums = unpacked(texts["x"], np.float64).reshape(3, -1).copy()
+            missing = int.from_bytes(texts["y"], "little")
+            for r in rows:
+                at = unpacked(r["key"], np.int32, True)
+                n, *x = unpacked(r["x"], np.float64).reshape(4, -1)
+                sums[:, at] += x
+                missing -= int(n.sum())
+            if missing:
+                raise ValueError("texts came in another order when a task was repeated")
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null > 0), pa.array(n_tokens), pa.array(np.rint(sums[0]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    asked = docs.select("doc_id", text_tag(F.col("text")).alias("tag"), "text").mapInArrow(tidy(look_up), _FLOW_TYPES)
+    answers = dealt(asked.unionByName(of_all(others, _FLOW_TYPES)), buckets, "kind").mapInArrow(tidy(answer), _FLOW_TYPES)
+    met = answers.repartition(buckets // PER_TASK, "chunk").sortWithinPartitions("chunk", F.desc("kind"))
+    return met.mapInArrow(tidy(together), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+
+
+def score_pairs(docs: DataFrame, cells: DataFrame, totals: dict, head: int = HEAD_PAIRS) -> DataFrame:
+    """score_cells() by the cells of train_pairs()."""
+    return score_cells(docs, [(cells.select("key", "n", "c", "score"), by_rows)], totals, head)
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own_contexts: int | None = None, **options) -> DataFrame:
@@ -937,8 +1242,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = text_and_id(docs, id_col, text_col)
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
     if own_contexts is None:
-        cells, totals = train_pairs(own.select("text", held.alias("held")))
-        out, n = score_pairs(own, cells, totals, **options), totals["tokens"]
+        cells, totals, _ = learn(own.select("text", held.alias("held")))
+        out, n = score_cells(own, cells, totals, **options), totals["tokens"]
     else:
         learned = own.filter(~held)
         contexts = common_words(learned, own_contexts)
