@@ -55,6 +55,8 @@ HEAD, HEAD_BYTES, HEAD_CELLS, DENSE = 1 << 17, 48, 1 << 24, 8192
 HEAD_PAIRS, HEAD_CONTEXTS, MANY = 1 << 22, 1 << 21, 1 << 19
 #: Rows and cells that a task works on at once.
 GATHER = 1 << 16
+#: Numbers that are drawn by inversion at once, dishes that are seated at once, and cells of which blocks are seated together.
+INVERTED, SEATED, TOGETHER = 1 << 12, 1 << 15, 1 << 19
 #: The context at the start of a text; no word has a space.
 START = " "
 SEED = 7
@@ -102,9 +104,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def draw(key: np.ndarray, k: int) -> np.ndarray:
+def draw(key: np.ndarray, k: int | np.ndarray) -> np.ndarray:
     """The k-th number of 53 bits of each key, which is a hash already."""
-    x = key + np.uint64(k * int(_G) & (1 << 64) - 1)
+    x = key + (k.astype(np.uint64) * _G if isinstance(k, np.ndarray) else np.uint64(k * int(_G) & (1 << 64) - 1))
     x *= _M1
     x ^= x >> np.uint64(32)
     x *= _M2
@@ -112,34 +114,58 @@ def draw(key: np.ndarray, k: int) -> np.ndarray:
     return x
 
 
-def uniform(key: np.ndarray, k: int) -> np.ndarray:
+def uniform(key: np.ndarray, k: int | np.ndarray) -> np.ndarray:
     """The k-th number between 0 and 1 of each key."""
     return (draw(key, k) + np.float64(0.5)) * 2.0**-53
 
 
-def binomial(n: int, p: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+def binomial(n: int | np.ndarray, p: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Successes of n trials of probability p from uniform u: by inversion, or normal (with v) where 32 or more are expected."""
     q = np.minimum(p, 1 - p)
     mean = n * q
-    out = np.zeros(len(q))
     wide = mean >= 32
-    if wide.any():
-        z = np.sqrt(-2 * np.log(u[wide])) * np.cos(2 * np.pi * v[wide])
-        out[wide] = np.clip(np.rint(mean[wide] + z * np.sqrt(mean[wide] * (1 - q[wide]))), 0, n)
+    if not wide.any() and len(q) <= INVERTED:
+        out = inverted(n, q, u)
+        return np.where(p > 0.5, n - out, out)
+    out, n = np.zeros(len(q)), np.broadcast_to(n, len(q))
+    z = np.sqrt(-2 * np.log(u[wide])) * np.cos(2 * np.pi * v[wide])
+    out[wide] = np.clip(np.rint(mean[wide] + z * np.sqrt(mean[wide] * (1 - q[wide]))), 0, n[wide])
     at = np.flatnonzero(~wide)
-    pmf = (1 - q[at]) ** n
-    below, odds = pmf.copy(), q[at] / (1 - q[at])
-    for k in range(n):
-        more = u[at] > below
-        if not more.any():
-            break
-        at, pmf, below, odds = at[more], pmf[more], below[more], odds[more]
-        out[at] = k + 1
-        pmf = pmf * odds * ((n - k) / (k + 1))
-        below = below + pmf
+    for i in range(0, len(at), INVERTED):
+        some = at[i : i + INVERTED]
+        out[some] = inverted(n[some], q[some], u[some])
     return np.where(p > 0.5, n - out, out)
 
 
+def inverted(n: int | np.ndarray, q: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Successes of n trials of probability q by inversion: how many of 0 .. n-1 have a cumulative probability under u.
+
+    Some rows of these probabilities are made at once, enough for most of u.
+    """
+    at, k, out = slice(None), 0, np.zeros(len(q))
+    pmf, below, odds = (1 - q) ** n, 0.0, q / (1 - q)
+    top = float((n * q).max(initial=0))
+    width = int(top + 2 * top**0.5) + 2
+    while len(u):
+        j = np.arange(k, k + width)[:, None]
+        rows = np.empty((width + 1, len(u)))
+        rows[0] = pmf
+        np.multiply(odds, np.maximum(n - j, 0) / (j + 1), out=rows[1:])
+        np.multiply.accumulate(rows, axis=0, out=rows)
+        sums = rows[:-1]
+        pmf = rows[-1]
+        sums[0] += below
+        np.add.accumulate(sums, axis=0, out=sums)
+        over = u > sums
+        out[at] += over.sum(axis=0)
+        k += width
+        more = np.flatnonzero(over[-1] & (k < n))
+        at = more if isinstance(at, slice) else at[more]
+        pmf, below, odds, u, n = pmf[more], sums[-1][more], odds[more], u[more], n[more] if np.ndim(n) else n
+        width = 16
+    return out
+
+
 def classes_of(words: pa.Array) -> np.ndarray:
     """The class of a following token's context for each word: 1 .. CLASSES-1. 0 is the start of a text."""
     ends = pc.binary_slice(words.cast(pa.large_binary()), -2, None).dictionary_encode()
@@ -280,25 +306,35 @@ def seat(count: np.ndarray, new: np.ndarray, discount: float, key: np.ndarray) -
     """
     order = np.argsort(-count, kind="stable")
     c, a, key, t = count[order], new[order], key[order], (count[order] > 0).astype(np.float64)
-    falling, n = -c, 1
-    while True:
-        live = int(np.searchsorted(falling, -n, "left"))
-        if not live:
-            break
+    falling, last = -c, []
+    for i in range(0, int(np.searchsorted(falling, -1, "left")), SEATED):
+        some = slice(i, i + SEATED)
+        few, tables, weight, keys = falling[some], t[some], a[some], key[some]
+        room, least = weight - discount * tables, weight * 2.0**53
+        for n in range(1, 64):
+            live = int(np.searchsorted(few, -n, "left"))
+            if not live:
+                break
+            # A number of 53 bits is below weight / (n - discount * tables + weight).
+            x = (room[:live] + n) * draw(keys[:live], n).view(np.int64)
+            new_table = x < least[:live]
+            tables[:live] += new_table
+            room[:live] -= discount * new_table
+    n = 64
+    while live := int(np.searchsorted(falling, -n, "left")):
         p = a[:live] / (n - discount * t[:live] + a[:live])
-        if n < 64:
-            p *= 2.0**53
-            t[:live] += draw(key[:live], n) < p
-            n += 1
-        else:
-            step = n // 32
-            some = np.minimum(step, c[:live] - n)
-            full = int(np.searchsorted(-some, -step, "right"))
-            u, v = uniform(key[:live], n), uniform(key[:live] ^ _M1, n)
-            t[:full] += binomial(step, p[:full], u[:full], v[:full])
-            for i in range(full, live):
-                t[i] += binomial(int(some[i]), p[i : i + 1], u[i : i + 1], v[i : i + 1])[0]
-            n += step
+        step = n // 32
+        full = int(np.searchsorted(falling[:live], -n - step, "right"))
+        if full:
+            u = uniform(key[:full], n)
+            # Of fewer trials than 64, no more than 32 successes are expected.
+            t[:full] += binomial(step, p[:full], u, uniform(key[:full] ^ _M1, n) if step >= 64 else u)
+        # A smaller step is the last of its dish, so that those of all dishes can be taken together.
+        last.append((np.arange(full, live), np.full(live - full, n), p[full:]))
+        n += step
+    if last:
+        at, begun, p = map(np.concatenate, zip(*last, strict=True))
+        t[at] += binomial(c[at] - begun, p, uniform(key[at], begun), uniform(key[at] ^ _M1, begun))
     out = np.empty_like(t)
     out[order] = t
     return out
@@ -322,28 +358,38 @@ def sit(ids: np.ndarray, row: np.ndarray, count: np.ndarray, weight: np.ndarray,
     A cell is of word `row`, in context `ctx` (numbers that tell contexts apart) whose new tables weigh `weight`. `fixed`
     has the customers and tables in the parent of words (else nan) of which not all cells are here.
     """
+    open_ = np.flatnonzero(count > 1)
+    single = np.bincount(row[count == 1], minlength=len(ids))
+    got, root, root_tables = sit_open(ids, single, row[open_], count[open_], weight[open_], ctx[open_], totals, discounts, sweeps, keep, first, fixed)
+    tables = np.ones((keep, len(count)))
+    tables[:, open_] = got
+    return tables, root, root_tables
+
+
+def sit_open(ids: np.ndarray, single: np.ndarray, row: np.ndarray, count: np.ndarray, weight: np.ndarray, ctx: np.ndarray, totals: dict, discounts: tuple[float, float], sweeps: int, keep: int, first: int, fixed: tuple | None = None) -> tuple[np.ndarray, ...]:
+    """sit() of cells with two customers or more; `single` has how many cells with one customer each word has besides."""
     d, d1 = discounts
     base = 1 / (totals["words"] + 1)
-    tables = np.ones(len(count))
+    # As seat() sorts them, so that it does not have to in each sweep.
+    order = np.argsort(-count, kind="stable")
+    row, count, weight = row[order], count[order], weight[order]
+    keys = mixed(ids[row] ^ mixed(ctx[order] + np.uint64(SEED)))
     known = np.isnan(fixed[0]) if fixed is not None else np.ones(len(ids), bool)
-    root, root_tables = np.bincount(row, tables, len(ids)), np.ones(len(ids))
-    open_ = np.flatnonzero(count > 1)
-    own = row[open_]
-    keys = mixed(ids[own] ^ mixed(ctx[open_] + np.uint64(SEED)))
-    out: list[list[np.ndarray]] = [[], [], []]
+    tables = np.ones(len(count))
+    root, root_tables = single + np.bincount(row, tables, len(ids)), np.ones(len(ids))
+    out = np.empty((keep, len(count)), np.int32), np.empty((keep, len(ids))), np.empty((keep, len(ids)))
     for k in range(sweeps):
         if fixed is not None:
             root, root_tables = np.where(known, root, fixed[0]), np.where(known, root_tables, fixed[1])
         sweep = mixed(np.array([first + k + 1], np.uint64))
-        parent = np.maximum(root[own] - tables[open_] - d1 * root_tables[own], 0) + (CONCENTRATION + d1 * totals["root_tables"]) * base
-        tables = tables.copy()
-        tables[open_] = seat(count[open_], weight[open_] * parent / (CONCENTRATION + totals["root_customers"]), d, keys ^ sweep)
-        root = np.bincount(row, tables, len(ids))
+        parent = np.maximum(root[row] - tables - d1 * root_tables[row], 0) + (CONCENTRATION + d1 * totals["root_tables"]) * base
+        tables = seat(count, weight * parent / (CONCENTRATION + totals["root_customers"]), d, keys ^ sweep)
+        root = single + np.bincount(row, tables, len(ids))
         root_tables = seat(root, np.full(len(ids), (CONCENTRATION + d1 * totals["root_tables"]) * base), d1, ids ^ sweep)
         if k >= sweeps - keep:
-            for o, x in zip(out, (tables, root, root_tables), strict=True):
-                o.append(x)
-    return tuple(np.array(o).reshape(keep, -1) for o in out)
+            i = k - sweeps + keep
+            out[0][i, order], out[1][i], out[2][i] = tables, root, root_tables
+    return out
 
 
 def ney(n1: int, n2: int) -> float:
@@ -574,7 +620,10 @@ def token_ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inner[offsets[1:] - 1] = False
     end, start = word_ids(pa.array([END, START], pa.large_string()))
     w = np.full(len(inner), end, np.uint64)
-    w[inner] = word_ids(words)
+    ids = np.empty(len(words), np.uint64)
+    for i in range(0, len(words), GATHER):
+        ids[i : i + GATHER] = word_ids(words[i : i + GATHER])
+    w[inner] = ids
     u = np.roll(w, 1)
     u[offsets[:-1]] = start
     return u, w, offsets
@@ -647,9 +696,46 @@ _SUMS = pa.schema([("bucket", pa.int32()), ("key", pa.binary()), ("x", pa.binary
 _SUM_TYPES = "bucket int, key binary, x binary"
 
 
+def ordered(key: np.ndarray, low: np.ndarray | None = None) -> np.ndarray:
+    """Places that sort rows by 64-bit keys, then by `low`.
+
+    Numbers sort several times as fast as places, so places go into the keys' last bits; where these decide, rows are sorted again.
+    """
+    bits = np.uint64(len(key).bit_length())
+    x = key >> bits
+    x <<= bits
+    x |= np.arange(len(key), dtype=np.uint64)
+    x.sort()
+    by = (x & (np.uint64(1) << bits) - np.uint64(1)).view(np.int64)
+    full = key[by]
+    wrong = full[1:] < full[:-1]
+    if low is not None:
+        less = low[by]
+        wrong |= (full[1:] == full[:-1]) & (less[1:] < less[:-1])
+    if wrong.any():
+        x >>= bits
+        group = np.cumsum(np.append(0, x[1:] != x[:-1]))
+        again = np.zeros(group[-1] + 1, bool)
+        again[group[1:][wrong]] = True
+        at = np.flatnonzero(again[group])
+        rows = by[at]
+        by[at] = rows[np.lexsort((key[rows],) if low is None else (low[rows], key[rows]))]
+    return by
+
+
+def numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct numbers, and the place of each of `x` among them."""
+    by = ordered(x)
+    x = x[by]
+    new = np.append(True, x[1:] != x[:-1])[: len(x)]
+    at = np.empty(len(x), np.int32)
+    at[by] = np.cumsum(new) - 1
+    return x[new], at
+
+
 def added_up(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ascending distinct keys, and the sums of the rows of `x`."""
-    by = np.argsort(keys)
+    by = ordered(keys)
     keys = keys[by]
     start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
     return keys[start], np.add.reduceat(x[:, by], start, axis=1) if len(start) else x[:, :0]
@@ -780,20 +866,24 @@ def count_pairs(docs: DataFrame, many: int = MANY) -> tuple[DataFrame, Dealt]:
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, rows in groupby(as_dicts(batches), lambda r: r["bucket"]):
-            parts = [(np.repeat(unpacked(r["w"], np.uint64), unpacked(r["size"], np.int32)), unpacked(r["u"], np.uint64), unpacked(r["n"], np.int64)) for r in rows]
-            w, u, n = map(np.concatenate, zip(*parts, strict=True))
+            parts = [(unpacked(r["w"], np.uint64), unpacked(r["size"], np.int32), unpacked(r["u"], np.uint64), unpacked(r["n"], np.int64)) for r in rows]
+            w, size, u, n = map(np.concatenate, zip(*parts, strict=True))
             del parts
-            by = np.lexsort((u, w))
+            words, w = numbered(w)
+            w = np.repeat(w, size)
+            # By the word's place and as many bits of the context as fit beside it, then by the context.
+            bits = np.uint64(len(words).bit_length())
+            by = ordered(w.astype(np.uint64) << np.uint64(64) - bits | u >> bits, u)
             w, u, n = w[by], u[by], n[by]
             start = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (u[1:] != u[:-1])))
-            w, u, n = w[start], u[start], np.add.reduceat(n, start)
+            w, u, n = words[w[start]], u[start], np.add.reduceat(n, start)
             first = np.append(np.flatnonzero(np.append(True, w[1:] != w[:-1])), len(w))
             i, k = 0, 0
             while i < len(first) - 1:
                 j = max(i + 1, int(np.searchsorted(first, first[i] + BLOCK, "right")) - 1)
                 cells = slice(first[i], first[j])
-                us, at = np.unique(u[cells], return_inverse=True)
-                yield from as_batches([(b << 24 | k, packed(w[first[i:j]]), packed(np.diff(first[i : j + 1]).astype(np.int32)), packed(us, True), packed(at.astype(np.int32)), packed(n[cells]))], _BLOCK)
+                us, at = numbered(u[cells])
+                yield from as_batches([(b << 24 | k, packed(w[first[i:j]]), packed(np.diff(first[i : j + 1]).astype(np.int32)), packed(us, True), packed(at), packed(n[cells]))], _BLOCK)
                 i, k = j, k + 1
 
     found = docs.select("text", "held").mapInArrow(tidy(count), "bucket int, w binary, size binary, u binary, n binary")
@@ -866,12 +956,13 @@ def context_rows(frame: DataFrame) -> DataFrame:
 Sources = list[tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]]]]
 
 
-def learn(docs: DataFrame, rounds: int = ROUNDS, burn_in: int = BURN_IN, samples: int = SAMPLES, many: int = MANY, head: int = HEAD_CONTEXTS) -> tuple[Sources, dict, list[DataFrame]]:
+def learn(docs: DataFrame, rounds: int = ROUNDS, burn_in: int = BURN_IN, samples: int = SAMPLES, many: int = MANY, head: int = HEAD_CONTEXTS, together: int = TOGETHER) -> tuple[Sources, dict, list[DataFrame]]:
     """(cells, totals, what to discard after them) from `docs` (text, held).
 
     Cells of held texts only are among them, with count 0. `totals` has the numbers of tokens and of words. Probabilities are
     by the mean tables of the last round's samples. A word with more than `many` tokens is dealt over tasks. At most `head`
-    contexts' totals are broadcast; those of all others meet their cells by a join.
+    contexts' totals are broadcast; those of all others meet their cells by a join. Blocks with `together` cells to seat are
+    seated in one run, with the same results whatever their number.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -950,21 +1041,44 @@ def learn(docs: DataFrame, rounds: int = ROUNDS, burn_in: int = BURN_IN, samples
 
     def seated(batches: Iterator[pa.RecordBatch], now: dict, given: dict, first: int, shipped) -> Iterator[pa.RecordBatch]:
         """Each cell's tables and, of each word, customers less discounts and tables in the parent."""
+        held, size = [], 0
         for r in as_dicts(batches):
             w, row, us, at, n = _cells(r)
-            whole, part = large.find(w)
             tables = shipped.value.find(us)[1]
             for x in r.get("far") or []:
                 tables[np.searchsorted(us, np.uint64(x["u"] & (1 << 64) - 1))] = x["tables"]
-            known = np.full((2, len(w)), np.nan)
-            for i in np.flatnonzero(part):
-                known[:, i] = given[int(whole[i])][:2]
-            own = np.flatnonzero(n)
-            got, root, parent_tables = sit(whole, row[own], n[own].astype(np.float64), CONCENTRATION + d * tables[at[own]], us[at[own]], now, discounts, sweeps, samples, first, known)
-            t = np.zeros(len(n), np.int32)
-            t[own] = got.sum(axis=0)
-            root_tables = np.where(part, 0.0, parent_tables.mean(axis=0))
-            yield from as_batches([(*(r[f.name] for f in _BLOCK), packed(t), packed(root.mean(axis=0) - d1 * root_tables), packed(root_tables))], seat_schema)
+            open_ = np.flatnonzero(n > 1)
+            own = at[open_]
+            held.append((r, w, np.bincount(row[n == 1], minlength=len(w)), row[open_], n[open_].astype(np.float64), CONCENTRATION + d * tables[own], us[own]))
+            size += len(open_) + len(w)
+            del row, us, at, n, tables, open_, own
+            if size >= together:
+                yield from seated_together(held, now, given, first)
+                held, size = [], 0
+        if held:
+            yield from seated_together(held, now, given, first)
+
+    def seated_together(held: list[tuple], now: dict, given: dict, first: int) -> Iterator[pa.RecordBatch]:
+        """Several blocks, each in its own rows, in one run of the sweeps: a step takes its time whatever it seats."""
+        rows, ws, *_ = zip(*held, strict=True)
+        begin = np.cumsum([0, *map(len, ws)])
+        w, single, row, count, weight, ctx = (np.concatenate([x[i] + begin[j] if i == 3 else x[i] for j, x in enumerate(held)]) for i in range(1, 7))
+        cells = np.cumsum([0, *(len(x[3]) for x in held)])
+        held.clear()
+        whole, part = large.find(w)
+        known = np.full((2, len(w)), np.nan)
+        for i in np.flatnonzero(part):
+            known[:, i] = given[int(whole[i])][:2]
+        got, root, parent_tables = sit_open(whole, single, row, count, weight, ctx, now, discounts, sweeps, samples, first, known)
+        got = got.sum(axis=0).astype(np.int32)
+        root_tables = np.where(part, 0.0, parent_tables.mean(axis=0))
+        g = root.mean(axis=0) - d1 * root_tables
+        for j, r in enumerate(rows):
+            n = unpacked(r["n"], np.int64)
+            t = (n > 0).astype(np.int32) * np.int32(samples)
+            t[n > 1] = got[cells[j] : cells[j + 1]]
+            some = slice(begin[j], begin[j + 1])
+            yield from as_batches([(*(r[f.name] for f in _BLOCK), packed(t), packed(g[some]), packed(root_tables[some]))], seat_schema)
 
     def all_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Tables of words that are dealt (1), all and the parent's (2)."""
@@ -1062,13 +1176,20 @@ class Cells:
 
     def __init__(self, keys: np.ndarray) -> None:
         """Keys ascend."""
-        self.keys, self.shift = keys, np.uint64(64 - max(1, int(len(keys)).bit_length()))
-        slots = 1 << 64 - int(self.shift)
-        self.start = np.append(0, np.cumsum(np.bincount((keys >> self.shift).astype(np.int64), minlength=slots))).astype(np.int32)
+        self.keys, self.shift = keys, np.uint64(64 - max(1, int(len(keys)).bit_length() - 1))
+        ends = np.bincount((keys >> self.shift).view(np.int64), minlength=1 << 64 - int(self.shift))
+        self.start = np.zeros(len(ends) + 1, np.int32)
+        np.cumsum(ends, out=self.start[1:], dtype=np.int32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Places; -1: not there."""
-        out, slot = np.full(len(keys), -1, np.int64), (keys >> self.shift).astype(np.int64)
+        out = np.full(len(keys), -1, np.int32)
+        for i in range(0, len(keys), GATHER):
+            self._find(keys[i : i + GATHER], out[i : i + GATHER])
+        return out
+
+    def _find(self, keys: np.ndarray, out: np.ndarray) -> None:
+        slot = (keys >> self.shift).view(np.int64)
         place, end = self.start[slot], self.start[slot + 1]
         open_ = np.flatnonzero(place < end)
         while len(open_):
@@ -1080,7 +1201,6 @@ class Cells:
             more = (known < keys[open_]) & (i + 1 < end[open_])
             open_ = open_[more]
             place[open_] += 1
-        return out
 
 
 _FLOW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("key", pa.binary()), ("x", pa.binary()), ("y", pa.binary())])
@@ -1118,7 +1238,7 @@ def score_cells(docs: DataFrame, sources: Sources, totals: dict, head: int = HEA
     def keep(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
         for key, n, c, score in make(batches):
             at = np.flatnonzero(in_head(n))
-            at = at[np.argsort(key[at])]
+            at = at[ordered(key[at])]
             yield from as_batches([(0, CELLS, 0, packed(key[at], True), packed(c[at]), packed(score[at]))], _FLOW)
 
     top = [(unpacked(r["key"], np.uint64, True), unpacked(r["x"], np.int64), unpacked(r["y"], np.float32)) for r in as_dicts(of_all(keep, _FLOW_TYPES).toArrow().to_batches())]
@@ -1138,7 +1258,10 @@ def score_cells(docs: DataFrame, sources: Sources, totals: dict, head: int = HEA
             u, w, at = token_ids(only(t, "text"))
             n, own = t.num_rows, cell_keys(u, w).view(np.uint64)
             del u, w
-            doc, place = np.repeat(np.arange(n, dtype=np.int32), np.diff(at)), cells.find(own)
+            # Keys that ascend are found with less waiting for memory.
+            by = ordered(own)
+            own, doc = own[by], np.repeat(np.arange(n, dtype=np.int32), np.diff(at))[by]
+            place = cells.find(own)
             found, miss = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
             here, place = doc[found], place[found]
             sums = [np.bincount(here, x, n).astype(np.float64) for x in (None, base[count[place]], logs[place])]
@@ -1148,8 +1271,6 @@ def score_cells(docs: DataFrame, sources: Sources, totals: dict, head: int = HEA
             null = ident.is_null().to_numpy(zero_copy_only=False).astype(np.int64)
             out = [(chunk % buckets, TEXTS, chunk, packed(np.concatenate([ids.view(np.int64), null, np.diff(at)])), packed(np.concatenate(sums)), len(miss).to_bytes(8, "little"))]
             own, doc = own[miss], doc[miss]
-            by = np.argsort(own)
-            own, doc = own[by], doc[by]
             out += [(b, ASKED, chunk, packed(own[j], True), packed(doc[j]), None) for b, j in slices(own, buckets)]
             yield from as_batches(out, _FLOW)
 
@@ -1158,7 +1279,7 @@ def score_cells(docs: DataFrame, sources: Sources, totals: dict, head: int = HEA
 
         def as_rows() -> Iterator[pa.RecordBatch]:
             key, c, score = map(np.concatenate, zip(*held, strict=True))
-            by = np.argsort(key)
+            by = ordered(key)
             key, c, score = key[by], c[by], score[by]
             yield from as_batches([(b, CELLS, 0, packed(key[i], True), packed(c[i]), packed(score[i])) for b, i in slices(key, buckets)], _FLOW)
 
@@ -1187,7 +1308,7 @@ def score_cells(docs: DataFrame, sources: Sources, totals: dict, head: int = HEA
                     if not held:
                         raise ValueError("a text's cells are not among those learned")
                     keys, c, score = map(np.concatenate, zip(*held, strict=True))
-                    by = np.argsort(keys)
+                    by = ordered(keys)
                     known, c, score = keys[by], c[by], score[by]
                     base, held = np.log10(c + 0.1) - norm, []
                 place, doc = _places(known, unpacked(r["key"], np.uint64, True)), unpacked(r["x"], np.int32)

@@ -247,3 +247,43 @@ def test_texts_whose_cells_are_not_learned_are_refused(spark):
     cells, totals = py.train_pairs(df)
     with pytest.raises(Exception, match="not among those learned"):
         py.score_pairs(spark.createDataFrame([(1, "a c")], "doc_id long, text string"), cells, totals).collect()
+
+
+def test_last_steps_of_dishes_are_drawn_together(monkeypatch):
+    # Each dish had a draw of its own for its last customers, which took most of the time of a sweep.
+    sizes, real = [], py.binomial
+    monkeypatch.setattr(py, "binomial", lambda n, p, u, v: (sizes.append(len(p)), real(n, p, u, v))[1])
+    n = np.arange(65, 3065)
+    py.seat(n, np.full(3000, 2.0), 0.7, py.mixed(np.arange(3000, dtype=np.uint64)))
+    assert len(sizes) < 200
+
+
+def test_inversion_with_several_numbers_of_trials():
+    u = py.uniform(py.mixed(np.arange(3000, dtype=np.uint64)), 1)
+    n, p = np.arange(3000) % 70, (np.arange(3000) % 101) / 100
+    got = py.binomial(n, p, u, u)
+    for k in np.unique(n):
+        assert (got[n == k] == py.binomial(int(k), p[n == k], u[n == k], u[n == k])).all()
+    for i in np.flatnonzero(p <= 0.5)[:200].tolist():
+        x, pmf, below = 0, (1 - p[i]) ** n[i], 0.0
+        while x < n[i] and u[i] > (below := below + pmf):
+            pmf *= p[i] / (1 - p[i]) * (n[i] - x) / (x + 1)
+            x += 1
+        assert got[i] == x
+
+
+def test_blocks_are_seated_together_with_the_same_results(spark, docs):
+    df = spark.createDataFrame([(t, held(i)) for i, t, _ in docs], "text string, held boolean").repartition(2)
+    a, b = ({r["key"]: r["score"] for r in py.train_pairs(df, together=k)[0].collect()} for k in (1, py.TOGETHER))
+    assert a == b
+
+
+def test_ordered():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 1000, 100_000):
+        for x in (rng.integers(0, 1 << 64, n, np.uint64), rng.integers(0, 50, n).astype(np.uint64), rng.integers(0, 50, n).astype(np.uint64) << np.uint64(58)):
+            assert (x[py.ordered(x)] == np.sort(x)).all()
+            low = rng.integers(0, 5, n).astype(np.uint64)
+            by, want = py.ordered(x, low), np.lexsort((low, x))
+            assert (x[by] == x[want]).all() and (low[by] == low[want]).all() and len(set(by.tolist())) == n
+            assert all((a == b).all() for a, b in zip(py.numbered(x), np.unique(x, return_inverse=True), strict=True))
