@@ -25,7 +25,7 @@ def against_sql(spark, folder, name, rows):
     return ours
 
 
-@pytest.mark.parametrize(("name", "most"), [("office_docx", 4), ("office_xlsx", 4), ("archive_stats", 4), ("page_summaries", 4)])
+@pytest.mark.parametrize(("name", "most"), [("office_docx", 4), ("office_xlsx", 4), ("archive_children", 4), ("archive_stats", 4), ("page_summaries", 4)])
 def test_steps_of_python(spark, name, most):
     plan = engine.QUERIES[name](spark, SMALL)._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("ArrowEvalPython") <= most
