@@ -25,7 +25,17 @@ def against_sql(spark, folder, name, rows):
     return ours
 
 
-@pytest.mark.parametrize(("name", "most"), [("office_docx", 4), ("office_xlsx", 4), ("archive_children", 4), ("archive_stats", 4), ("page_summaries", 4)])
+def test_arrow_batches_are_bounded(spark):
+    for key in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{key}")
+    count = F.pandas_udf(lambda s: pd.Series([len(s)] * len(s)), "long")
+    few = blobs.from_table(spark.range(2000, numPartitions=1), "id", F.lit("a"), F.lit("x")).select(count("content").alias("n"))
+    assert few.agg(F.max("n")).first()[0] <= 250
+    large = blobs.from_table(spark.range(100, numPartitions=1), "id", F.lit("a"), F.repeat(F.lit("x"), (F.col("id") + 1_000_000).cast("int"))).select(count("content").alias("n"))
+    assert large.agg(F.max("n")).first()[0] <= 2
+
+
+@pytest.mark.parametrize(("name", "most"), [("probe_window", 2), ("office_docx", 4), ("office_xlsx", 4), ("archive_children", 4), ("archive_stats", 4), ("page_summaries", 4)])
 def test_steps_of_python(spark, name, most):
     plan = engine.QUERIES[name](spark, SMALL)._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("ArrowEvalPython") <= most
