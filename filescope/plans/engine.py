@@ -101,7 +101,9 @@ def analyses_from_analysis(spark, sf_dir):
 def size_gate(spark, sf_dir):
     """Every 500th blob is one byte too large: it stays a row, without content and with an incomplete scan."""
     d = X.table(spark, sf_dir, "documents")
-    data = F.when(F.col("doc_id") % 500 == 0, F.encode(F.repeat(F.lit("x"), 52_428_801), "UTF-8")).otherwise(F.encode("text", "UTF-8"))
+    over = F.col("doc_id") % 500
+    # How often depends on the row, so that the planner does not make the large value itself and send it along with each task.
+    data = F.when(over == 0, F.repeat(F.lit("x"), (over + 52_428_801).cast("int")).cast("binary")).otherwise(F.encode("text", "UTF-8"))
     found = analyze.assess(X.source.from_table(d, "doc_id", F.lit("a.bin"), data))
     return found.select("blob_id", "size", F.col("content").isNotNull().alias("kept"), (F.col("risk_level") == "UNKNOWN").alias("unknown"))
 

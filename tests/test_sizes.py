@@ -25,6 +25,10 @@ def against_sql(spark, folder, name, rows):
     return ours
 
 
+def test_a_value_over_the_limit_is_not_part_of_the_plan(spark):
+    assert len(engine.QUERIES["size_gate"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()) < 1_000_000
+
+
 def test_arrow_batches_are_bounded(spark):
     for key in ("maxRecordsPerBatch", "maxBytesPerBatch"):
         spark.conf.unset(f"spark.sql.execution.arrow.{key}")
