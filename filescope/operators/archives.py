@@ -6,7 +6,9 @@ There are as many rounds as the deepest archive has levels, whatever their numbe
 
 A budget of bytes goes along with each container, so that tasks need not ask each other: members in the order of the
 directory are read while their declared sizes fit, and what is left is shared equally by the containers among them. A
-root thus never expands to more than its budget, and which members are read depends on it alone.
+root thus never expands to more than its budget, and which members are read depends on it alone. Archives that are
+stored in each other expand to the root's own bytes once a level without any compression, so that a budget that is the
+same for all roots would stop large ones: it may grow with the root's bytes.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ class Limits(NamedTuple):
     depth: int = 5  # archives at this depth are not opened any more; a root has depth 0
     total: int = 200_000_000  # bytes that a root may expand to
     entry: int = archive.ENTRY_LIMIT  # bytes of a member
+    times: int = 0  # a root may also expand to so often its own bytes, if these are more than total
 
 
 #: Types that are opened. Office files and books are ZIP files too, but their parts are no files of their own.
@@ -117,7 +120,7 @@ def tree(blobs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """
     roots = blobs.select(
         F.col("blob_id").alias("root_id"), F.lit("").alias("place"), F.lit(None).cast("string").alias("inside"), F.col("file_name").alias("path"), F.lit(0).alias("depth"),
-        F.when(F.col("content").isNull(), LARGE).otherwise(READ).alias("state"), F.lit(limits.total).cast("long").alias("left"), "file_name", "content", F.coalesce("size", F.lit(0).cast("long")).alias("size"),
+        F.when(F.col("content").isNull(), LARGE).otherwise(READ).alias("state"), F.greatest(F.lit(limits.total).cast("long"), F.coalesce("size", F.lit(0).cast("long")) * limits.times).alias("left"), "file_name", "content", F.coalesce("size", F.lit(0).cast("long")).alias("size"),
     )
     level, every = roots, None
     for depth in range(limits.depth + 1):

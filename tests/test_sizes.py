@@ -25,6 +25,12 @@ def against_sql(spark, folder, name, rows):
     return ours
 
 
+@pytest.mark.parametrize("name", ["archive_stops", "archive_tree", "archive_summary"])
+def test_large_documents_in_nested_archives(spark, tmp_path, name):
+    text = " ".join(f"word{i * 7919 % 100_003}" for i in range(16_000))
+    against_sql(spark, tmp_path, name, [(i, text[: 150_000 - i]) for i in range(6)])
+
+
 def test_a_value_over_the_limit_is_not_part_of_the_plan(spark):
     assert len(engine.QUERIES["size_gate"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()) < 1_000_000
 
