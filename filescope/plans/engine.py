@@ -442,8 +442,11 @@ def notable_strings(spark, sf_dir):
 @query("""select doc_id as blob_id, cast(len(s) as varchar) as n_strings, md5(array_to_string(s, chr(10))[1:8000]) as text_md5, true as unsupported from (select doc_id, regexp_extract_all(text, '[\\x20-\\x7e]{8,}')[1:120] as s from documents)""")
 def unknown_extract(spark, sf_dir):
     d = X.table(spark, sf_dir, "documents")
-    e = _extracted(X.source.from_table(d, "doc_id", F.lit("a.bin"), F.concat(F.lit(b"\0"), F.encode("text", "UTF-8"))))
-    return e.select("blob_id", e["extraction.stats"]["Readable strings"].alias("n_strings"), F.md5("extraction.text").alias("text_md5"), "extraction.unsupported")
+    # Zeros beyond the last signature's place: after a single one, a text that begins with asm would be a WASM file.
+    head = bytes(max(s.offset + len(s.pattern) // 2 for s in R.SIGNATURES))
+    e = _extracted(X.source.from_table(d, "doc_id", F.lit("a.bin"), F.concat(F.lit(head), F.encode("text", "UTF-8"))))
+    told = lambda c: F.when(F.col("content").isNotNull(), c)
+    return e.select("blob_id", told(e["extraction.stats"]["Readable strings"]).alias("n_strings"), told(F.md5("extraction.text")).alias("text_md5"), "extraction.unsupported")
 
 
 @query("select doc_id as blob_id, '2' as entries, printf('%.1f KB', floor((strlen(text) + 5) / 1024.0 * 10 + 0.5) / 10) as size, case when doc_id % 7 = 0 then '1' else '0' end as encrypted from documents")

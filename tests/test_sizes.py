@@ -25,6 +25,11 @@ def against_sql(spark, folder, name, rows):
     return ours
 
 
+def test_texts_that_complete_a_signature(spark, tmp_path):
+    texts = ["asm and more of it", "abcftypisom and more", "x" * 256 + "ustar and more", "", None, "plain words here\x01and there"]
+    assert len(against_sql(spark, tmp_path, "unknown_extract", list(enumerate(texts)))) == 6
+
+
 @pytest.mark.parametrize("name", ["archive_stops", "archive_tree", "archive_summary"])
 def test_large_documents_in_nested_archives(spark, tmp_path, name):
     text = " ".join(f"word{i * 7919 % 100_003}" for i in range(16_000))
